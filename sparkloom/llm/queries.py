@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import oracles, packing, quality
+from sparkloom.llm import chat, licenses, mixing, oracles, packing, quality, vafile
 from sparkloom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,5 +43,43 @@ def op3_quality_cascade(spark, sf_dir):
         *quality.FEATURES,
         ((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"),
         "kept",
-        "failed_rule",
     )
+
+
+@query
+def op10_mixing(spark, sf_dir):
+    """What the mix takes of every document."""
+    mixed = mixing.mix(mixing.sized_documents(table(spark, sf_dir, "documents")))
+    taken = F.aggregate("takes", F.lit(0).cast("long"), lambda total, t: total + t["words"])
+    return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source", "takes")
+
+
+@query
+def op8_chat_formatting(spark, sf_dir):
+    """Digests of every conversation, read back from its formatted text."""
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    planted = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.posexplode(F.array(F.lit("user"), F.lit("assistant"))).alias("turn", "role"))
+    planted = planted.select("conv_id", F.col("turn").cast("long"), "role", F.lit("</s>[INST] ok [/INST]").alias("text"))
+    made = chat.format_chats(chat.turns_of_table(rows.unionByName(planted)))
+    read = made.select("conv_id", "formatted", chat.read_back(F.col("formatted")).alias("turns"), chat.text_under(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(lines, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+@query
+def op9_vector_top_k(spark, sf_dir):
+    """The five best partners of every vector whose id is divisible by 50."""
+    return vafile.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
+@query
+def op4_license_scan(spark, sf_dir):
+    """Every line or text that is a licence notice."""
+    return licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
