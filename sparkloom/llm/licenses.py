@@ -4,14 +4,15 @@ Two kinds of units are scanned: every line, for the notices that stand on a line
 the whole text, for documents that are a licence. A unit's word count bounds its number of bigrams;
 a template whose own number is out of reach of the threshold is dropped before bigrams are compared
 (2 min(a, b) / (a + b) bounds the coefficient), and units out of reach of every template are dropped
-before they are cut into bigrams. All of it is DataFrame functions without a shuffle.
+before they are cut into bigrams; so are units without any of the words that one in reach must
+hold. All of it is DataFrame functions without a shuffle.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -94,11 +95,26 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] | No
         return F.when((n >= lowest) & (n <= highest), best)
 
     # `let` keeps each step's value from being computed again for every use of it
-    best = let(F.split(normalised(F.col("line")), " "), lambda words: F.when(F.size(words) > lowest, let(bigrams(words), reached)))
+    anchors = F.array(*map(F.lit, anchor_words([grams for _, grams in entries], least)))
+    best = let(F.split(normalised(F.col("line")), " "), lambda words: F.when((F.size(words) > lowest) & F.arrays_overlap(words, anchors), let(bigrams(words), reached)))
     found = listed.select("doc_id", F.col("unit").cast("long").alias("unit"), F.explode(F.array_compact(F.array(best))).alias("best"))
     return found.select("doc_id", "unit", "best.license", F.round("best.dice", 6).alias("dice"))
 
 
+def anchor_words(templates: Sequence[Sequence[str]], least: float) -> list[str]:
+    """Words of which every unit that reaches a template holds one.
+
+    A unit that reaches a template of n bigrams shares at least least / (2 - least) * n of them, so
+    it holds one of any n - that + 1. Those with the longest words are taken, as the rarest.
+    """
+    found = set()
+    for grams in templates:
+        shared = math.ceil(round(least / (2 - least) * len(grams), 9))
+        by_rarity = sorted((max(g.split(" "), key=lambda w: (len(w), w)) for g in grams), key=lambda w: (-len(w), w))
+        found.update(by_rarity[: len(grams) - shared + 1])
+    return sorted(found)
+
+
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
     """f(value), with `value` bound to a lambda variable."""
     return F.transform(F.array(value), f)[0]
