@@ -165,7 +165,7 @@ def rolling(words: np.ndarray, k: int) -> np.ndarray:
 
 def planes(x: np.ndarray) -> bytes:
     """The numbers' first bytes, then their second bytes, and so on; compresses well if sorted or small."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T).tobytes() if len(x) else b""
+    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T).tobytes() if len(x) else b""
 
 
 def from_planes(raw: bytes, dtype: str) -> np.ndarray:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import chat, licenses, mixing, oracles, packing, quality, substrings, vafile
+from sparkloom.llm import chat, jaccard, licenses, mixing, oracles, packing, quality, substrings, vafile
 from sparkloom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,9 @@ def op5_substring_dedup(spark, sf_dir):
     """What is left of every document without its repeated windows of 20 words."""
     cut = substrings.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query
+def op7_jaccard_join(spark, sf_dir):
+    """Every document's component under links of 90 % over three-word shingles."""
+    return jaccard.similarity_components(table(spark, sf_dir, "documents"), n=3, percent=90)
