@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import chat, jaccard, licenses, mixing, oracles, packing, quality, substrings, vafile
+from sparkloom.llm import chat, jaccard, licenses, mixing, oracles, packing, quality, substrings, suffix_tree, vafile
 from sparkloom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,11 @@ def op5_substring_dedup(spark, sf_dir):
 def op7_jaccard_join(spark, sf_dir):
     """Every document's component under links of 90 % over three-word shingles."""
     return jaccard.similarity_components(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
+@query
+def op2_suffix_tree_scores(spark, sf_dir):
+    """Every document's log10 probability, learning from nine tenths of them."""
+    docs = table(spark, sf_dir, "documents")
+    train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0
+    return suffix_tree.suffix_tree_scores(docs, train)
