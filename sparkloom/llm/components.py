@@ -2,28 +2,59 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import checkpointed, written
 
 
+def _stars(batches: Iterator[pa.RecordBatch], most_pairs: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The same components from fewer pairs: of each million pairs, every node with the smallest one it reaches."""
+    held: list[pa.RecordBatch] = []
+
+    def star() -> pa.RecordBatch:
+        a, b = (np.concatenate([x.column(k).to_numpy() for x in held]) for k in (0, 1))
+        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        a, b, label = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+        while True:
+            nearer = label.copy()
+            np.minimum.at(nearer, a, label[b])
+            np.minimum.at(nearer, b, label[a])
+            nearer = nearer[nearer]
+            if (nearer == label).all():
+                break
+            label = nearer
+        arm = label != np.arange(len(nodes))
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(nodes[arm]), pa.array(nodes[label[arm]])], ["a", "b"])
+
+    for batch in batches:
+        held.append(batch)
+        if sum(x.num_rows for x in held) >= most_pairs:
+            yield star()
+    if held:
+        yield star()
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the edges (a, b): the smallest node that it reaches.
 
-    Each round takes the least label among a node's neighbours and then its label's label, so the
-    rounds grow with the logarithm of a component's diameter. Null ends are dropped.
+    Pairs that meet in a task are first reduced to stars. A round then gives each node the least
+    label among its neighbours' and its label's own, so rounds grow with the logarithm of what is
+    left of a component's diameter. Null ends, and nodes tied to themselves alone, are dropped.
     """
-    pairs = edges.select("a", "b").filter("a <> b")
+    pairs = edges.select("a", "b").filter("a <> b").mapInArrow(_stars, "a long, b long")
     both = written(pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = checkpointed(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("component")))
+    labels = both.groupBy("a").agg(F.least("a", F.min("b")).alias("component")).select(F.col("a").alias("node"), "component")
+    labels = checkpointed(labels)
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("least"))
-        nearer = labels.join(near, F.col("node") == F.col("a")).select("node", "component", F.least("component", "least").alias("next"))
-        nearer = checkpointed(nearer)
-        beyond = nearer.select(F.col("node").alias("via"), F.col("next").alias("further"))
-        jumped = nearer.join(beyond, F.col("next") == F.col("via")).select("node", F.col("component").alias("before"), F.least("next", "further").alias("component"))
-        jumped = checkpointed(jumped)
-        labels = jumped.select("node", "component")
-        if jumped.filter("before <> component").isEmpty():
+        hops = both.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        seen = labels.select(F.col("node").alias("b"), "component")
+        around = checkpointed(hops.join(seen, "b").groupBy("a").agg(F.min("component").alias("component"), F.max("component").alias("most")))
+        labels = around.select(F.col("a").alias("node"), "component")
+        if not around.filter("component <> most").count():
             return labels

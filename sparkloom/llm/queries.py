@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import chat, jaccard, licenses, mixing, oracles, packing, quality, substrings, suffix_tree, vafile
+from sparkloom.llm import chat, extraction, jaccard, licenses, mixing, oracles, packing, quality, substrings, suffix_tree, vafile
 from sparkloom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,9 @@ def op2_suffix_tree_scores(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0
     return suffix_tree.suffix_tree_scores(docs, train)
+
+
+@query
+def op6_html_extraction(spark, sf_dir):
+    """The main text of every page."""
+    return extraction.extract_text(table(spark, sf_dir, "pages"))
