@@ -214,7 +214,7 @@ SELECT o_orderpriority, CAST(count(*) FILTER (o_orderstatus = 'F') AS BIGINT) AS
 FROM orders GROUP BY o_orderpriority
 """)
 def pivoted(spark, sf_dir):
-    counts = table(spark, sf_dir, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count("*"))
+    counts = table(spark, sf_dir, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count(F.lit(1)))
     return counts.select("o_orderpriority", *(F.coalesce(F.col(s), F.lit(0)).alias(s.lower()) for s in "FOP"))
 
 
