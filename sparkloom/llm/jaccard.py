@@ -1,11 +1,14 @@
 """N-gram Jaccard join with prefix trees, and the components of its links.
 
-A document's set holds the hashes of its distinct word shingles. The hash order is the global order
-of the first step: it is cut into as many ranges as two similar sets can differ in elements, and a
-few more, so that similar sets agree in a whole range. A set's elements in one range, in order, are
-a root-to-leaf path of that range's prefix tree; paths travel as their hashes, and documents that
-share a path become candidates: each is tied to the smallest document of the path, never to all.
-Sets that are equal as a whole are tied for good and represented by their smallest document.
+A document's set holds the hashes of its distinct word shingles. The hash order is cut into about
+twice as many ranges as two similar sets can differ in elements, so that similar sets agree in at
+least half of them. A set's elements in one range, in order, are a root-to-leaf path of that range's
+prefix tree; paths travel as their hashes. All paths have one global order, the rarest first, by a
+table of fixed size that counts the shingles of all documents by slots (any order gives the same
+links; this one gives few candidates: passages that many documents share come last). Similar sets
+share a path among their first halves. Documents that share such a path become candidates: each is
+tied to the smallest document of the path, never to all. Sets that are equal as a whole are tied for
+good and represented by their smallest document.
 
 Tied documents form blocks. Each block's sets meet once: in the order of falling frequency in the
 block they are stored in a prefix tree, so that similar sets share their upper part; a set traverses
@@ -29,8 +32,10 @@ from sparkloom.llm.components import connected
 
 _PATH, _EQUAL, _TIED, _SAME, _SIZE = range(5)
 _ROWS = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("docs", pa.binary()), ("index", pa.binary()), ("hashes", pa.binary())])
+_GROWTH = 1.5
 _PAIRS = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64())])
-_GROWTH, _SPARE = 1.5, 1
+#: Slots of the table that orders shingles by frequency, and the slices in which it is summed.
+TABLE, _SLICES = 1 << 22, 64
 
 
 def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,46 +62,87 @@ def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     return h[new], np.bincount(of[new], minlength=len(counts))
 
 
+def frequency_levels(texts: DataFrame, n: int, chunk_bytes: int) -> np.ndarray:
+    """How common the shingles of each of TABLE slots are, as a logarithmic level from 0 to 255, over all texts (doc_id, text).
+
+    Tasks count into tables of the same fixed size, which are summed slice by slice in two steps, so
+    neither a group nor what comes to the driver (TABLE bytes) grows with the input.
+    """
+    width = TABLE // _SLICES
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(TABLE, np.uint32)
+        for chunk in chunks(batches, chunk_bytes):
+            total += np.bincount((shingle_sets(chunk.column(1), n)[0] & np.uint64(TABLE - 1)).astype(np.int64), minlength=TABLE).astype(np.uint32)
+        parts = [planes(total[k * width : (k + 1) * width].astype("<u8")) for k in range(_SLICES)] if total.any() else []
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["slice", "counts"])
+
+    def added(table: pa.Table) -> np.ndarray:
+        total = np.zeros(width, np.uint64)
+        for raw in table.column("counts"):
+            total += from_planes(raw.as_py(), "<u8")
+        return total
+
+    def summed(table: pa.Table) -> pa.Table:
+        return pa.table({"slice": table.column("slice")[:1], "counts": pa.array([planes(added(table))], pa.binary())})
+
+    def levelled(table: pa.Table) -> pa.Table:
+        level = np.minimum(255, 8 * np.log2(1.0 + added(table))).astype(np.uint8)
+        return pa.table({"slice": table.column("slice")[:1], "levels": pa.array([level.tobytes()], pa.binary())})
+
+    counted = texts.mapInArrow(count, "slice int, counts binary").withColumn("some", F.pmod(F.spark_partition_id(), F.lit(_SLICES)))
+    halfway = counted.groupBy("slice", "some").applyInArrow(summed, "slice int, counts binary")
+    levels = np.zeros(TABLE, np.uint8)
+    for k, raw in halfway.groupBy("slice").applyInArrow(levelled, "slice int, levels binary").collect():
+        levels[k * width : (k + 1) * width] = np.frombuffer(raw, np.uint8)
+    return levels
+
+
 def size_levels(percent: int, upto: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each size level's first size, and its number of ranges (0: only equal sets can be similar)."""
+    """Each size level's first size, and the most elements by which two similar sets differ whose larger one has that level."""
     edges = [1]
     while edges[-1] <= upto:
         edges.append(max(edges[-1] + 1, int(edges[-1] * _GROWTH)))
     most = np.array([b - 1 for b in edges[1:]], np.int64)
-    differ = 2 * most * (100 - percent) // (100 + percent)
-    return np.array(edges[:-1], np.int64), np.where(differ > 0, differ + 1 + _SPARE, 0)
+    return np.array(edges[:-1], np.int64), 2 * most * (100 - percent) // (100 + percent)
 
 
-def path_hashes(sets: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, document) of the paths on which a similar set can be met.
+def path_hashes(sets: np.ndarray, sizes: np.ndarray, percent: int, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, document) of each set's prefix of paths, in which every similar set has one of its own.
 
     Two sets of which the larger has m elements meet at m's level, so a set walks its own level and
-    those up to its largest partner's. With one range to spare, a path without elements needs no
-    hash unless a set has more than one of them.
+    those up to its largest partner's. Where similar sets differ in at most d elements, 2 d + 1
+    ranges leave d + 1 in which they agree; so of all ranges, rarest path first, the first d + 1 of
+    both hold a common one. Empty ranges come last. Where d is 0, only equal sets are similar.
     """
     if not len(sets):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    edges, ranges = size_levels(percent, int(sizes.max()) * 100 // percent + 1)
+    edges, differ = size_levels(percent, int(sizes.max()) * 100 // percent + 1)
     own = np.searchsorted(edges, sizes, side="right") - 1
     last = np.searchsorted(edges, sizes * 100 // percent, side="right") - 1
     doc = np.repeat(np.arange(len(sizes)), sizes)
     mixed, top = mix(sets ^ np.uint64(0xA0761D6478BD642F)), sets >> np.uint64(32)
+    rarity = 256 - levels[(sets & np.uint64(TABLE - 1)).astype(np.int64)].astype(np.int64)
     found, of = [], []
     for step in range(int((last - own)[sizes > 0].max()) + 1):
         level = own + step
-        k = np.where((sizes > 0) & (level <= last), ranges[np.clip(level, 0, len(ranges) - 1)], 0)
-        takes = k[doc] > 0
+        d = np.where((sizes > 0) & (level <= last), differ[np.clip(level, 0, len(differ) - 1)], 0)
+        takes = d[doc] > 0
         if not takes.any():
             continue
-        d, at = doc[takes], (top[takes] * k[doc[takes]].astype(np.uint64)) >> np.uint64(32)
-        new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (at[1:] != at[:-1])]))
-        sums = np.add.reduceat(mixed[takes], new)
-        salt = (level[d[new]].astype(np.uint64) << np.uint64(40)) + at[new]
-        found.append(mix(sums + mix(salt)))
-        of.append(d[new])
-        filled = np.bincount(d[new], minlength=len(sizes))
-        for i in np.flatnonzero((k > 0) & (k - filled > _SPARE)):
-            empty = np.setdiff1d(np.arange(k[i]), at[new][d[new] == i].astype(np.int64)).astype(np.uint64)
+        to = doc[takes]
+        at = (top[takes] * (2 * d[to] + 1).astype(np.uint64)) >> np.uint64(32)
+        new = np.flatnonzero(np.concatenate([[True], (to[1:] != to[:-1]) | (at[1:] != at[:-1])]))
+        range_of, path_of = at[new], to[new]
+        paths = mix(np.add.reduceat(mixed[takes], new) + mix((level[path_of].astype(np.uint64) << np.uint64(40)) + range_of))
+        order = np.lexsort((paths, -np.add.reduceat(rarity[takes], new), path_of))
+        filled = np.bincount(path_of, minlength=len(sizes))
+        place = np.arange(len(order)) - np.repeat(np.cumsum(filled) - filled, filled)
+        first = order[place <= d[path_of]]  # path_of is in order before and after
+        found.append(paths[first])
+        of.append(path_of[first])
+        for i in np.flatnonzero((d > 0) & (filled <= d)):
+            empty = np.setdiff1d(np.arange(2 * d[i] + 1), range_of[path_of == i].astype(np.int64))[: d[i] + 1 - filled[i]].astype(np.uint64)
             found.append(mix(mix((np.uint64(level[i]) << np.uint64(40)) + empty)))
             of.append(np.full(len(empty), i))
     return (np.concatenate(found), np.concatenate(of)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -118,7 +164,7 @@ def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return pairs[:, 0], pairs[:, 1]
 
 
-def _path_rows(batches: Iterator[pa.RecordBatch], n: int, percent: int, buckets: int, chunk_bytes: int) -> Iterator[pa.RecordBatch]:
+def _path_rows(batches: Iterator[pa.RecordBatch], n: int, percent: int, levels: np.ndarray, buckets: int, chunk_bytes: int) -> Iterator[pa.RecordBatch]:
     """Per chunk: paths and equal sets by bucket, one document for each hash; ties settled within the chunk; sizes."""
     for serial, chunk in enumerate(chunks(batches, chunk_bytes)):
         known = chunk.column(0).is_valid().to_numpy(zero_copy_only=False)
@@ -131,7 +177,7 @@ def _path_rows(batches: Iterator[pa.RecordBatch], n: int, percent: int, buckets:
         whole = np.zeros(len(sizes), np.uint64)
         np.add.at(whole, doc, mix(sets))
         whole = mix(whole + sizes.astype(np.uint64))
-        paths, of = path_hashes(sets, sizes, percent)
+        paths, of = path_hashes(sets, sizes, percent, levels)
         for kind, tie, h, d in ((_EQUAL, _SAME, whole[linked], np.flatnonzero(linked)), (_PATH, _TIED, paths[linked[of]], of[linked[of]])):
             order, leader, head = _leaders(h, ids[d])
             a, b = _distinct_pairs(ids[d[order]], leader)
@@ -354,9 +400,10 @@ def similarity_components(docs: DataFrame, n: int = 5, percent: int = 80, block_
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     buckets = groups_for(texts, 2 * chunk_bytes)
+    levels = texts.sparkSession.sparkContext.broadcast(frequency_levels(texts, n, chunk_bytes))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _path_rows(batches, n, percent, buckets, chunk_bytes)
+        return _path_rows(batches, n, percent, levels.value, buckets, chunk_bytes)
 
     pairs = written(texts.mapInArrow(cut, "bucket int, kind byte, docs binary, index binary, hashes binary").groupBy("bucket").applyInArrow(_tied, "kind byte, a long, b long"))
     same = pairs.filter(F.col("kind") == _SAME).select("a", "b")
