@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.plans import relational
+from sparkloom.plans import relational, streams
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(relational.QUERIES)
-ORACLE: dict[str, str] = dict(relational.ORACLE)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = relational.QUERIES | streams.QUERIES
+ORACLE: dict[str, str] = relational.ORACLE | streams.ORACLE
