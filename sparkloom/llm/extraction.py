@@ -3,7 +3,8 @@
 A page falls into blocks of text at its block-level tags. Each block has a cost of calling it
 boilerplate (evidence for content) and one of calling it content (evidence against), from its words,
 its links and what its ancestors are; they are the capacities of its edges to the source and to the
-sink. Neighbouring blocks are joined by smoothness edges, stronger the nearer they are in the tree,
+sink. A mark of an outer part (its tag, or a word in its class, id or role) is such a cost too: it is
+less the more of the page's main part lies below the marked element. Neighbouring blocks are joined by smoothness edges, stronger the nearer they are in the tree,
 and so are successive blocks of one parent. A maximum flow then gives the labelling of the least
 total cost: blocks still reachable from the source are content.
 """
@@ -29,7 +30,7 @@ BLOCK_TAGS = frozenset(
 )
 #: Elements with no content, so nothing to close.
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements of which nothing is main text.
+#: Elements that hold no main text, unless they enclose the page's main part.
 OUTER_TAGS = frozenset("nav aside footer form menu dialog fieldset search button label option select legend".split())
 #: Words in class, id or role that mark such parts.
 OUTER_WORDS = frozenset(
@@ -40,6 +41,14 @@ OUTER_WORDS = frozenset(
 )
 #: Words in class, id or role that mark the main part.
 INNER_WORDS = frozenset("article articlebody body content entry main post story text".split())
+#: First words of names that say what stands beside an element, not what it is: `has-sidebar`.
+BESIDE_WORDS = frozenset("has no with without".split())
+#: Plain words from which a form without an article can be the page's frame.
+FRAME_WORDS = 50
+#: Kinds of outer marks: never lifted; a tag, lifted by an article or the like below it; a form; a word.
+HIDDEN, PART, FORM, WORD = 4, 3, 2, 1
+#: Ranks of inner elements: an article, a main, a word.
+ARTICLE, MAIN, OTHER = 3, 2, 1
 
 _TOKENS = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -59,7 +68,7 @@ _SPACE = re.compile(r"\s+")
 class Costs:
     """Weights of the block classifier and of the smoothness edges."""
 
-    outer: float = 50.0  # in a part that is never main text
+    outer: float = 50.0  # in a marked outer part, times the share of the main part that isn't below the mark
     inner: float = 2.0  # in the main part
     word: float = 1 / 12  # for each word outside links, up to `most_words`
     most_words: float = 2.5
@@ -76,32 +85,89 @@ class Block:
     text: str
     link_chars: int
     parent: int
-    outer: bool
     inner: bool
+    outer: float = 0.0  # strength of the outer marks above it, from 0 to 1
 
 
 # --- blocks ------------------------------------------------------------------------------------
 
 
-def _marks(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether a tag with its attributes begins an outer part, and an inner one."""
-    outer, inner = tag in OUTER_TAGS, tag in ("article", "main")
+def _marks(tag: str, attributes: str) -> tuple[int, bool]:
+    """The kind of outer mark that a tag with its attributes has (0: none), and whether it begins an inner part."""
+    kind, inner = FORM if tag in ("form", "fieldset") else PART if tag in OUTER_TAGS else 0, tag in ("article", "main")
     if attributes and tag not in ("html", "body"):
         words: set[str] = set()
         for m in _MARKS.finditer(attributes):
-            words.update(w.lower() for w in _WORDS.findall(m[2] or m[3] or m[4] or ""))
+            for name in (m[2] or m[3] or m[4] or "").split():
+                found = [w.lower() for w in _WORDS.findall(name)]
+                if found and found[0] not in BESIDE_WORDS:
+                    words.update(found)
         found = words & OUTER_WORDS
         if words & INNER_WORDS:
             inner = inner or not found
             found -= {"header"}  # an entry's own header has its title
-        outer = outer or bool(found) or bool(_HIDDEN.search(attributes))
-    return outer, inner
+        if kind == FORM:
+            found -= {"form"}
+        if _HIDDEN.search(attributes):
+            kind = HIDDEN
+        elif found and kind != PART:
+            kind = WORD
+    return kind, inner
+
+
+def weigh_marks(blocks: Sequence[Block], parents: Sequence[int], tags: Sequence[str], kinds: Sequence[int], inners: Sequence[int]) -> None:
+    """Sets each block's `outer`: the strongest of the marks above it.
+
+    A mark has the share of the main part's words that aren't below it. The main part's words are
+    those outside links under an article, main or other inner element (the outermost article counts,
+    else the outermost main, else the outermost other) and those under no mark. A form or a word's mark with no such element below may still be the frame of the
+    page: if it has a first heading, or in a form enough words, all its words count.
+    """
+    if not any(kinds):
+        return
+    above: list[tuple[int, ...]] = []  # each node's marked ancestors and itself, outermost first
+    main = [-1] * len(parents)  # of its inner ancestors and itself without a mark, the outermost of the highest rank
+    for k, parent in enumerate(parents):
+        up = above[parent] if parent >= 0 else ()
+        above.append((*up, k) if kinds[k] else up)
+        best = main[parent] if parent >= 0 else -1
+        main[k] = k if inners[k] and not kinds[k] and (best < 0 or inners[k] > inners[best]) else best
+    marked = {e for b in blocks for e in above[b.parent]}
+    inside, framed, below = dict.fromkeys(marked, 0.0), dict.fromkeys(marked, 0.0), dict.fromkeys(marked, 0.0)
+    everything, headed = 0.0, set()
+    for b in blocks:
+        up = above[b.parent]
+        if tags[b.parent] == "h1":
+            headed.update(up)
+        if any(kinds[e] == HIDDEN for e in up):
+            continue
+        words = (b.text.count(" ") + 1) * (1 - b.link_chars / len(b.text))
+        enclosing = above[main[b.parent]] if main[b.parent] >= 0 else ()
+        for e in enclosing:
+            inside[e] += words
+        if not any(kinds[e] == PART for e in up):
+            for e in up:
+                framed[e] += words
+        if main[b.parent] >= 0 or not up:
+            everything += words
+            for e in up:
+                below[e] += words
+    strength = {}
+    for e in marked:
+        mine = inside[e]
+        if not mine and (kinds[e] in (FORM, WORD) and e in headed or kinds[e] == FORM and framed[e] >= FRAME_WORDS):
+            mine = 0.0 if main[e] >= 0 and inners[main[e]] == ARTICLE else framed[e]
+        others = everything - below[e]
+        strength[e] = 1.0 if kinds[e] == HIDDEN or not mine else others / (others + mine)
+    for b in blocks:
+        b.outer = max((strength[e] for e in above[b.parent]), default=0.0)
 
 
 def blocks_of(page: str) -> tuple[list[Block], list[int], list[int]]:
     """The page's blocks in order; each node's parent and depth (nodes are open block-level elements)."""
     parents, depths = [-1], [0]
-    stack = [("", 0, False, False)]  # tag, node, outer, inner
+    tags, kinds, inners = [""], [0], [0]
+    stack = [("", 0, False)]  # tag, node, inner
     out: list[Block] = []
     parts: list[str] = []
     links, in_link = 0, False
@@ -111,8 +177,8 @@ def blocks_of(page: str) -> tuple[list[Block], list[int], list[int]]:
         if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                _, node, outer, inner = stack[-1]
-                out.append(Block(text, min(links, len(text)), node, outer, inner))
+                _, node, inner = stack[-1]
+                out.append(Block(text, min(links, len(text)), node, inner))
             parts.clear()
         links = 0
 
@@ -150,16 +216,23 @@ def blocks_of(page: str) -> tuple[list[Block], list[int], list[int]]:
                 if stack[-1][0] == "p" or tag == "li" and stack[-1][0] == "li" or tag == "body" and stack[-1][0] == "head":
                     close(len(stack) - 1)
                 if tag not in VOID_TAGS:
-                    _, node, outer, inner = stack[-1]
-                    starts_outer, starts_inner = _marks(tag, m[4] or m[7] or "")
+                    _, node, inner = stack[-1]
+                    kind, starts_inner = _marks(tag, m[4] or m[7] or "")
                     # a page's header is outer, an article's isn't
-                    outer = outer or starts_outer or tag == "head" or tag == "header" and not inner
+                    if tag == "head":
+                        kind = HIDDEN
+                    elif tag == "header" and not inner:
+                        kind = max(kind, PART)
                     parents.append(node)
                     depths.append(len(stack))
-                    stack.append((tag, len(parents) - 1, outer, inner or starts_inner))
+                    tags.append(tag)
+                    kinds.append(kind)
+                    inners.append(starts_inner and {"article": ARTICLE, "main": MAIN}.get(tag, OTHER))
+                    stack.append((tag, len(parents) - 1, inner or starts_inner))
     if at < len(page):
         parts.append(page[at:])
     flush()
+    weigh_marks(out, parents, tags, kinds, inners)
     return out, parents, depths
 
 
@@ -216,16 +289,13 @@ def minimum_cut(source: Sequence[float], sink: Sequence[float], edges: Sequence[
 
 
 def labelled(blocks: Sequence[Block], parents: Sequence[int], depths: Sequence[int], costs: Costs) -> list[bool]:
-    """Which blocks are content. Blocks of outer parts are joined to the sink for good, so only others are nodes."""
-    nodes = [k for k, b in enumerate(blocks) if not b.outer]
-    place = {k: i for i, k in enumerate(nodes)}
+    """Which blocks are content."""
     source, sink = [], []
-    for k in nodes:
-        b = blocks[k]
+    for b in blocks:
         words = b.text.count(" ") + 1
         linked = b.link_chars / len(b.text)
         source.append(costs.inner * b.inner + min(costs.most_words, costs.word * words) * (1 - linked))
-        against = costs.plain + costs.link * linked
+        against = costs.plain + costs.link * linked + costs.outer * b.outer
         if not b.inner:
             against += costs.short * (words < 8) + costs.rights * (b.text[:1] == "©" or b.text[:9].lower() == "copyright")
         sink.append(against)
@@ -240,11 +310,23 @@ def labelled(blocks: Sequence[Block], parents: Sequence[int], depths: Sequence[i
             joins[last[group]] = joins.get(last[group], 0.0) + costs.sibling
         last[group] = k
         for j, w in joins.items():
-            if k in place and j in place:
-                edges.append((place[j], place[k], w))
-            elif k in place or j in place:  # the other one is forced to the sink's side
-                sink[place[k] if k in place else place[j]] += w if blocks[k].inner == blocks[j].inner else 0.0
-    side = minimum_cut(source, sink, edges)
+            if b.inner == blocks[j].inner or (b.outer < 0.5) == (blocks[j].outer < 0.5):
+                edges.append((j, k, w))
+    # A block that would stay boilerplate even if all its neighbours were content is on the sink's side of every
+    # minimum cut with the least source side, so it needs no node.
+    pull = [0.0] * len(blocks)
+    for j, k, w in edges:
+        pull[j] += w
+        pull[k] += w
+    nodes = [k for k in range(len(blocks)) if sink[k] - source[k] < pull[k]]
+    place = {k: i for i, k in enumerate(nodes)}
+    kept = []
+    for j, k, w in edges:
+        if j in place and k in place:
+            kept.append((place[j], place[k], w))
+        elif j in place or k in place:
+            sink[j if j in place else k] += w
+    side = minimum_cut([source[k] for k in nodes], [sink[k] for k in nodes], kept)
     return [k in place and side[place[k]] for k in range(len(blocks))]
 
 

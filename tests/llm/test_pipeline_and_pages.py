@@ -89,3 +89,27 @@ LONG = "The river rose in the night and the town woke to water in its lower stre
 )
 def test_main_text(page, text):
     assert main_text(page) == text
+
+
+MENU = "<nav><a href='/'>Home</a></nav>"
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        (f"<div class='content has-sidebar'>{MENU}<article><p>{LONG}</p></article></div>", LONG),
+        (f"<div class='wrapper has-sidebar'><p>{LONG}</p></div>", LONG),
+        (f"<div class='search-results'>{MENU}<article><p>{LONG}</p></article><aside><p>{LONG}</p></aside></div>", LONG),
+        (f"<div class='social related'><main><h1>Flood</h1><p>{LONG}</p></main></div><footer><p>{LONG}</p></footer>", f"Flood\n\n{LONG}"),
+        (f"<form id='aspnetForm'>{MENU}<article><p>{LONG}</p></article><div class='sidebar'><p>{LONG}</p></div></form>", LONG),
+        (f"<div id='main'><form id='aspnetForm'>{MENU}<div><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div></form></div>", f"{LONG}\n\n{LONG}\n\n{LONG}"),
+        # marks that enclose no main part hold, also in longer parts
+        (f"<article><p>{LONG}</p><div class='comments'><article><p>{f'{LONG} ' * 9}</p></article></div></article>", LONG),
+        (f"<article><p>{LONG}</p></article><div class='related'><article><p>{LONG}</p></article></div>", LONG),
+        (f"<p>{LONG}</p><aside><article><p>{LONG}</p></article></aside>", LONG),
+        (f"{MENU}<div class='cookie-banner'><p>{LONG}</p></div>", ""),
+        (f"<article><p>{LONG}</p><p hidden>{LONG}</p></article><div hidden><article>{LONG}</article></div>", f"{LONG}"),
+    ],
+)
+def test_marks_of_outer_parts_weigh_in_the_cut(page, text):
+    assert main_text(page) == text
