@@ -50,14 +50,17 @@ HIDDEN, PART, FORM, WORD = 4, 3, 2, 1
 #: Ranks of inner elements: an article, a main, a word.
 ARTICLE, MAIN, OTHER = 3, 2, 1
 
+# As browsers read attributes: a quote counts only after `=`, its value ends at the next such quote, however long.
+_VALUE = r"=\s*+(?:\"[^\"]*+\"|'[^']*+')?+"
 _TOKENS = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|template|noscript|svg|math|textarea|iframe|object|canvas|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|template|noscript|svg|math|textarea|iframe|object|canvas|title)(?=[\s/>])(?:[^>=]++|" + _VALUE + r")*+>(?:(?<=/>)|.*?(?:</\1\s*>|\Z))"
     r"|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]{0,4096}\"|'[^']{0,4096}')*)>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)>",
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>=]++|" + _VALUE + r")*+)>",
     re.S | re.I,
 )
+# Values that can hold anything, so that nothing in them is taken for an attribute.
+_OTHER_VALUES = re.compile(r"(?<![^\s\"'/])(?!(?:class|id|role|style|aria-hidden)\s*=)[^\s\"'>/=]+\s*=\s*(?:\"[^\"]*\"|'[^']*')", re.I)
 _MARKS = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
@@ -96,6 +99,8 @@ def _marks(tag: str, attributes: str) -> tuple[int, bool]:
     """The kind of outer mark that a tag with its attributes has (0: none), and whether it begins an inner part."""
     kind, inner = FORM if tag in ("form", "fieldset") else PART if tag in OUTER_TAGS else 0, tag in ("article", "main")
     if attributes and tag not in ("html", "body"):
+        # `hidden` is kept as a name when it has a value
+        attributes = _OTHER_VALUES.sub(lambda m: " hidden " if m[0][:6].lower() == "hidden" else " ", attributes)
         words: set[str] = set()
         for m in _MARKS.finditer(attributes):
             for name in (m[2] or m[3] or m[4] or "").split():
@@ -194,11 +199,11 @@ def blocks_of(page: str) -> tuple[list[Block], list[int], list[int]]:
             if in_link:
                 links += len(text)
         at = m.end()
-        tag = m[3] or m[6]
+        tag = m[3]
         if not tag:
             continue
         tag = tag.lower()
-        closing = m[2] or m[5]
+        closing = m[2]
         if tag == "a":
             in_link = not closing
         elif tag in ("br", "td", "th", "img"):
@@ -217,7 +222,7 @@ def blocks_of(page: str) -> tuple[list[Block], list[int], list[int]]:
                     close(len(stack) - 1)
                 if tag not in VOID_TAGS:
                     _, node, inner = stack[-1]
-                    kind, starts_inner = _marks(tag, m[4] or m[7] or "")
+                    kind, starts_inner = _marks(tag, m[4])
                     # a page's header is outer, an article's isn't
                     if tag == "head":
                         kind = HIDDEN

@@ -113,3 +113,20 @@ MENU = "<nav><a href='/'>Home</a></nav>"
 )
 def test_marks_of_outer_parts_weigh_in_the_cut(page, text):
     assert main_text(page) == text
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        (f"<p>{LONG}</p><div class='sidebar' data-x='{'x' * 5000} <p>LEAK</p>'><p>{LONG}</p></div>", LONG),
+        (f'<p>{LONG}</p><p data-props="{{{"x" * 100_000} <b>}}">{LONG}</p>', f"{LONG}\n\n{LONG}"),
+        (f"<p data-html=\"<div class='sidebar' style='display:none'>\">{LONG}</p>", LONG),
+        (f"<div hidden='until-found'><p>{LONG}</p></div><p>{LONG}</p>", LONG),
+        (f'<p class="a>{LONG}</p><p>{LONG}</p>', f"{LONG}\n\n{LONG}"),
+        (f"<p title=it's>{LONG}</p><p>{LONG} It's.</p>", f"{LONG}\n\n{LONG} It's."),
+        *((f"<p>{LONG}</p><{tag} data-x='a>b'/><p>{LONG}</p><{tag}>gone</{tag}>", f"{LONG}\n\n{LONG}") for tag in ("svg", "object", "template")),
+        (f"<svg data-x='a>b'>gone</svg><title-bar>{LONG}</title-bar>", LONG),
+    ],
+)
+def test_tags_with_long_values_and_empty_tags(page, text):
+    assert main_text(page) == text
