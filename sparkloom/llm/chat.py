@@ -1,17 +1,19 @@
 """Chat formatting: layouts recognised by the fingerprint of their field paths, and reversible templates.
 
-A record's nested field paths, without the scalar types, are hashed; the hash selects a declarative
-mapping that says where the turns are. Everything is DataFrame functions.
+Those of a record's nested field paths that a mapping needs, without the scalar types, are hashed; the
+hash selects the declarative mapping that says where the turns are. Other fields don't matter, and of
+several mappings that fit, the one of the most paths is taken. Everything is DataFrame functions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, StructType
+
+from sparkloom.llm.licenses import let
 
 # --- layouts ---------------------------------------------------------------------------------
 
@@ -21,38 +23,63 @@ ROLE_NAMES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "a
 
 @dataclass(frozen=True)
 class Mapping:
-    """A layout: an example record (JSON) that has its field paths, and where its turns are.
+    """A layout: where a record's turns are.
 
-    `turns` is either the path of a message list with its role and text fields, or (role, paths)
-    pairs; several paths of one pair are joined by a blank line, empty ones left out.
+    Either `messages` is the path of a message list with its role and text fields; or `turns` are
+    (role, paths) pairs, of which several paths of one pair are joined by a blank line, empty ones
+    left out; or the record is one turn, and `row` names its number, role (left as it is) and text.
     """
 
     name: str
-    example: str
     messages: tuple[str, str, str] | None = None
     turns: tuple[tuple[str, tuple[str, ...]], ...] = ()
+    row: tuple[str, str, str] | None = None
+
+    def paths(self) -> list[str]:
+        """The field paths it needs, sorted; `[]` stands for the elements of a list."""
+        if self.messages:
+            return sorted(f"{self.messages[0]}[].{field}" for field in self.messages[1:])
+        return sorted(self.row or {p for _, paths in self.turns for p in paths})
 
 
 MAPPINGS = (
-    Mapping("messages", '{"messages": [{"role": "", "content": ""}]}', ("messages", "role", "content")),
-    Mapping("conversations", '{"conversations": [{"from": "", "value": ""}]}', ("conversations", "from", "value")),
-    Mapping("prompt_response", '{"prompt": "", "response": ""}', None, (("user", ("prompt",)), ("assistant", ("response",)))),
-    Mapping("prompt_completion", '{"prompt": "", "completion": ""}', None, (("user", ("prompt",)), ("assistant", ("completion",)))),
-    Mapping("question_answer", '{"question": "", "answer": ""}', None, (("user", ("question",)), ("assistant", ("answer",)))),
-    Mapping("instruction", '{"instruction": "", "output": ""}', None, (("user", ("instruction",)), ("assistant", ("output",)))),
-    Mapping("instruction_input", '{"instruction": "", "input": "", "output": ""}', None, (("user", ("instruction", "input")), ("assistant", ("output",)))),
-    Mapping("system_prompt", '{"system": "", "prompt": "", "response": ""}', None, (("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))),
+    Mapping("messages", messages=("messages", "role", "content")),
+    Mapping("conversations", messages=("conversations", "from", "value")),
+    Mapping("prompt_response", turns=(("user", ("prompt",)), ("assistant", ("response",)))),
+    Mapping("prompt_completion", turns=(("user", ("prompt",)), ("assistant", ("completion",)))),
+    Mapping("question_answer", turns=(("user", ("question",)), ("assistant", ("answer",)))),
+    Mapping("instruction", turns=(("user", ("instruction",)), ("assistant", ("output",)))),
+    Mapping("instruction_input", turns=(("user", ("instruction", "input")), ("assistant", ("output",)))),
+    Mapping("system_prompt", turns=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))),
+    Mapping("turn_row", row=("turn", "role", "text")),
 )
 
 
-def paths_of(record: Column) -> Column:
-    """A JSON record's nested field paths, as Spark's schema of it without scalar types. Null if it isn't JSON."""
-    scalar = r"(?<=: |ARRAY<)(?!OBJECT<|ARRAY<)[A-Z_]+(\([0-9, ]*\))?"
-    return F.regexp_replace(F.schema_of_variant(F.try_parse_json(record)), scalar, "_")
+def paths_of(record: Column, wanted: Sequence[str]) -> Column:
+    """Those of the `wanted` field paths that a JSON record has with scalars or nulls, in their order. Null if it isn't JSON.
+
+    A path below a list is there if an element has it and none has an object or a list in its place.
+    """
+
+    def scalar(of: Column, field: str) -> Column:
+        kind = F.schema_of_variant(F.try_variant_get(of, f"$.{field}", "variant"))
+        return ~kind.rlike("^(OBJECT|ARRAY)")  # null without such a field
+
+    def has(parsed: Column, path: str) -> Column:
+        listed, below, field = path.partition("[].")
+        if not below:
+            return scalar(parsed, path)
+        found = F.transform(F.try_variant_get(parsed, f"$.{listed}", "array<variant>"), lambda e: scalar(e, field))
+        return F.exists(found, lambda x: x) & ~F.exists(found, lambda x: ~x)
 
+    def present(parsed: Column) -> Column:
+        return F.when(parsed.isNotNull(), F.array_compact(F.array(*(F.when(F.coalesce(has(parsed, p), F.lit(False)), F.lit(p)) for p in wanted))))
 
-def fingerprint(record: Column) -> Column:
-    return F.xxhash64(F.coalesce(paths_of(record), F.lit("")))
+    return let(F.try_parse_json(record), present)
+
+
+def fingerprint(paths: Column) -> Column:
+    return F.xxhash64(F.array_join(paths, "\n"))
 
 
 def _role(role: Column) -> Column:
@@ -60,56 +87,55 @@ def _role(role: Column) -> Column:
     return F.coalesce(F.try_element_at(known, F.lower(role)), role, F.lit(""))
 
 
+#: What every mapping makes of a record.
+TURNS = "array<struct<turn: long, role: string, text: string>>"
+
+
 def _turns(record: Column, m: Mapping) -> Column:
+    if m.row:
+        turn, role, text = m.row
+        fields = F.from_json(record, f"`{turn}` long, `{role}` string, `{text}` string")
+        return F.array(F.struct(fields[turn].alias("turn"), F.coalesce(fields[role], F.lit("")).alias("role"), F.coalesce(fields[text], F.lit("")).alias("text")))
     if m.messages:
         path, role, text = m.messages
         listed = F.from_json(record, f"`{path}` array<struct<`{role}`: string, `{text}`: string>>")[path]
-        return F.transform(F.coalesce(listed, F.array()), lambda t: F.struct(_role(t[role]).alias("role"), F.coalesce(t[text], F.lit("")).alias("text")))
-    fields = F.from_json(record, ", ".join(f"`{p}` string" for _, paths in m.turns for p in paths))
+        said = F.transform(F.coalesce(listed, F.array()), lambda t: F.struct(_role(t[role]).alias("role"), F.coalesce(t[text], F.lit("")).alias("text")))
+    else:
+        fields = F.from_json(record, ", ".join(f"`{p}` string" for _, paths in m.turns for p in paths))
 
-    def text(paths: Sequence[str]) -> Column:
-        return F.array_join(F.filter(F.array(*(fields[p] for p in paths)), lambda x: x.isNotNull() & (x != "")), "\n\n")
+        def text_of(paths: Sequence[str]) -> Column:
+            return F.array_join(F.filter(F.array(*(fields[p] for p in paths)), lambda x: x.isNotNull() & (x != "")), "\n\n")
 
-    return F.array(*(F.struct(F.lit(role).alias("role"), text(paths).alias("text")) for role, paths in m.turns))
+        said = F.array(*(F.struct(F.lit(role).alias("role"), text_of(paths).alias("text")) for role, paths in m.turns))
+    return F.transform(said, lambda t, i: F.struct(i.cast("long").alias("turn"), t["role"].alias("role"), t["text"].alias("text")))
 
 
 def turns_of_records(records: DataFrame, key: str = "record_id", record: str = "record", mappings: Sequence[Mapping] = MAPPINGS) -> DataFrame:
     """(conv_id, turn, role, text, layout) from JSON records of mixed layouts.
 
-    The record's fingerprint selects the mapping. A record of no known layout (or null, or no JSON)
-    gives one row with null turn, role, text and layout, so that none is lost unseen.
+    The fingerprint of the paths that a mapping needs selects it, those of the most paths first, ties
+    in the order given; fields beyond them are ignored. A record of no known layout (or null, or no
+    JSON) gives one row with null turn, role, text and layout, so that none is lost unseen.
     """
-    print_ = fingerprint(F.col(record))
+    wanted = sorted({p for m in mappings for p in m.paths()})
+    number = F.lit(None)
+    for k, m in reversed(sorted(enumerate(mappings), key=lambda km: -len(km[1].paths()))):
+        needed = F.array(*map(F.lit, m.paths()))
+        number = F.when(fingerprint(F.array_intersect(F.col("_paths"), needed)) == fingerprint(needed), F.lit(k)).otherwise(number)
+    marked = records.select(F.col(key).alias("conv_id"), F.col(record).alias("_record"), paths_of(F.col(record), wanted).alias("_paths"))
+    chosen = marked.select("conv_id", "_record", number.cast("int").alias("_number"))
     turns, layout = F.lit(None), F.lit(None)
-    for m in reversed(mappings):
-        same = F.col("_print") == fingerprint(F.lit(m.example))
-        turns = F.when(same, _turns(F.col(record), m)).otherwise(turns)
-        layout = F.when(same, F.lit(m.name)).otherwise(layout)
-    marked = records.select(F.col(key).alias("conv_id"), F.col(record), print_.alias("_print"))
-    listed = marked.select("conv_id", layout.cast("string").alias("layout"), F.posexplode_outer(turns.cast("array<struct<role: string, text: string>>")).alias("turn", "said"))
-    return listed.select("conv_id", F.col("turn").cast("long").alias("turn"), "said.role", "said.text", "layout")
-
-
-def field_paths(kind: DataType, at: str = "") -> list[str]:
-    if isinstance(kind, StructType):
-        return [p for f in kind.fields for p in field_paths(f.dataType, f"{at}.{f.name}" if at else f.name)]
-    return field_paths(kind.elementType, f"{at}[]") if isinstance(kind, ArrayType) else [at]
-
-
-#: Typed tables: the columns' sorted paths, and how turn rows come out of them.
-TABLE_LAYOUTS: dict[tuple[str, ...], Callable[[DataFrame], DataFrame]] = {
-    ("conv_id", "role", "text", "turn"): lambda t: t.select("conv_id", "turn", "role", "text"),
-    ("conv_id", "messages[].content", "messages[].role"): lambda t: t.select("conv_id", F.posexplode("messages").alias("turn", "m")).select("conv_id", "turn", F.col("m.role").alias("role"), F.col("m.content").alias("text")),
-    ("conv_id", "prompt", "response"): lambda t: t.select("conv_id", F.posexplode(F.array(F.struct(F.lit("user").alias("role"), F.col("prompt").alias("text")), F.struct(F.lit("assistant").alias("role"), F.col("response").alias("text")))).alias("turn", "m")).select("conv_id", "turn", "m.role", "m.text"),
-}
-
-
-def turns_of_table(rows: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text) of a typed table; its field paths select the layout, with no work on rows."""
-    found = tuple(sorted(field_paths(rows.schema)))
-    if found not in TABLE_LAYOUTS:
-        raise ValueError(f"no layout has the field paths {', '.join(found)}")
-    return TABLE_LAYOUTS[found](rows)
+    for k, m in enumerate(mappings):
+        turns = F.when(F.col("_number") == k, _turns(F.col("_record"), m)).otherwise(turns)
+        layout = F.when(F.col("_number") == k, F.lit(m.name)).otherwise(layout)
+    listed = chosen.select("conv_id", layout.cast("string").alias("layout"), F.explode_outer(turns.cast(TURNS)).alias("said"))
+    return listed.select("conv_id", "said.turn", "said.role", "said.text", "layout")
+
+
+def turns_of_table(rows: DataFrame, key: str = "conv_id") -> DataFrame:
+    """`turns_of_records` of a typed table, each of its rows a record of all columns but the key."""
+    fields = F.struct(*(F.col(f"`{c}`") for c in rows.columns if c != key))
+    return turns_of_records(rows.select(F.col(key), F.to_json(fields, {"ignoreNullFields": "false"}).alias("record")), key)
 
 
 # --- templates -------------------------------------------------------------------------------
