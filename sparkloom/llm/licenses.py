@@ -1,7 +1,9 @@
 """Licence scans: normalised text against templates by Dice coefficient over word bigrams.
 
-Two kinds of units are scanned: every line, for the notices that stand on a line of their own, and
-the whole text, for documents that are a licence. A unit's word count bounds its number of bigrams;
+Three kinds of units are scanned: every line, for the notices that stand on a line of their own, the
+whole text, for documents that are a licence, and passages, for notices and licences inside a text that
+are neither. A template's passages are the runs of words in which its bigrams outweigh the others; a run
+ends where no passage in reach of the template could go on. A unit's word count bounds its number of bigrams;
 a template whose own number is out of reach of the threshold is dropped before bigrams are compared
 (2 min(a, b) / (a + b) bounds the coefficient), and units out of reach of every template are dropped
 before they are cut into bigrams; so are units without any of the words that one in reach must
@@ -13,6 +15,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable, Mapping, Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,9 +47,18 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
 }
 
+#: Whole licences, a file each.
+BODIES = Path(__file__).with_name("license_texts")
+
 SEPARATORS = r"[^\p{L}\p{N}]+"
 
 
+def all_templates() -> dict[str, tuple[str, ...]]:
+    """The notices of TEMPLATES and the whole licences."""
+    bodies = {f.stem: (f.read_text(encoding="utf-8"),) for f in BODIES.glob("*.txt")}
+    return {name: TEMPLATES.get(name, ()) + bodies.get(name, ()) for name in TEMPLATES.keys() | bodies.keys()}
+
+
 def template_bigrams(text: str) -> list[str]:
     """Distinct word bigrams of a template, normalised as `normalised` does it."""
     words = re.sub(r"[\W_]+", " ", text.lower()).split()
@@ -58,29 +70,40 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), SEPARATORS, " "))
 
 
+def pairs_of(words: Column) -> Column:
+    return F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+
+
 def bigrams(words: Column) -> Column:
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.array_distinct(pairs)
+    return F.array_distinct(pairs_of(words))
 
 
 def scan_licenses(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] | None = None, least: float = 0.8) -> DataFrame:
     """(doc_id, unit, license, dice) for every unit that a template reaches with `least` or more.
 
-    `unit` is the line's number from 1, or 0 for the whole text of several lines. Of a unit's
-    templates the one with the highest coefficient counts, ties to the smaller name. A null or empty
+    `unit` is the line's number from 1, 0 for the whole text of several lines, or, for a passage, the
+    number of the line in which it begins, negative. Of a unit's templates the one with the highest
+    coefficient counts, ties to the smaller name; of passages that overlap, the one with the highest
+    coefficient, ties to the larger template. Passages are left out if the whole text has a row, and
+    those of which half the words or more lie in lines that have one. A null or empty
     text, a line of fewer than two words and an empty table give no rows; repeated rows give theirs
     each.
     """
-    entries = [(name, grams) for name, texts in sorted((TEMPLATES if templates is None else templates).items()) for grams in map(template_bigrams, texts) if grams]
+    entries = [(name, grams) for name, texts in sorted((all_templates() if templates is None else templates).items()) for grams in map(template_bigrams, texts) if grams]
     reach = (2 - least) / least
-    known = F.array(*(F.struct(F.lit(name).alias("license"), F.lit(len(g)).alias("n"), F.array(*map(F.lit, g)).alias("grams")) for name, g in entries))
+    known = F.array(
+        *(
+            F.struct(F.lit(name).alias("license"), F.lit(len(g)).alias("n"), listed_words(g).alias("grams"), listed_words(anchor_words([g], least)).alias("anchors"), F.lit(shared_bigrams(g, least)).alias("shared"))
+            for name, g in entries
+        )
+    )
     lowest = min(math.ceil(len(g) / reach) for _, g in entries)
     highest = max(math.floor(len(g) * reach) for _, g in entries)
 
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.split(text, "\n")
     units = F.when(F.size(lines) > 1, F.concat(F.array(F.replace(text, F.lit("\n"), F.lit(" "))), lines)).otherwise(F.concat(F.array(F.lit("")), lines))
-    listed = docs.select("doc_id", F.posexplode(units).alias("unit", "line"))
+    listed = docs.select("doc_id", F.posexplode(F.concat(units, F.array(text))).alias("unit", "line"), (F.size(lines) + 1).alias("last"))
     listed = listed.filter(F.length("line") >= 2 * lowest + 1)  # a bigram takes two characters at least
 
     def reached(grams: Column) -> Column:
@@ -95,10 +118,97 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] | No
         return F.when((n >= lowest) & (n <= highest), best)
 
     # `let` keeps each step's value from being computed again for every use of it
-    anchors = F.array(*map(F.lit, anchor_words([grams for _, grams in entries], least)))
-    best = let(F.split(normalised(F.col("line")), " "), lambda words: F.when((F.size(words) > lowest) & F.arrays_overlap(words, anchors), let(bigrams(words), reached)))
-    found = listed.select("doc_id", F.col("unit").cast("long").alias("unit"), F.explode(F.array_compact(F.array(best))).alias("best"))
-    return found.select("doc_id", "unit", "best.license", F.round("best.dice", 6).alias("dice"))
+    anchors = listed_words(anchor_words([grams for _, grams in entries], least))
+
+    def best(line: Column) -> Column:
+        return let(F.split(normalised(line), " "), lambda words: F.when((F.size(words) > lowest) & F.arrays_overlap(words, anchors), let(bigrams(words), reached)))
+
+    def runs(pairs: Column, mine: Column, n: Column) -> Column:
+        """The runs of places (from 0) whose bigrams are in `mine`, a place of another one weighing -least and one of them 2 - least."""
+        start = F.struct(*(F.lit(0).alias(c) for c in ("at", "first", "last")), F.lit(0.0).alias("sum"), F.lit(0.0).alias("peak"), F.array().cast("array<struct<first: int, last: int>>").alias("runs"))
+
+        def ended(s: Column) -> Column:
+            return F.when(s["peak"] > 0, F.concat(s["runs"], F.array(F.struct(s["first"].alias("first"), s["last"].alias("last"))))).otherwise(s["runs"])
+
+        def step(s: Column, pair: Column) -> Column:
+            def moved(total: Column) -> Column:
+                # no unit in reach has more than (2 / least - 2) * n bigrams that aren't the template's
+                over = (total <= 0) | (s["peak"] - total > (2 - 2 * least) * n)
+                higher = ~over & (total > s["peak"])
+                return F.struct(
+                    (s["at"] + 1).alias("at"), F.when(over, s["at"] + 1).otherwise(s["first"]).alias("first"), F.when(higher, s["at"]).otherwise(s["last"]).alias("last"),
+                    F.when(over, 0.0).otherwise(total).alias("sum"), F.when(over, 0.0).when(higher, total).otherwise(s["peak"]).alias("peak"), F.when(over, ended(s)).otherwise(s["runs"]).alias("runs"),
+                )
+
+            return let(s["sum"] + F.when(F.array_contains(mine, pair), F.lit(2 - least)).otherwise(F.lit(-least)), moved)
+
+        return F.aggregate(pairs, start, step, ended)
+
+    def candidates(pairs: Column, present: Column) -> Column:
+        """(-dice, -n, license, first, last) of every run that reaches its template, the best first."""
+
+        def of(t: Column, mine: Column) -> Column:
+            def scored(r: Column) -> Column:
+                own = F.array_distinct(F.slice(pairs, r["first"] + 1, r["last"] - r["first"] + 1))
+                dice = F.lit(2.0) * F.size(F.array_intersect(own, mine)) / (F.size(own) + t["n"])
+                return F.struct((-dice).alias("under"), (-t["n"]).alias("smaller"), t["license"].alias("license"), r["first"].alias("first"), r["last"].alias("last"))
+
+            return F.when(F.size(mine) >= t["shared"], F.transform(runs(pairs, mine, t["n"]), scored)).otherwise(F.array().cast(CANDIDATES))
+
+        near = F.filter(known, lambda t: (F.size(pairs) >= t["shared"]) & F.arrays_overlap(present, t["anchors"]))
+        every = F.flatten(F.transform(near, lambda t: let(F.array_intersect(pairs, t["grams"]), lambda mine: of(t, mine))))
+        return F.array_sort(F.filter(every, lambda c: c["under"] <= -least))
+
+    def passages(line: Column) -> Column:
+        of_lines = F.split(line, "\n")
+        none = F.array().cast("array<struct<unit: long, dice: double, license: string>>")
+
+        def kept(found: Column, line_of: Column) -> Column:
+            rows = F.filter(F.transform(of_lines, lambda l, k: F.when(best(l).isNotNull(), k + 1)), lambda k: k.isNotNull())
+
+            def open_ones(known_lines: Column) -> Column:
+                def free(c: Column) -> Column:
+                    own = F.slice(line_of, c["first"] + 1, c["last"] - c["first"] + 2)
+                    return 2 * F.size(F.filter(own, lambda k: F.array_contains(known_lines, k))) < F.size(own)
+
+                apart = F.aggregate(
+                    F.filter(found, free),
+                    F.array().cast(CANDIDATES),
+                    lambda done, c: F.when(F.exists(done, lambda d: (d["first"] <= c["last"] + 1) & (c["first"] <= d["last"] + 1)), done).otherwise(F.concat(done, F.array(c))),
+                )
+                return F.transform(apart, lambda c: F.struct((-F.get(line_of, c["first"])).cast("long").alias("unit"), (-c["under"]).alias("dice"), c["license"].alias("license")))
+
+            whole = (F.size(of_lines) > 1) & best(F.replace(line, F.lit("\n"), F.lit(" "))).isNotNull()
+            return F.when((F.size(found) == 0) | whole, none).otherwise(let(rows, open_ones))
+
+        def in_words(words: Column, present: Column) -> Column:
+            per_line = F.transform(of_lines, lambda l, k: F.array_repeat(k + 1, F.size(F.filter(F.split(normalised(l), " "), lambda w: w != ""))))
+            return let(candidates_let(words, present), lambda found: F.when(F.size(found) == 0, none).otherwise(let(F.flatten(per_line), lambda line_of: kept(found, line_of))))
+
+        def candidates_let(words: Column, present: Column) -> Column:
+            return let(pairs_of(words), lambda pairs: candidates(pairs, present))
+
+        def pruned(words: Column) -> Column:
+            return let(F.array_intersect(words, anchors), lambda present: F.when(F.size(present) == 0, none).otherwise(in_words(words, present)))
+
+        return let(F.split(normalised(line), " "), pruned)
+
+    one = let(best(F.col("line")), lambda b: F.array(F.when(b.isNotNull(), F.struct(F.col("unit").cast("long").alias("unit"), b["dice"].alias("dice"), b["license"].alias("license")))))
+    found = listed.select("doc_id", F.explode(F.array_compact(F.when(F.col("unit") == F.col("last"), passages(F.col("line"))).otherwise(one))).alias("best"))
+    return found.select("doc_id", "best.unit", "best.license", F.round("best.dice", 6).alias("dice"))
+
+
+CANDIDATES = "array<struct<under: double, smaller: int, license: string, first: int, last: int>>"
+
+
+def listed_words(words: Sequence[str]) -> Column:
+    """The array of the words or bigrams, from one literal."""
+    return F.split(F.lit("\n".join(words)), "\n")
+
+
+def shared_bigrams(grams: Sequence[str], least: float) -> int:
+    """How many of a template's bigrams a unit that reaches it holds at least."""
+    return math.ceil(round(least / (2 - least) * len(grams), 9))
 
 
 def anchor_words(templates: Sequence[Sequence[str]], least: float) -> list[str]:
@@ -109,7 +219,7 @@ def anchor_words(templates: Sequence[Sequence[str]], least: float) -> list[str]:
     """
     found = set()
     for grams in templates:
-        shared = math.ceil(round(least / (2 - least) * len(grams), 9))
+        shared = shared_bigrams(grams, least)
         by_rarity = sorted((max(g.split(" "), key=lambda w: (len(w), w)) for g in grams), key=lambda w: (-len(w), w))
         found.update(by_rarity[: len(grams) - shared + 1])
     return sorted(found)
