@@ -40,8 +40,11 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix by source weights: a document taken twice is there twice, one in which a quota ends is cut there."""
-    return mixing.mixed_documents(docs).select(*docs.columns)
+    """The mix by source weights: a document taken twice is there twice, one in which a quota ends is cut there.
+
+    The rows lie as the mix deals them: by shard, in slices, each shuffled by place.
+    """
+    return mixing.laid_out(mixing.mixed_documents(docs)).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@
 3. The blocks taken are the quotas of a tree over the output shards: at every node the number that
    goes left is fixed, and how many of them come from each source is one multivariate-hypergeometric
    draw. A leaf's quotas name disjoint runs of each source's hashed block order.
-4. Within a shard the documents are shuffled by a hash.
+4. Within a shard the documents are shuffled by a hash; `laid_out` puts the rows where that says.
 
 Work on documents never gathers a source: sums are combined before the shuffle, only block totals
 are put in order, and only the blocks in which a quota ends are looked at document by document.
@@ -125,7 +125,7 @@ def with_blocks(sized: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
     return placed.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed), F.lit("block")), F.col("n_blocks")))
 
 
-def mix(sized: DataFrame, multiple: float = 1.5, cap: float = 2.0, weights: Sequence[int] = (3, 1, 2), block_words: int = 1 << 20, shard_words: int = 1 << 27, seed: int = 17) -> DataFrame:
+def mix(sized: DataFrame, multiple: float = 1.5, cap: float = 2.0, weights: Sequence[int] = (3, 1, 2), block_words: int = 1 << 20, shard_words: int = 1 << 24, seed: int = 17) -> DataFrame:
     """All rows of `sized` (doc_id, source, size and more) with source_size, target and `takes`.
 
     `takes` has an entry for each pass in which the mix takes words of the document: struct<pass,
@@ -136,7 +136,7 @@ def mix(sized: DataFrame, multiple: float = 1.5, cap: float = 2.0, weights: Sequ
     return mix_onto(sized, sized, multiple, cap, weights, block_words, shard_words, seed)
 
 
-def mix_onto(sized: DataFrame, slim: DataFrame, multiple: float = 1.5, cap: float = 2.0, weights: Sequence[int] = (3, 1, 2), block_words: int = 1 << 20, shard_words: int = 1 << 27, seed: int = 17) -> DataFrame:
+def mix_onto(sized: DataFrame, slim: DataFrame, multiple: float = 1.5, cap: float = 2.0, weights: Sequence[int] = (3, 1, 2), block_words: int = 1 << 20, shard_words: int = 1 << 24, seed: int = 17) -> DataFrame:
     """`mix` with the plan made from `slim`, the same documents' doc_id, source and size alone."""
     plan = written(block_plan(slim.select("doc_id", "source", "size"), multiple, cap, weights, block_words, shard_words, seed))
     targets = plan.select("source", "n_blocks").distinct()
@@ -178,3 +178,12 @@ def mixed_documents(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
     if "n_chars" in out:
         out["n_chars"] = F.length(text).cast(dict(docs.dtypes)["n_chars"])
     return rows.select(*(v.alias(c) for c, v in out.items()), F.col("take.shard").alias("shard"), F.xxhash64("doc_id", "take.pass", F.lit(seed), F.lit("place")).alias("place"))
+
+
+def laid_out(taken: DataFrame, slices: int = 256) -> DataFrame:
+    """The rows of `mixed_documents`, partitioned by shard and slice of places, each partition in order of shard and place.
+
+    A shard is cut by the hashed place into `slices` equal parts, so no task gets a whole one.
+    """
+    cut = F.pmod(F.shiftright("place", 32), F.lit(slices))
+    return taken.repartition(F.col("shard"), cut).sortWithinPartitions("shard", "place")
