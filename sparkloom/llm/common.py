@@ -32,11 +32,14 @@ def shared_folder(spark: SparkSession) -> str:
     return str(sc.getCheckpointDir()).rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """`df` as a Parquet table in the shared folder: it is computed once and outlives executors."""
+def written(df: DataFrame, files: int | None = None) -> DataFrame:
+    """`df` as a Parquet table in the shared folder: it is computed once and outlives executors.
+
+    With `files`, at most that many tasks write it, for tables much smaller than what they are made from.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/sparkloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.coalesce(files) if files else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -46,11 +49,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def text_bytes(docs: DataFrame, text: str = "text") -> int:
+    return int(docs.agg(F.sum(F.octet_length(F.col(text)).cast("long"))).first()[0] or 0)
+
+
+def groups_of(spark: SparkSession, total_bytes: int, target_bytes: int) -> int:
+    """How many groups of about `target_bytes` the bytes make, at least one for each shuffle partition."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total_bytes // target_bytes))
+
+
 def groups_for(docs: DataFrame, target_bytes: int, text: str = "text") -> int:
-    """How many groups of about `target_bytes` the texts make, at least one for each shuffle partition."""
-    total = docs.agg(F.sum(F.octet_length(F.col(text)).cast("long"))).first()[0] or 0
-    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, -(-int(total) // target_bytes))
+    return groups_of(docs.sparkSession, text_bytes(docs, text), target_bytes)
+
+
+def files_of(spark: SparkSession, total_bytes: int, target_bytes: int) -> int:
+    """In how many files to write what is made from so many bytes: one for each core at least."""
+    return max(spark.sparkContext.defaultParallelism, -(-total_bytes // target_bytes))
 
 
 # --- Arrow batches -----------------------------------------------------------------------------

@@ -11,31 +11,33 @@ tied to the smallest document of the path, never to all. Sets that are equal as
 good and represented by their smallest document.
 
 Tied documents form blocks. Each block's sets meet once: in the order of falling frequency in the
-block they are stored in a prefix tree, so that similar sets share their upper part; a set traverses
-the tree, overlaps with shared parts are counted once, and a subtree is left when the lengths that
-remain can't reach the threshold, or when all its sets are in the component already. A block beyond
-`block_docs` is split: each part meets a few leaders of the block, then whatever isn't in the
-block's largest component meets all parts. No link between different sets is lost.
+block they are stored in a prefix tree, so that similar sets share their upper part; one traversal
+joins the tree with itself, overlaps with shared parts are counted once, and a subtree is left when
+the lengths that remain can't reach the threshold, or when all its sets are in the component already.
+A block beyond `block_docs` is split: each part meets a few leaders of the block, those that share
+the most paths, then whatever doesn't reach the main leader meets all parts. No link between
+different sets is lost.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import bucket_of, checkpointed, chunks, deltas, from_deltas, from_planes, groups_for, hash_words, joined, mix, planes, rolling, word_spans, written
-from sparkloom.llm.components import connected
+from sparkloom.llm.common import bucket_of, chunks, deltas, from_deltas, from_planes, files_of, groups_of, hash_words, joined, mix, planes, rolling, text_bytes, word_spans, written
+from sparkloom.llm.components import connected, reached, stars
 
-_PATH, _EQUAL, _TIED, _SAME, _SIZE = range(5)
+_PATH, _EQUAL, _TIED, _SAME, _SIZE, _SHARES = range(6)
 _ROWS = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("docs", pa.binary()), ("index", pa.binary()), ("hashes", pa.binary())])
 _GROWTH = 1.5
 _PAIRS = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64())])
 #: Slots of the table that orders shingles by frequency, and the slices in which it is summed.
-TABLE, _SLICES = 1 << 22, 64
+TABLE, _SLICES = 1 << 22, 16
 
 
 def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,10 +64,10 @@ def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     return h[new], np.bincount(of[new], minlength=len(counts))
 
 
-def frequency_levels(texts: DataFrame, n: int, chunk_bytes: int) -> np.ndarray:
+def frequency_levels(texts: DataFrame, n: int, chunk_bytes: int, spread: int) -> np.ndarray:
     """How common the shingles of each of TABLE slots are, as a logarithmic level from 0 to 255, over all texts (doc_id, text).
 
-    Tasks count into tables of the same fixed size, which are summed slice by slice in two steps, so
+    Tasks count into tables of the same fixed size, which are summed slice by slice in two steps, `spread` groups in the first, so
     neither a group nor what comes to the driver (TABLE bytes) grows with the input.
     """
     width = TABLE // _SLICES
@@ -90,7 +92,7 @@ def frequency_levels(texts: DataFrame, n: int, chunk_bytes: int) -> np.ndarray:
         level = np.minimum(255, 8 * np.log2(1.0 + added(table))).astype(np.uint8)
         return pa.table({"slice": table.column("slice")[:1], "levels": pa.array([level.tobytes()], pa.binary())})
 
-    counted = texts.mapInArrow(count, "slice int, counts binary").withColumn("some", F.pmod(F.spark_partition_id(), F.lit(_SLICES)))
+    counted = texts.mapInArrow(count, "slice int, counts binary").withColumn("some", F.pmod(F.spark_partition_id(), F.lit(spread)))
     halfway = counted.groupBy("slice", "some").applyInArrow(summed, "slice int, counts binary")
     levels = np.zeros(TABLE, np.uint8)
     for k, raw in halfway.groupBy("slice").applyInArrow(levelled, "slice int, levels binary").collect():
@@ -194,15 +196,21 @@ def _path_rows(batches: Iterator[pa.RecordBatch], n: int, percent: int, levels:
 
 
 def _tied(rows: pa.Table) -> pa.Table:
-    """(kind, a, b): in one bucket, each document tied to the smallest one of its path or equal set; the rest passes through."""
+    """(kind, a, b) of one bucket: _SAME, _SIZE pass through, and equal sets are _SAME as the smallest.
+
+    _TIED: documents of one path are tied, and each with the smallest one that it reaches in the
+    bucket. _SHARES: in how many of the bucket's paths a document meets others.
+    """
     out: list[tuple] = []
     met: dict[int, list] = {_PATH: [], _EQUAL: []}
+    ties: list[tuple[np.ndarray, np.ndarray]] = []
     for r in rows.to_pylist():
         if r["kind"] in met:
             met[r["kind"]].append((from_planes(r["hashes"], "<u8").byteswap(), from_deltas(r["docs"])[from_planes(r["index"], "<u4")]))
         else:
-            out.append((r["kind"], from_planes(r["docs"], "<i8"), from_planes(r["index"], "<i8")))
-    for kind, tie in ((_PATH, _TIED), (_EQUAL, _SAME)):
+            own = from_planes(r["docs"], "<i8"), from_planes(r["index"], "<i8")
+            ties.append(own) if r["kind"] == _TIED else out.append((r["kind"], *own))
+    for kind in (_PATH, _EQUAL):
         if met[kind]:
             h, ids = (np.concatenate(x) for x in zip(*met[kind], strict=True))
             by = np.argsort(h, kind="stable")
@@ -212,7 +220,15 @@ def _tied(rows: pa.Table) -> pa.Table:
             several[:-1] |= same
             h, ids = h[by[several]], ids[by[several]]
             order, leader, _ = _leaders(h, ids)
-            out.append((tie, *_distinct_pairs(ids[order], leader)))
+            pairs = _distinct_pairs(ids[order], leader)
+            if kind == _EQUAL:
+                out.append((_SAME, *pairs))
+            else:
+                ties.append(pairs)
+                doc, shares = np.unique(ids, return_counts=True)
+                out.append((_SHARES, doc, shares))
+    if ties:
+        out.append((_TIED, *stars(*(np.concatenate(x) for x in zip(*ties, strict=True)))))
     kinds = np.repeat(np.array([k for k, _, _ in out], np.int8), [len(a) for _, a, _ in out]) if out else np.zeros(0, np.int8)
     a, b = (np.concatenate([x[j] for x in out]) if out else np.zeros(0, np.int64) for j in (1, 2))
     return pa.table([pa.array(kinds), pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_PAIRS)
@@ -221,175 +237,207 @@ def _tied(rows: pa.Table) -> pa.Table:
 # --- the prefix tree ---------------------------------------------------------------------------
 
 
-class _Node:
-    __slots__ = ("children", "edge", "fewest", "member", "most", "sole", "whole")
-
-    def __init__(self, edge: np.ndarray, size: int, member: int):
-        self.edge, self.children, self.whole = edge, {}, []
-        self.fewest = self.most = size  # sizes of the sets below
-        self.member, self.sole = member, True  # one set below; whether all were in its component
-
-
 class PrefixTree:
-    """Sets of one block in a common order; `add` links a set to the sets before it."""
-
-    def __init__(self, count: int, vocabulary: int, percent: int):
-        self.percent, self.parent, self.links = percent, list(range(count)), []
-        self.root = _Node(np.zeros(0, np.int32), 0, -1)
-        self.root.fewest, self.root.most = 1 << 60, 0
-        self.mask = np.zeros(vocabulary, bool)
-        self.sizes: dict[int, int] = {}
-
-    def find(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = self.parent[self.parent[i]]
-            i = self.parent[i]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        self.parent[self.find(i)] = self.find(j)
-
-    def probe(self, i: int, items: np.ndarray) -> None:
-        """Links set i to the sets in the tree that aren't in its component yet."""
-        n, p = len(items), self.percent
-        self.mask[items] = True
-        stack = [(self.root, 0, 0)]
+    """The sets of one block in a prefix tree, and their join with themselves in one traversal of it.
+
+    Items are numbered by falling frequency in the block and sets are put in lexicographic order, so
+    a subtree is a run of sets and an edge is what the run's sets share beyond their parent. A node
+    is visited with all sets that can still be similar to one below it, and with how much each of
+    them shares with the path from the root: an edge is counted once for all of them. They leave
+    when the lengths that remain can't reach the threshold, or when they are in the one component of
+    all sets below. The first set, which holds the most frequent items, is met first by all others.
+    """
+
+    def __init__(self, sets: Sequence[np.ndarray], percent: int):
+        self.percent = percent
+        flat = np.concatenate(sets)
+        items, which, counts = np.unique(flat, return_inverse=True, return_counts=True)
+        rank = np.empty(len(items), np.int32)
+        rank[np.lexsort((items, -counts))] = np.arange(len(items), dtype=np.int32)
+        ordered = [np.sort(x) for x in np.split(rank[which], np.cumsum([len(s) for s in sets])[:-1])]
+        self.order = sorted(range(len(sets)), key=lambda i: ordered[i].astype(">i4").tobytes())
+        self.sets = [ordered[i] for i in self.order]
+        self.sizes = np.array([len(x) for x in self.sets], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.items = np.concatenate(self.sets).astype(np.int64)
+        self.vocabulary = len(items)
+        # where an item occurs
+        of = np.repeat(np.arange(len(sets)), self.sizes)
+        self.holders = of[np.argsort(self.items, kind="stable")]
+        self.held = np.bincount(self.items, minlength=len(items))
+        self.first_holder = np.cumsum(self.held) - self.held
+        self.keys = of * self.vocabulary + self.items
+        self.shared = np.array([0, *(_common(a, b) for a, b in zip(self.sets, self.sets[1:], strict=False))], np.int64)
+
+    def overlaps(self, edge: np.ndarray, alive: np.ndarray) -> np.ndarray:
+        """How many of the edge's items each of the sets `alive` holds."""
+        held = self.held[edge]
+        if held.sum() <= 4 * self.sizes[alive].sum():
+            at = np.repeat(self.first_holder[edge] - (np.cumsum(held) - held), held) + np.arange(held.sum())
+            return np.bincount(self.holders[at], minlength=len(self.sets))[alive]
+        mine = np.zeros(self.vocabulary, bool)
+        mine[edge] = True
+        sizes = self.sizes[alive]
+        at = np.repeat(self.starts[alive] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        return np.add.reduceat(mine[self.items[at]].astype(np.int64), np.cumsum(sizes) - sizes)
+
+    def links(self, component: np.ndarray | None = None, probing: np.ndarray | None = None) -> list[tuple[int, int]]:
+        """Links that join the similar sets into their components (only those that join something).
+
+        Sets of one number in `component` are known to be in one; with `probing`, only pairs with at
+        least one such set are looked at.
+        """
+        n, p, size = len(self.sets), self.percent, self.sizes
+        comp = np.arange(n) if component is None else np.unique(component[self.order], return_inverse=True)[1]
+        asks = np.ones(n, bool) if probing is None else probing[self.order]
+        asked = np.concatenate([[0], np.cumsum(asks)])
+        found: list[tuple[int, int]] = []
+        stack = [(0, n, 0, np.arange(1, n), np.zeros(n - 1, np.int64))]
         while stack:
-            node, overlap, depth = stack.pop()
-            if node.member >= 0 and node.sole and self.find(node.member) == self.find(i):
-                continue
-            if len(node.edge):
-                overlap += int(np.count_nonzero(self.mask[node.edge]))
-                depth += len(node.edge)
-            # the most that any set below can share, against the least that the smallest one needs
-            if (100 + p) * min(n, overlap + node.most - depth) < p * (n + max(node.fewest, -(-n * p // 100))):
+            lo, hi, depth, alive, overlap = stack.pop()
+            keep = alive > lo  # a pair is met at its first set
+            least, most, own = size[lo:hi].min(), size[lo:hi].max(), comp[lo:hi]
+            if (own == own[0]).all():
+                keep &= comp[alive] != own[0]
+            if asked[lo] == asked[hi]:
+                keep &= asks[alive]
+            # the most that any set below can share, against the least that the smallest partner needs
+            need = p * (size[alive] + np.maximum(least, -(-size[alive] * p // 100)))
+            keep &= (100 + p) * np.minimum(size[alive], overlap + most - depth) >= need
+            if not keep.any():
                 continue
-            for j in node.whole:
-                if self.find(j) != self.find(i) and 100 * overlap >= p * (n + self.sizes[j] - overlap):
-                    self.join(j, i)
-                    self.links.append((i, j))
-            own = [c for first, c in node.children.items() if self.mask[first]]
-            stack.extend((c, overlap, depth) for first, c in node.children.items() if not self.mask[first])
-            stack.extend((c, overlap, depth) for c in own)  # visited first: the likeliest to link
-        self.mask[items] = False
-
-    def insert(self, i: int, items: np.ndarray) -> None:
-        n, node, rest = len(items), self.root, items
-        self.sizes[i] = n
-        while True:
-            node.fewest, node.most = min(node.fewest, n), max(node.most, n)
-            if node.member < 0:
-                node.member = i
-            node.sole = node.sole and self.find(node.member) == self.find(i)
-            if not len(rest):
-                node.whole.append(i)
-                return
-            child = node.children.get(int(rest[0]))
-            if child is None:
-                leaf = _Node(rest, n, i)
-                leaf.whole.append(i)
-                node.children[int(rest[0])] = leaf
-                return
-            m = min(len(child.edge), len(rest))
-            unlike = np.flatnonzero(child.edge[:m] != rest[:m])
-            same = int(unlike[0]) if len(unlike) else m
-            if same < len(child.edge):
-                upper = _Node(child.edge[:same], child.fewest, child.member)
-                upper.most, upper.sole = child.most, child.sole
-                child.edge = child.edge[same:]
-                upper.children[int(child.edge[0])] = child
-                node.children[int(rest[0])] = upper
-                child = upper
-            node, rest = child, rest[same:]
-
-
-def block_links(sets: list[np.ndarray], percent: int, probing: np.ndarray | None = None, before: list[tuple[int, int]] = ()) -> list[tuple[int, int]]:
-    """Links that join the similar sets of one block into their components (only those that join something).
-
-    With `probing`, only pairs with at least one such set are looked at; `before` are pairs known to
-    be in one component.
-    """
-    flat = np.concatenate(sets)
-    items, which, counts = np.unique(flat, return_inverse=True, return_counts=True)
-    rank = np.empty(len(items), np.int32)
-    rank[np.lexsort((items, -counts))] = np.arange(len(items), dtype=np.int32)
-    ordered = [np.sort(x) for x in np.split(rank[which], np.cumsum([len(s) for s in sets])[:-1])]
-    tree = PrefixTree(len(sets), len(items), percent)
-    for i, j in before:
-        tree.join(i, j)
-    if probing is None:
-        for i in sorted(range(len(sets)), key=lambda i: ordered[i][:64].tobytes()):
-            tree.probe(i, ordered[i])
-            tree.insert(i, ordered[i])
-    else:
-        for i in np.flatnonzero(~probing):
-            tree.insert(i, ordered[i])
-        for i in np.flatnonzero(probing):
-            tree.probe(i, ordered[i])
-            tree.insert(i, ordered[i])
-    return tree.links
+            alive, overlap, need = alive[keep], overlap[keep], need[keep]
+            end = int(self.shared[lo + 1 : hi].min()) if hi - lo > 1 else int(size[lo])
+            edge = self.items[self.starts[lo] + depth : self.starts[lo] + end]
+            if len(edge):
+                overlap = overlap + self.overlaps(edge, alive)
+                # what a set has beyond the edge's last item is all that it can still share
+                beyond = self.starts[alive] + size[alive] - np.searchsorted(self.keys, alive * self.vocabulary + edge[-1], side="right")
+                keep = (100 + p) * (overlap + np.minimum(beyond, most - end)) >= need
+                if not keep.any():
+                    continue
+                alive, overlap = alive[keep], overlap[keep]
+            at = lo
+            while at < hi and size[at] == end:  # the sets that end here
+                similar = alive[(alive > at) & (100 * overlap >= p * (size[alive] + size[at] - overlap)) & (comp[alive] != comp[at])]
+                if not asks[at]:
+                    similar = similar[asks[similar]]
+                if len(similar):
+                    other, first = np.unique(comp[similar], return_index=True)
+                    found += [(self.order[at], self.order[j]) for j in similar[first].tolist()]
+                    merged = np.zeros(n, bool)
+                    merged[other] = True
+                    comp[merged[comp]] = comp[at]
+                at += 1
+            if at < hi:
+                cuts = [at, *(at + 1 + np.flatnonzero(self.shared[at + 1 : hi] <= end)).tolist(), hi]
+                stack.extend((x, y, end, alive, overlap) for x, y in reversed(list(zip(cuts, cuts[1:], strict=False))))
+        return found
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """The length of the longest common beginning."""
+    m = min(len(a), len(b))
+    unlike = a[:m] != b[:m]
+    return int(unlike.argmax()) if unlike.any() else m
+
+
+def block_links(sets: list[np.ndarray], percent: int, component: np.ndarray | None = None, probing: np.ndarray | None = None) -> list[tuple[int, int]]:
+    return PrefixTree(sets, percent).links(component, probing)
 
 
 # --- the join ----------------------------------------------------------------------------------
 
 
+#: What a meeting of sets gives: _LINK (a, b); of split blocks also _REACHED: set a's place in its part's components, a bit for each leader in it, and the block.
+_LINK, _REACHED = range(2)
+_MET = "kind byte, a long, b long, block long"
+_MET_ROWS = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), ("block", pa.int64())])
+#: A split block's leaders, at most as many as bits are free in a long.
+LEADERS = 16
+
+
 def _meet(table: pa.Table, n: int, percent: int) -> pa.Table:
-    """(a, b) links within each block of a shard; `component` (if given) are known components, `probe` the sets to look at."""
+    """The links within each block of a shard. `leader` (if given) numbers the leaders of a split block from 1; `probe` (if given) marks the sets to look at; those it leaves out are known to be in one component."""
     sets, sizes = shingle_sets(table.column("text").combine_chunks(), n)
     parts = np.split(sets, np.cumsum(sizes)[:-1])
     ids, block = table.column("doc_id").to_numpy(), table.column("block").to_numpy()
     staged = "probe" in table.column_names
     probe = table.column("probe").to_numpy(zero_copy_only=False) if staged else None
-    component = table.column("component").to_numpy() if staged else None
-    links: list[tuple[int, int]] = []
+    component = np.where(probe, np.arange(1, len(probe) + 1), 0) if staged else None
+    leader = None if staged else table.column("leader").to_numpy()
+    split = None if staged else table.column("split").to_numpy(zero_copy_only=False)
+    out: list[tuple] = []
     order = np.lexsort((ids, block))
     for own in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
         own = own[sizes[own] > 0]
-        if len(own) < 2:
+        if not len(own):
             continue
-        before = []
-        if staged:
-            first: dict[int, int] = {}
-            before = [(k, first.setdefault(int(c), k)) for k, c in enumerate(component[own])]
-        links += [(int(ids[own[i]]), int(ids[own[j]])) for i, j in block_links([parts[i] for i in own], percent, probe[own] if staged else None, before)]
-    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
-
-
-def similar_links(texts: DataFrame, members: DataFrame, n: int, percent: int, block_docs: int, shard_bytes: int) -> DataFrame:
-    """Links (a, b) among the texts (doc_id, text) of the members (doc_id, block, docs: documents in the block)."""
-    parts = F.ceil(F.col("docs") / block_docs).cast("int")
-    placed = members.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    held = written(texts.join(placed, "doc_id").select("doc_id", "text", "block", "docs", "parts", "part"))
-    shards = groups_for(held, shard_bytes)
+        mine = [parts[i] for i in own]
+        links = np.array(block_links(mine, percent, component[own], probe[own]) if staged else block_links(mine, percent), np.int64).reshape(-1, 2)
+        a, b = ids[own[links[:, 0]]], ids[own[links[:, 1]]]
+        out.append((_LINK, a, b, block[own[0]]))
+        if not staged and split[own[0]]:
+            root, at = np.unique(reached(ids[own], a, b), return_inverse=True)
+            bits = np.zeros(len(root), np.int64)
+            np.bitwise_or.at(bits, at, np.where(leader[own] > 0, 1 << np.maximum(leader[own] - 1, 0), 0))
+            out.append((_REACHED, ids[own][leader[own] == 0], bits[at][leader[own] == 0], block[own[0]]))
+    count = [len(x[1]) for x in out]
+    cols = [np.repeat(np.array([x[0] for x in out], np.int8), count), *(np.concatenate([x[j] for x in out]) if out else np.zeros(0, np.int64) for j in (1, 2)), np.repeat(np.array([x[3] for x in out], np.int64), count)]
+    return pa.table([pa.array(c, t) for c, t in zip(cols, _MET_ROWS.types, strict=True)], schema=_MET_ROWS)
+
+
+def similar_links(texts: DataFrame, members: DataFrame, shares: DataFrame, n: int, percent: int, block_docs: int, shard_bytes: int, files: int) -> DataFrame:
+    """Links (a, b) among the texts (doc_id, text) of the members (doc_id, block).
+
+    A block of more than `block_docs` documents or `shard_bytes` of text is split into parts. Its
+    leaders, the documents that share the most paths (doc_id, shares), go to all of them; a set that
+    doesn't reach the leader that most sets reach then meets all parts.
+    """
+    held = written(texts.join(members, "doc_id"), 4 * files)
+    sizes = held.groupBy(F.col("block").alias("of")).agg(F.count("*").alias("docs"), F.sum(F.octet_length("text").cast("long")).alias("bytes")).filter("docs > 1")
+    # a part has several times as many sets as there are leaders
+    parts = F.ceil(F.greatest(F.lit(1), F.least(F.col("docs") / (4 * LEADERS), F.greatest(F.col("docs") / block_docs, F.col("bytes") / shard_bytes)))).cast("int")
+    counted = written(sizes.select("of", parts.alias("parts"), "bytes"), files)
+    in_blocks, most = counted.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.max("parts"), F.lit(0))).first()
+    shards = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-in_blocks // shard_bytes))
+    placed = held.join(counted.drop("bytes"), F.col("block") == F.col("of")).drop("of")
 
     def meet(table: pa.Table) -> pa.Table:
         return _meet(table, n, percent)
 
-    # About sixteen leaders of a split block go to all its parts.
-    leads = (F.col("parts") > 1) & (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.ceil(F.col("docs") / 16)) == 0)
+    whole = placed.filter("parts = 1").select("doc_id", "text", "block", F.lit(0).cast("long").alias("leader"), F.lit(False).alias("split"), F.pmod(F.xxhash64("block"), F.lit(shards)).alias("shard"))
+    if most <= 1:
+        return written(whole.groupBy("shard").applyInArrow(meet, _MET)).select("a", "b")
+    split = written(placed.filter("parts > 1").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")), 4 * files)
+    by_share = Window.partitionBy("block").orderBy(F.desc("shares"), "doc_id")
+    ranked = split.select("doc_id", "block").join(shares, "doc_id", "left").withColumn("leader", F.row_number().over(by_share).cast("long"))
+    leaders = ranked.filter(F.col("leader") <= LEADERS).select(F.col("doc_id").alias("_led"), "leader")
+    marked = split.join(leaders, F.col("doc_id") == F.col("_led"), "left").withColumn("leader", F.coalesce("leader", F.lit(0).cast("long")))
     everywhere = F.sequence(F.lit(0), F.col("parts") - 1)
-    dealt = held.withColumn("part", F.explode(F.when(leads, everywhere).otherwise(F.array("part"))))
-    shard = lambda *of: F.when(F.col("parts") == 1, F.pmod(F.xxhash64("block"), F.lit(shards))).otherwise(F.lit(shards) + F.abs(F.xxhash64("block", *of) % (1 << 40)))
-    first = dealt.withColumn("shard", shard("part")).select("doc_id", "text", "block", "shard").groupBy("shard").applyInArrow(meet, "a long, b long")
-    first = written(first)
-    split = held.filter("parts > 1")
-    if split.isEmpty():
-        return first
-    # What isn't in a split block's largest component meets all parts of the block.
-    labels = connected(first)
-    marked = split.join(labels, F.col("doc_id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "doc_id")).drop("node")
-    largest = marked.groupBy("block", "component").count().groupBy("block").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
-    marked = written(marked.join(largest, "block").withColumn("probe", F.col("component") != F.col("largest")).drop("largest"))
-    slices = marked.filter("probe").groupBy("block").agg(F.ceil(F.count("*") / block_docs).cast("int").alias("slices"))
-    both = marked.join(slices, "block")
-    each = F.sequence(F.lit(0), F.col("slices") - 1)
-    probes = both.filter("probe").select("doc_id", "text", "block", "component", "probe", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("slices")).cast("int").alias("slice"), F.explode(everywhere).alias("part"))
-    rest = both.select("doc_id", "text", "block", "component", F.lit(False).alias("probe"), F.explode(each).alias("slice"), "part")
-    second = probes.unionByName(rest).groupBy("block", "slice", "part").applyInArrow(meet, "a long, b long")
-    return first.unionByName(written(second))
-
-
-def similarity_components(docs: DataFrame, n: int = 5, percent: int = 80, block_docs: int = 4096, chunk_bytes: int = 8 << 20, shard_bytes: int = 16 << 20) -> DataFrame:
+    dealt = marked.withColumn("part", F.explode(F.when(F.col("leader") > 0, everywhere).otherwise(F.array("part"))))
+    apart = lambda *of: F.lit(shards) + F.abs(F.xxhash64("block", *of) % (1 << 40))
+    of_parts = dealt.select("doc_id", "text", "block", "leader", F.lit(True).alias("split"), apart("part").alias("shard"))
+    first = written(whole.unionByName(of_parts).groupBy("shard").applyInArrow(meet, _MET))
+    # The leader that most sets reach, and the sets that don't.
+    arrived = first.filter(F.col("kind") == _REACHED).select(F.col("a").alias("of"), F.col("b").alias("bits"), F.col("block").alias("in"))
+    votes = arrived.select("in", "bits", F.explode(F.sequence(F.lit(0), F.lit(LEADERS - 1))).alias("bit")).filter(F.getbit("bits", "bit") == 1).groupBy("in", "bit").count()
+    main = votes.groupBy("in").agg(F.max_by("bit", F.struct("count", "bit")).alias("main")).withColumnRenamed("in", "at")
+    probing = arrived.join(main, F.col("in") == F.col("at"), "left").filter(F.coalesce(F.getbit("bits", "main") == 0, F.lit(True))).select("of")
+    # Leaders have met all. A set that didn't reach the main one meets all parts; the others are known to be in one component.
+    known = split.join(leaders, F.col("doc_id") == F.col("_led"), "left_anti").join(probing, F.col("doc_id") == F.col("of"), "left")
+    known = written(known.withColumn("probe", F.col("of").isNotNull()).drop("of"), 4 * files)
+    slices = known.filter("probe").groupBy(F.col("block").alias("of")).agg(F.ceil(F.count("*") / block_docs).cast("int").alias("slices"))
+    both = known.join(slices, F.col("block") == F.col("of")).drop("of")
+    cell = lambda slice, part: F.struct(slice.cast("int").alias("slice"), part.cast("int").alias("part"))
+    own = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda s: cell(s, F.col("part")))
+    across = F.transform(everywhere, lambda p: cell(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("slices")), p))
+    again = both.withColumn("cell", F.explode(F.when(F.col("probe"), F.array_union(own, across)).otherwise(own)))
+    second = again.select("doc_id", "text", "block", "probe", apart("cell").alias("shard")).groupBy("shard").applyInArrow(meet, _MET)
+    return first.filter(F.col("kind") == _LINK).select("a", "b").unionByName(written(second).select("a", "b"))
+
+
+def similarity_components(docs: DataFrame, n: int = 5, percent: int = 80, block_docs: int = 1024, chunk_bytes: int = 8 << 20, shard_bytes: int = 8 << 20) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of `docs` (doc_id, text).
 
     Documents link if 100 * |A and B| >= percent * |A or B|; component_id is the smallest doc_id that
@@ -399,21 +447,21 @@ def similarity_components(docs: DataFrame, n: int = 5, percent: int = 80, block_
     empty table gives an empty one.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    buckets = groups_for(texts, 2 * chunk_bytes)
-    levels = texts.sparkSession.sparkContext.broadcast(frequency_levels(texts, n, chunk_bytes))
+    total = text_bytes(texts)
+    buckets, files = groups_of(texts.sparkSession, total, 2 * chunk_bytes), files_of(texts.sparkSession, total, 64 << 20)
+    levels = texts.sparkSession.sparkContext.broadcast(frequency_levels(texts, n, chunk_bytes, max(4, math.isqrt(buckets))))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _path_rows(batches, n, percent, levels.value, buckets, chunk_bytes)
 
     pairs = written(texts.mapInArrow(cut, "bucket int, kind byte, docs binary, index binary, hashes binary").groupBy("bucket").applyInArrow(_tied, "kind byte, a long, b long"))
     same = pairs.filter(F.col("kind") == _SAME).select("a", "b")
-    blocks = connected(pairs.filter(F.col("kind").isin(_TIED, _SAME)))
-    # Of equal sets only the smallest document meets others; blocks that have no two such are done.
-    represented = blocks.join(same.select(F.col("a").alias("node")).distinct(), "node", "left_anti").select(F.col("node").alias("doc_id"), F.col("component").alias("block"))
-    sizes = represented.groupBy("block").agg(F.count("*").alias("docs")).filter("docs > 1")
-    members = checkpointed(represented.join(sizes, "block"))
-    links = similar_links(texts, members, n, percent, block_docs, shard_bytes)
-    labels = connected(links.unionByName(same))
+    shares = pairs.filter(F.col("kind") == _SHARES).groupBy(F.col("a").alias("doc_id")).agg(F.sum("b").alias("shares"))
+    blocks = connected(pairs.filter(F.col("kind").isin(_TIED, _SAME)), files)
+    # Of equal sets only the smallest document meets others.
+    members = blocks.join(same.select(F.col("a").alias("node")).distinct(), "node", "left_anti").select(F.col("node").alias("doc_id"), F.col("component").alias("block"))
+    links = similar_links(texts, members, shares, n, percent, block_docs, shard_bytes, files)
+    labels = connected(links.unionByName(same), files)
     # A size below zero marks a row without doc_id.
     rows = pairs.filter(F.col("kind") == _SIZE).select(F.when(F.col("b") >= 0, F.col("a")).alias("doc_id"), F.when(F.col("b") >= 0, F.col("b")).otherwise(-1 - F.col("b")).alias("n_shingles"))
     return rows.join(labels, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
