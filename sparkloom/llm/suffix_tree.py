@@ -1,18 +1,19 @@
-"""Language-model scores from a probabilistic suffix tree over the bytes of word sequences.
-
-A text is its lower-cased (A-Z) words, each followed by a space, then one end symbol. The tree's
-states are the contexts of up to DEPTH bytes that the training texts hold and that divergence tests
-retain: a context stays if its next-symbol distribution gains `min_gain` nats over its suffix's on
-the symbols counted, or if a longer context of which it is a suffix stays. A state's distribution is
-smoothed towards its suffix's by the number of its different symbols. Each symbol is scored in the
-state of the longest retained suffix of what precedes it.
-
-Documents are dealt into parts. A part sends every different word and every different context with
-its symbol once, with the training count; hash ranges sum them up; the tree is built by subtrees
-(contexts that end in the same two bytes); and each part gets back what it asked for, a count for
-each word and a probability for each symbol in context. So no task holds the whole model, and what
-is counted covers all training texts. Only the counts of byte pairs, at most 65,536 numbers, come to
-the driver: they are the two uppermost levels of the tree.
+"""Language-model scores from a probabilistic suffix tree over words.
+
+A text is its lower-cased (A-Z) words, then one end symbol. The tree's states are the contexts, the
+last 1 to `depth` words of a text, that occur in training texts and that divergence tests retain:
+grown downwards from its suffix, a context stays if its next-symbol distribution gains over
+`min_gain` nats on its suffix's, summed over the training symbols that follow it. The distribution
+of a context seen n times is smoothed towards its suffix's with the weight n ** SMOOTH / (n + n ** SMOOTH)
+(as the different words after it grow with their number), the uppermost towards a unigram that
+leaves a share to unknown words. Each symbol is scored in the longest suffix that is a state.
+
+Texts are read once and kept as chunks of word numbers. What a chunk has to know about the corpus it
+asks for in three rounds: of each of its different words, the training count; of each different
+(context, symbol), the training count; of each different context, whether it stays, for which chunks
+send the gains of their own symbols. Ranges of hashed keys add up what chunks send, each key at most
+once from a chunk, so a frequent word, pair or context is no larger group than a rare one, and
+nobody holds the model whole. Counts cover all training texts. The driver sees three totals.
 """
 
 from __future__ import annotations
@@ -21,278 +22,255 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import bucket_of, chunks, from_planes, groups_for, hash_words, joined, mix, planes, word_spans
-
-DEPTH = 5
-END = 0x0A
-#: The end token among word hashes.
-_END_WORD = np.uint64(0xE17D5EED)
-_WORD, _GRAM = 0, 1
-_ASKED = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
-_TOLD = pa.schema([("part", pa.int32()), ("kind", pa.int8()), ("bucket", pa.int32()), ("told", pa.binary())])
-
-
-def _sql(schema: pa.Schema) -> str:
-    names = {pa.int32(): "int", pa.int8(): "byte", pa.int64(): "long", pa.binary(): "binary"}
-    return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
-
-
-def sequences(texts: pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word hashes, words of each text, grams, symbols of each text): a gram is a symbol's `depth` bytes before it, then the symbol."""
-    buf, ends = joined(texts, lower=True)
-    starts, lens, counts = word_spans(buf, ends)
-    words = hash_words(buf, starts, lens)
-    size = np.bincount(np.repeat(np.arange(len(counts)), counts), weights=lens + 1, minlength=len(counts)).astype(np.int64)
-    # Each word and the blank after it, which becomes a space; DEPTH + 1 ends between texts.
-    take = np.repeat(starts - (np.cumsum(lens + 1) - (lens + 1)), lens + 1) + np.arange(int((lens + 1).sum()))
-    body = buf[take]
-    body[np.cumsum(lens + 1) - 1] = 0x20
-    before = np.cumsum(size) - size
-    shift = depth + np.arange(len(size)) * (depth + 1)
-    stream = np.full(int(size.sum()) + depth + len(size) * (depth + 1), END, np.uint8)
-    at = np.arange(len(body)) + np.repeat(shift, size)
-    stream[at] = body
-    symbols = np.insert(at, before + size, before + size + shift)
-    grams = np.zeros(len(symbols), np.uint64)
-    for k in range(depth + 1):
-        grams = (grams << np.uint64(8)) | stream[symbols - depth + k].astype(np.uint64)
-    return words, counts, grams, size + 1
-
-
-def _asked_words(words: np.ndarray, counts: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(different words with the end token, their training counts, each word's index)."""
-    different, which = np.unique(np.append(words, _END_WORD), return_inverse=True)
-    seen = np.bincount(which[:-1], weights=np.repeat(train, counts), minlength=len(different)).astype(np.int64)
-    seen[which[-1]] += int(train.sum())
-    return different, seen, which
-
-
-def _asked_grams(grams: np.ndarray, sizes: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(different grams in order, their training counts)."""
-    marked = np.sort((grams << np.uint64(1)) | np.repeat(train, sizes).astype(np.uint64))
-    keys = marked >> np.uint64(1)
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat((marked & np.uint64(1)).astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
-
-
-def _dealt(keys: np.ndarray, buckets: int, hashed: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The keys' order by bucket, and each bucket's bounds in it."""
-    bucket = bucket_of(keys if hashed else mix(keys), buckets)
-    order = np.argsort(bucket.astype(np.uint16 if buckets <= 65536 else np.int64), kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
-
-
-def _ask(table: pa.Table, buckets: int, depth: int) -> pa.Table:
-    train = table.column("train").to_numpy(zero_copy_only=False)
-    words, counts, grams, sizes = sequences(table.column("text").combine_chunks(), depth)
-    part, out = table.column("part")[0].as_py(), []
-    for kind, keys, seen in ((_WORD, *_asked_words(words, counts, train)[:2]), (_GRAM, *_asked_grams(grams, sizes, train))):
-        order, cuts = _dealt(keys, buckets, kind == _WORD)
-        for b in range(buckets):
-            own = order[cuts[b] : cuts[b + 1]]
-            if len(own):
-                out.append({"bucket": b, "kind": kind, "part": part, "keys": planes(keys[own].byteswap()), "counts": planes(seen[own])})
-    return pa.Table.from_pylist(out, schema=_ASKED)
-
-
-def _merged(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(keys, summed counts, each row's places in the keys)."""
-    asked = [from_planes(r["keys"], "<u8").byteswap() for r in rows]
+from sparkloom.llm.common import bucket_of, chunks, files_of, from_planes, groups_of, hash_words, joined, mix, planes, text_bytes, word_spans, written
+
+DEPTH = 2
+SMOOTH = 0.75
+#: Gains are added up in so many parts of a nat.
+GAIN_STEPS = 1 << 16
+#: The end symbol among word hashes.
+_END = np.uint64(0xE17D5EED)
+
+#: Rows of chunks and their messages. _STATE: words, doc ids, flags (1: training, 2: no id), symbols a text.
+#: _WORDS, _PAIRS, _GAINS: keys and what is added up. Answers have the same kinds, in the order of the keys.
+_STATE, _WORDS, _PAIRS, _GAINS = range(4)
+_ROWS = pa.schema([("kind", pa.int8()), ("part", pa.int64()), ("level", pa.int8()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
+_ROWS_SQL = "kind byte, part long, level byte, bucket int, a binary, b binary, c binary, d binary"
+#: The part of rows that hold a bucket's totals.
+_TOTALS = -1
+
+
+def _squeezed(x: np.ndarray) -> bytes:
+    """The numbers in planes of as few bytes as they need, compressed; negative ones only in eight."""
+    kind = "<i8" if x.size and x.min() < 0 else next(k for k, most in (("<u1", 1 << 8), ("<u2", 1 << 16), ("<u4", 1 << 32), ("<u8", 1 << 64)) if not x.size or int(x.max()) < most)
+    return kind.encode() + zstandard.ZstdCompressor(level=3).compress(planes(x.astype(kind)))
+
+
+def _opened(raw: bytes) -> np.ndarray:
+    kind = raw[:3].decode()
+    x = from_planes(zstandard.ZstdDecompressor().decompress(raw[3:]), kind)
+    return x if kind == "<u8" else x.astype(np.int64)
+
+
+def _row(kind: int, part: int, level: int, bucket: int, *cells: bytes | None) -> dict:
+    return dict(zip(_ROWS.names, (kind, part, level, bucket, *cells, *[None] * (4 - len(cells))), strict=True))
+
+
+def _dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The order of different sorted keys by bucket, then key; and (bucket, first, last) of each run in it."""
+    bucket = bucket_of(mix(keys), buckets)
+    order = np.argsort(bucket, kind="stable")
+    used, first = np.unique(bucket[order], return_index=True)
+    return order, list(zip(used.tolist(), first.tolist(), [*first[1:].tolist(), len(keys)], strict=True))
+
+
+def _asked(kind: int, part: int, level: int, keys: np.ndarray, sent: np.ndarray, buckets: int) -> list[dict]:
+    order, runs = _dealt(keys, buckets)
+    keys, sent = keys[order], sent[order]
+    return [_row(kind, part, level, k, _squeezed(np.diff(keys[i:j], prepend=np.uint64(0))), _squeezed(sent[i:j])) for k, i, j in runs]
+
+
+def _answers(rows: dict[tuple, dict], kind: int, level: int, keys: np.ndarray, buckets: int, cell: str = "a") -> np.ndarray:
+    """What was answered for the keys, in their order."""
+    order, runs = _dealt(keys, buckets)
+    out = np.zeros(len(keys), np.int64)
+    if runs:
+        out[order] = np.concatenate([_opened(rows[kind, level, k][cell]) for k, _, _ in runs])
+    return out
+
+
+def _added_up(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(keys, sums, each row's places in the keys) of the rows of one kind, level and bucket."""
+    asked = [np.cumsum(_opened(r["a"]).astype(np.uint64), dtype=np.uint64) for r in rows]
     keys, which = np.unique(np.concatenate(asked), return_inverse=True)
-    counts = np.bincount(which, weights=np.concatenate([from_planes(r["counts"], "<i8") for r in rows]), minlength=len(keys)).astype(np.int64)
-    return keys, counts, np.split(which, np.cumsum([len(a) for a in asked])[:-1])
+    sums = np.zeros(len(keys), np.int64)
+    np.add.at(sums, which, np.concatenate([_opened(r["b"]) for r in rows]))
+    return keys, sums, np.split(which, np.cumsum([len(a) for a in asked])[:-1])
+
+
+# --- what a chunk does ---------------------------------------------------------------------------
+
+
+def _read(batches: Iterator[pa.RecordBatch], buckets: int, chunk_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Each chunk's state, and its different words with their training counts."""
+    base, serial = TaskContext.get().partitionId() << 32, 0
+    for chunk in chunks(batches, chunk_bytes):
+        buf, ends = joined(chunk.column(1), lower=True)
+        starts, lens, counts = word_spans(buf, ends)
+        symbols = np.insert(hash_words(buf, starts, lens), np.cumsum(counts), _END)
+        train = chunk.column(2).to_numpy(zero_copy_only=False)
+        ids = chunk.column(0)
+        different, which = np.unique(symbols, return_inverse=True)
+        seen = np.bincount(which, weights=np.repeat(train, counts + 1), minlength=len(different)).astype(np.int64)
+        # words are numbered as they are asked for, so that the answers of all buckets lie in their order
+        order, _ = _dealt(different, buckets)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        flags = train + 2 * ids.is_null().to_numpy(zero_copy_only=False)
+        state = _row(_STATE, base + serial, 0, 0, _squeezed(rank[which]), _squeezed(ids.fill_null(0).to_numpy(zero_copy_only=False)), _squeezed(flags), _squeezed(counts + 1))
+        yield pa.RecordBatch.from_pylist([state, *_asked(_WORDS, base + serial, 0, different, seen, buckets)], schema=_ROWS)
+        serial += 1
+
+
+class _Chunk:
+    """A chunk with what it has been told so far."""
+
+    def __init__(self, state: dict, told: list[dict], buckets: int, depth: int, bits: int, train_tokens: int, vocabulary: int):
+        self.part, self.buckets, self.depth = state["part"], buckets, depth
+        self.ids, flags, self.sizes = _opened(state["b"]), _opened(state["c"]), _opened(state["d"])
+        self.train, self.unnamed = flags % 2 == 1, flags >= 2
+        self.told = {(r["kind"], r["level"], r["bucket"]): r for r in told}
+        which = _opened(state["a"])
+        words = [self.told[k] for k in sorted(k for k in self.told if k[0] == _WORDS)]
+        known, number = (np.concatenate([_opened(r[cell]) for r in words]) for cell in ("a", "b"))
+        self.count, number = known[which], number[which].astype(np.uint64)
+        self.learns = np.repeat(self.train, self.sizes)
+        self.place = np.arange(len(which)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        self.unigram = (self.count + 0.1) / (train_tokens + 0.1 * (vocabulary + 1))
+        # keys[k]: of the symbol after the k words before it; a number if that fits, else a hash
+        self.keys = [number]
+        for k in range(1, depth + 1):
+            before = np.zeros(len(number), np.uint64)
+            before[k:] = number[:-k]
+            if (k + 1) * bits <= 64:
+                self.keys.append(self.keys[-1] + (before << np.uint64(k * bits)))
+            else:
+                self.keys.append(mix(self.keys[-1] ^ mix(before + np.uint64(k))))
+
+    def pairs(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places with k words before them, different keys, each place's key)."""
+        at = np.flatnonzero(self.place >= k)
+        return at, *np.unique(self.keys[k][at], return_inverse=True)
+
+    def asked_pairs(self) -> list[dict]:
+        out = []
+        for k in range(1, self.depth + 1):
+            at, keys, which = self.pairs(k)
+            seen = np.bincount(which, weights=self.learns[at], minlength=len(keys)).astype(np.int64)
+            out += _asked(_PAIRS, self.part, k, keys, seen, self.buckets)
+        return out
 
+    def levels(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(k, places whose k words before them are known, P there, P at the suffix, keys of the contexts)."""
+        count, p = self.count, self.unigram
+        for k in range(1, self.depth + 1):
+            at, keys, which = self.pairs(k)
+            here = np.zeros(len(p), np.int64)
+            here[at] = _answers(self.told, _PAIRS, k, keys, self.buckets)[which]
+            n = count[at - 1]  # a context is followed as often as its last word ends what it is
+            at, n = at[n > 0], n[n > 0].astype(float)
+            weight = n**SMOOTH
+            own = (here[at] + weight * p[at]) / (n + weight)
+            yield k, at, own, p[at], self.keys[k - 1][at - 1]
+            p, count = p.copy(), here
+            p[at] = own
+
+    def asked_gains(self) -> list[dict]:
+        out = []
+        for k, at, p, suffix, context in self.levels():
+            keys, which = np.unique(context, return_inverse=True)
+            gain = np.bincount(which, weights=np.where(self.learns[at], np.log(p / suffix), 0.0), minlength=len(keys))
+            out += _asked(_GAINS, self.part, k, keys, np.rint(gain * GAIN_STEPS).astype(np.int64), self.buckets)
+        return out
 
-def _count_words(table: pa.Table) -> pa.Table:
-    """Every asked word's training count; part -1 has the bucket's number of training tokens and of different ones."""
-    rows = table.to_pylist()
-    _, counts, places = _merged(rows)
-    out = [{"part": r["part"], "kind": _WORD, "bucket": r["bucket"], "told": planes(counts[p])} for r, p in zip(rows, places, strict=True)]
-    out.append({"part": -1, "kind": _WORD, "bucket": rows[0]["bucket"], "told": b"%d %d" % (counts.sum(), np.count_nonzero(counts))})
-    return pa.Table.from_pylist(out, schema=_TOLD)
+    def scores(self) -> pa.Table:
+        best, open_ = np.log10(self.unigram), np.ones(len(self.unigram), bool)
+        for k, at, p, _, context in self.levels():
+            keys, which = np.unique(context, return_inverse=True)
+            stays = (_answers(self.told, _GAINS, k, keys, self.buckets) > 0)[which] & open_[at]
+            best[at[stays]] = np.log10(p[stays])
+            open_ = np.zeros(len(best), bool)
+            open_[at[stays]] = True
+        first = np.cumsum(self.sizes) - self.sizes
+        sums = lambda x: np.add.reduceat(x, first) if len(first) else x
+        cols = [pa.array(self.ids, mask=self.unnamed), pa.array(self.train), pa.array(self.sizes), pa.array(sums((self.count > 0).astype(np.int64))), pa.array(sums(np.log10(self.unigram))), pa.array(sums(best))]
+        return pa.table(cols, schema=_SCORES)
 
 
-_SUBTREES = pa.schema([("subtree", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
-_MODEL = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("told", pa.binary())])
+_SCORES = pa.schema([("doc_id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def _sum_grams(table: pa.Table, subtrees: int) -> pa.Table:
-    """One bucket's different grams with their summed counts, by subtree."""
-    keys, counts, _ = _merged(table.to_pylist())
-    subtree = (mix((keys >> np.uint64(8)) & np.uint64(0xFFFF)) % np.uint64(subtrees)).astype(np.int64)
-    order = np.argsort(subtree, kind="stable")
-    cuts = np.searchsorted(subtree[order], np.arange(subtrees + 1))
-    bucket = table.column("bucket")[0].as_py()
-    out = [{"subtree": s, "bucket": bucket, "keys": planes(keys[o].byteswap()), "counts": planes(counts[o])} for s in range(subtrees) if len(o := order[cuts[s] : cuts[s + 1]])]
-    return pa.Table.from_pylist(out, schema=_SUBTREES)
+# --- what ranges of keys do ----------------------------------------------------------------------
 
 
-def upper_levels(pairs: np.ndarray) -> np.ndarray:
-    """P(symbol | last byte), smoothed, from the 256 x 256 training counts of byte pairs."""
-    total = pairs.sum(0).astype(float)
-    p0 = (total + (total > 0).sum() / 256 + 1 / 256) / (total.sum() + (total > 0).sum() + 1)
-    n, kinds = pairs.sum(1, keepdims=True).astype(float), (pairs > 0).sum(1, keepdims=True)
-    return np.where(n > 0, (pairs + kinds * p0) / np.maximum(n + kinds, 1), p0)
+def _count_words(table: pa.Table, buckets: int) -> pa.Table:
+    """Each asked word's training count and number; frequent words have small numbers. One row has the bucket's symbols, different ones and highest number."""
+    rows = table.to_pylist()
+    keys, counts, places = _added_up(rows)
+    bucket = rows[0]["bucket"]
+    number = np.empty(len(keys), np.int64)
+    number[np.lexsort((keys, -counts))] = np.arange(len(keys)) * buckets + bucket
+    out = [_row(_WORDS, r["part"], 0, bucket, _squeezed(counts[p]), _squeezed(number[p])) for r, p in zip(rows, places, strict=True)]
+    out.append(_row(_WORDS, _TOTALS, 0, bucket, b"%d %d %d" % (counts.sum(), np.count_nonzero(counts), number.max())))
+    return pa.Table.from_pylist(out, schema=_ROWS)
 
 
-def subtree_probabilities(keys: np.ndarray, counts: np.ndarray, p1: np.ndarray, depth: int, min_gain: float) -> tuple[np.ndarray, np.ndarray]:
-    """log10 P of each gram's symbol in the longest retained suffix of its context; and that suffix's length.
+def _sum_pairs(table: pa.Table) -> pa.Table:
+    rows = table.to_pylist()
+    _, sums, places = _added_up(rows)
+    return pa.Table.from_pylist([_row(_PAIRS, r["part"], r["level"], r["bucket"], _squeezed(sums[p])) for r, p in zip(rows, places, strict=True)], schema=_ROWS)
 
-    `keys` (different, in order) hold whole subtrees: all grams of the contexts that end in some byte pairs.
-    """
-    byte = np.uint64(0xFF)
-    level = p1[((keys >> np.uint64(8)) & byte).astype(np.int64), (keys & byte).astype(np.int64)]  # at each gram, its level's smoothed P
-    levels, places, gains = [], [], []
-    for k in range(2, depth + 1):
-        mask = np.uint64((1 << 8 * (k + 1)) - 1)
-        pair, of_pair = np.unique(keys & mask, return_inverse=True)
-        c = np.bincount(of_pair, weights=counts, minlength=len(pair))
-        _, first, state = np.unique(pair >> np.uint64(8), return_index=True, return_inverse=True)
-        n = np.add.reduceat(c, first) if len(first) else c
-        kinds = np.add.reduceat((c > 0).astype(float), first) if len(first) else c
-        parent = np.empty(len(pair))
-        parent[of_pair] = level  # all grams of a pair have the same parent's P
-        p = np.where(n[state] > 0, (c + kinds[state] * parent) / np.maximum(n + kinds, 1)[state], parent)
-        gains.append(np.bincount(state, weights=c * np.log(p / parent), minlength=len(n)))
-        level = p[of_pair]
-        levels.append(level)
-        places.append(state[of_pair])
-    kept = [g > min_gain for g in gains]
-    for k in range(len(kept) - 1, 0, -1):  # what a retained context ends in is retained
-        upper = places[k - 1][kept[k][places[k]]]
-        kept[k - 1][upper] = True
-    best = p1[((keys >> np.uint64(8)) & byte).astype(np.int64), (keys & byte).astype(np.int64)]
-    length = np.ones(len(keys), np.int64)
-    for k, (p, state) in enumerate(zip(levels, places, strict=True)):
-        own = kept[k][state]
-        best = np.where(own, p, best)
-        length[own] = k + 2
-    return np.log10(best), length
-
-
-def _grow(table: pa.Table, p1: np.ndarray, depth: int, min_gain: float) -> pa.Table:
-    """The probabilities of one group of subtrees, by bucket."""
+
+def _test_contexts(table: pa.Table, min_gain: float) -> pa.Table:
     rows = table.to_pylist()
-    keys = [from_planes(r["keys"], "<u8").byteswap() for r in rows]
-    all_keys = np.concatenate(keys)
-    order = np.argsort(all_keys, kind="stable")
-    told = np.empty(len(all_keys), "<f4")
-    told[order] = subtree_probabilities(all_keys[order], np.concatenate([from_planes(r["counts"], "<i8") for r in rows])[order], p1, depth, min_gain)[0]
-    at = np.cumsum([0, *map(len, keys)])
-    return pa.Table.from_pylist([{"bucket": r["bucket"], "keys": r["keys"], "told": planes(told[at[i] : at[i + 1]])} for i, r in enumerate(rows)], schema=_MODEL)
-
-
-def _tell_grams(asked: pa.Table, model: pa.Table) -> pa.Table:
-    """Every asked gram's log10 probability."""
-    known = model.to_pylist()
-    keys = np.concatenate([from_planes(r["keys"], "<u8").byteswap() for r in known]) if known else np.zeros(0, np.uint64)
-    told = np.concatenate([from_planes(r["told"], "<f4") for r in known]) if known else np.zeros(0, "<f4")
-    order = np.argsort(keys)
-    keys, told = keys[order], told[order]
-    out = []
-    for r in asked.to_pylist():
-        out.append({"part": r["part"], "kind": _GRAM, "bucket": r["bucket"], "told": planes(told[np.searchsorted(keys, from_planes(r["keys"], "<u8").byteswap())])})
-    return pa.Table.from_pylist(out, schema=_TOLD)
-
-
-_SCORES = pa.schema([("doc_id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("log_counts", pa.float64()), ("score", pa.float64())])
-
-
-def _score(table: pa.Table, told: pa.Table, buckets: int, depth: int) -> pa.Table:
-    """Each text's sums, from what its part was told."""
-    if not table.num_rows:
-        return _SCORES.empty_table()
-    train = table.column("train").to_numpy(zero_copy_only=False)
-    words, counts, grams, sizes = sequences(table.column("text").combine_chunks(), depth)
-    answers = {(r["kind"], r["bucket"]): r["told"] for r in told.to_pylist()}
-
-    def gathered(kind: int, keys: np.ndarray, dtype: str) -> np.ndarray:
-        order, cuts = _dealt(keys, buckets, kind == _WORD)
-        out = np.empty(len(keys), dtype)
-        for b in range(buckets):
-            if cuts[b] < cuts[b + 1]:
-                out[order[cuts[b] : cuts[b + 1]]] = from_planes(answers[kind, b], dtype)
-        return out
+    _, sums, places = _added_up(rows)
+    stays = (sums > min_gain * GAIN_STEPS).astype(np.int64)
+    return pa.Table.from_pylist([_row(_GAINS, r["part"], r["level"], r["bucket"], _squeezed(stays[p])) for r, p in zip(rows, places, strict=True)], schema=_ROWS)
+
 
-    different, _, which = _asked_words(words, counts, train)
-    c = gathered(_WORD, different, "<i8")[which]
-    text = np.repeat(np.arange(len(counts)), counts)
-    sums = lambda x, of: np.bincount(of, weights=x, minlength=len(counts))
-    log_counts = sums(np.log10(c[:-1] + 0.1), text) + np.log10(c[-1] + 0.1)
-    known = sums(c[:-1] > 0, text).astype(np.int64) + int(c[-1] > 0)
-    order = np.argsort(grams, kind="stable")
-    ordered = grams[order]
-    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-    logp = gathered(_GRAM, ordered[new], "<f4")
-    per_symbol = np.empty(len(grams), "<f4")
-    per_symbol[order] = logp[np.cumsum(new) - 1]
-    score = np.add.reduceat(per_symbol.astype(np.float64), np.cumsum(sizes) - sizes)
-    return pa.table([table.column("doc_id"), pa.array(train), pa.array(counts + 1), pa.array(known), pa.array(log_counts), pa.array(score)], schema=_SCORES)
-
-
-def byte_pairs(docs: DataFrame, depth: int) -> np.ndarray:
-    """The training counts of (last byte, symbol), 256 x 256."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << 16, np.int64)
-        for chunk in chunks(batches, 8 << 20, text=0):
-            total += np.bincount((sequences(chunk.column(0), 1)[2]).astype(np.int64), minlength=1 << 16)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "n"])
-
-    pairs = np.zeros(1 << 16, np.int64)
-    for pair, n in docs.filter("train").select("text").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n")).collect():
-        pairs[pair] = n
-    return pairs.reshape(256, 256)
-
-
-def suffix_tree_scores(docs: DataFrame, train: Column, depth: int = DEPTH, min_gain: float = 3.0, part_bytes: int = 8 << 20) -> DataFrame:
+def suffix_tree_scores(docs: DataFrame, train: Column, depth: int = DEPTH, min_gain: float = 3.0, chunk_bytes: int = 4 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of `docs` (doc_id, text).
 
     `train` marks the rows to learn from. `score` is the tree's log10 probability of the text;
-    `base_score` that of a smoothed unigram model over words. n_tokens counts the words and one end,
-    n_known those that occur in training texts. A null text has no words; a null doc_id stays null
-    (a null `train` is false); rows that repeat a doc_id are scored each; an empty table gives an
-    empty one; without training rows every symbol has the same probability.
+    `base_score` that of a smoothed unigram model. n_tokens counts the words and one end, n_known
+    those that occur in training texts. A null text has no words; a null doc_id stays null (a null
+    `train` is false); rows that repeat a doc_id are scored each, and so are rows of equal texts; an
+    empty table gives an empty one; without training rows every symbol has the probability 1.
+    Words and, where their numbers don't fit 64 bits, pairs are told apart by 64-bit hashes.
     """
-    if not 2 <= depth <= 6:
-        raise ValueError("depth must be from 2 to 6, so that a gram fits in 56 bits")
+    spark = docs.sparkSession
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    groups = groups_for(marked, part_bytes)
-    p1 = upper_levels(byte_pairs(marked, depth))
-    parts = marked.withColumn("part", (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % groups).cast("int"))
-
-    def ask(table: pa.Table) -> pa.Table:
-        return _ask(table, groups, depth)
-
-    def sum_grams(table: pa.Table) -> pa.Table:
-        return _sum_grams(table, groups)
-
-    def grow(table: pa.Table) -> pa.Table:
-        return _grow(table, p1, depth, min_gain)
-
-    def score(table: pa.Table, told: pa.Table) -> pa.Table:
-        return _score(table, told, groups, depth)
-
-    asked = parts.groupBy("part").applyInArrow(ask, _sql(_ASKED))
-    asked_words, asked_grams = asked.filter(F.col("kind") == _WORD), asked.filter(F.col("kind") == _GRAM)
-    word_counts = asked_words.groupBy("bucket").applyInArrow(_count_words, _sql(_TOLD))
-    model = asked_grams.groupBy("bucket").applyInArrow(sum_grams, _sql(_SUBTREES)).groupBy("subtree").applyInArrow(grow, _sql(_MODEL))
-    gram_answers = asked_grams.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(_tell_grams, _sql(_TOLD))
-    told = word_counts.filter("part >= 0").unionByName(gram_answers)
-    scored = parts.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(score, "doc_id long, train boolean, n_tokens long, n_known long, log_counts double, score double")
-    both = F.split(F.col("told").cast("string"), " ")
-    totals = word_counts.filter("part < 0").agg(F.coalesce(F.sum(both[0].cast("long")), F.lit(0)).alias("n"), F.coalesce(F.sum(both[1].cast("long")), F.lit(0)).alias("v"))
-    n, v = totals.select("n").scalar(), totals.select("v").scalar()
-    return scored.select(
-        "doc_id",
-        (~F.col("train")).alias("held_out"),
-        "n_tokens",
-        "n_known",
-        n.cast("long").alias("train_tokens"),
-        (F.col("log_counts") - F.col("n_tokens") * F.log10(n + F.lit(0.1) * (v + 1))).alias("base_score"),
-        "score",
-    )
+    total = text_bytes(marked)
+    buckets, files = groups_of(spark, total, bucket_bytes), files_of(spark, total, 64 << 20)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _read(batches, buckets, chunk_bytes)
+
+    def count_words(table: pa.Table) -> pa.Table:
+        return _count_words(table, buckets)
+
+    def test_contexts(table: pa.Table) -> pa.Table:
+        return _test_contexts(table, min_gain)
+
+    made = written(marked.mapInArrow(read, _ROWS_SQL))
+    states = made.filter(F.col("kind") == _STATE)
+    words = written(made.filter(F.col("kind") == _WORDS).groupBy("bucket").applyInArrow(count_words, _ROWS_SQL), files)
+    sums = F.split(F.col("a").cast("string"), " ")
+    n, v, highest = words.filter(F.col("part") == _TOTALS).agg(*(F.coalesce(f(sums[k].cast("long")), F.lit(0)) for k, f in enumerate((F.sum, F.sum, F.max)))).first()
+    bits = max(1, int(highest).bit_length())
+
+    def chunk(state: pa.Table, told: pa.Table) -> _Chunk:
+        return _Chunk(state.to_pylist()[0], told.to_pylist(), buckets, depth, bits, n, v)
+
+    def ask_pairs(state: pa.Table, told: pa.Table) -> pa.Table:
+        return pa.Table.from_pylist(chunk(state, told).asked_pairs() if state.num_rows else [], schema=_ROWS)
+
+    def ask_gains(state: pa.Table, told: pa.Table) -> pa.Table:
+        return pa.Table.from_pylist(chunk(state, told).asked_gains() if state.num_rows else [], schema=_ROWS)
+
+    def score(state: pa.Table, told: pa.Table) -> pa.Table:
+        return chunk(state, told).scores() if state.num_rows else _SCORES.empty_table()
+
+    def with_chunks(told: DataFrame):
+        return states.groupBy("part").cogroup(told.filter(F.col("part") != _TOTALS).groupBy("part"))
+
+    pairs = written(with_chunks(words).applyInArrow(ask_pairs, _ROWS_SQL).groupBy("bucket", "level").applyInArrow(_sum_pairs, _ROWS_SQL), files)
+    told = words.unionByName(pairs)
+    stays = with_chunks(told).applyInArrow(ask_gains, _ROWS_SQL).groupBy("bucket", "level").applyInArrow(test_contexts, _ROWS_SQL)
+    scored = with_chunks(told.unionByName(stays)).applyInArrow(score, "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
