@@ -66,7 +66,7 @@ def _dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int,
     bucket = bucket_of(mix(keys), buckets)
     order = np.argsort(bucket, kind="stable")
     used, first = np.unique(bucket[order], return_index=True)
-    return order, list(zip(used.tolist(), first.tolist(), [*first[1:].tolist(), len(keys)], strict=True))
+    return order, list(zip(used.tolist(), first.tolist(), [*first.tolist(), len(keys)][1:], strict=True))
 
 
 def _asked(kind: int, part: int, level: int, keys: np.ndarray, sent: np.ndarray, buckets: int) -> list[dict]:
