@@ -1,8 +1,8 @@
 """Packing documents into token windows by Karmarkar-Karp multiway differencing.
 
 Each Spark partition packs its own documents, group by group, so nothing is shuffled: a group is as
-many tokens as `windows` sequences hold. A document is cut only where it is longer than `max_piece`
-or where a group is full. Within a group, every piece starts as a partial partition (one loaded
+many tokens as `windows` sequences hold. A document is cut only where it is longer than a window,
+which its pieces then fill but for the last, or where a group is full. Within a group, every piece starts as a partial partition (one loaded
 window, the others empty); the two partial partitions of the greatest imbalance are merged, the
 heaviest windows of one onto the lightest of the other, until one partition is left. Its windows
 are nearly equal; if the fullest exceeds the capacity, the group is partitioned again into one more.
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -41,9 +42,9 @@ def byte_bpe(path: str):
     byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    special = {x["content"] for x in spec.get("added_tokens", [])}
+    special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
     ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 @lru_cache(maxsize=2)
@@ -70,21 +71,31 @@ class BatchEncoder:
     The pre-tokeniser always breaks between a visible character and the white space after it, so a
     text falls into pieces (white space, then visible characters) that are encoded on their own.
     Every different piece of a batch is encoded once. Texts with white space outside ASCII, next to
-    which that isn't certain, stay whole. Pieces are told apart by their 64-bit hash and length.
+    which that isn't certain, stay whole, and so do texts that hold an added token's string. As
+    `tokenizers` does by itself, such a string gives the added token; with `added_as_text`, its ids
+    are those of any other text. Pieces are told apart by their 64-bit hash and length.
     """
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, added_as_text: bool = False):
+        self.path, self.added_as_text = path, added_as_text
 
-    def _encoded(self, buf: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _added(self, buf: np.ndarray) -> list[int]:
+        """Where a string of an added token begins."""
+        if self.added_as_text:
+            return []
+        found = [re.escape(token.encode()) for token in byte_bpe(self.path).special_tokens_set]
+        return [m.start() for m in re.finditer(b"|".join(found), buf)] if found else []
+
+    def _encoded(self, buf: np.ndarray, starts: np.ndarray, stops: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The pieces' ids one after another, and how many each has.
 
-        Pieces from a space to a visible character are encoded as one text, and cut by their bytes.
+        Pieces from a space to a visible character are encoded as one text, and cut by their bytes;
+        those `apart` hold added tokens and are encoded each.
         """
         if not len(starts):
             return np.zeros(0, "<u4"), np.zeros(0, np.int64)
         bpe, sizes = byte_bpe(self.path), _token_bytes(self.path)
-        plain = _IS_SPACE[buf[starts]] & _BREAKS_AFTER[buf[stops - 1]]
+        plain = _IS_SPACE[buf[starts]] & _BREAKS_AFTER[buf[stops - 1]] & ~apart
         step = np.zeros(len(buf) + 1, np.int8)
         step[starts[plain]] += 1
         step[stops[plain]] -= 1
@@ -93,7 +104,8 @@ class BatchEncoder:
         upto = np.searchsorted(np.cumsum(sizes[ids]), np.cumsum((stops - starts)[plain])) + 1
         lens = np.zeros(len(starts), np.int64)
         lens[plain] = np.diff(upto, prepend=0)
-        odd = {k: bpe.encode_ordinary(buf[starts[k] : stops[k]].tobytes().decode()) for k in np.flatnonzero(~plain).tolist()}
+        of = lambda k: buf[starts[k] : stops[k]].tobytes().decode()
+        odd = {k: bpe.encode(of(k), allowed_special="all") if apart[k] else bpe.encode_ordinary(of(k)) for k in np.flatnonzero(~plain).tolist()}
         lens[list(odd)] = [len(x) for x in odd.values()]
         out, own = np.empty(int(lens.sum()), "<u4"), np.repeat(plain, lens)
         out[own] = ids
@@ -104,7 +116,7 @@ class BatchEncoder:
         buf, ends = joined(texts)
         n, first = len(buf) - 8, np.concatenate([[0], ends[:-1] + 1])
         size = ends - first
-        split = np.zeros(n, bool)
+        split, whole = np.zeros(n, bool), np.zeros(len(ends), bool)
         if n:
             split[1:] = _IS_SPACE[buf[1:n]] & _BREAKS_AFTER[buf[: n - 1]]
             wide = np.flatnonzero(_WIDE_FIRST[buf[:n]])
@@ -114,6 +126,9 @@ class BatchEncoder:
                     hit |= (buf[wide] == lead) & np.isin(buf[wide + 1], follow)
                 for k in np.unique(np.searchsorted(ends, wide[hit])):
                     split[first[k] : ends[k]] = False
+            whole[np.searchsorted(ends, self._added(buf))] = True
+            for k in np.flatnonzero(whole):
+                split[first[k] : ends[k]] = False
             split[ends] = False
             split[first[size > 0]] = True
         starts = np.flatnonzero(split)
@@ -125,7 +140,7 @@ class BatchEncoder:
         _, at, which = np.unique(hash_words(buf, starts, stops - starts), return_index=True, return_inverse=True)
         place = np.argsort(np.argsort(at))  # different pieces in the order of their first occurrence
         at.sort()
-        flat, lens = self._encoded(buf, starts[at], stops[at])
+        flat, lens = self._encoded(buf, starts[at], stops[at], whole[np.searchsorted(ends, starts[at])])
         which = place[which]
         counts = lens[which]
         done = np.cumsum(counts)
@@ -186,7 +201,7 @@ def partitioned(sizes: list[int], capacity: int) -> list[list[int]]:
         k += 1
 
 
-def pack(docs: DataFrame, encode: Callable[[pa.Array], list[np.ndarray]], capacity: int = 2048, windows: int = 128, max_piece: int = 512, fill: float = 0.99, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, encode: Callable[[pa.Array], list[np.ndarray]], capacity: int = 2048, windows: int = 128, fill: float = 0.99, with_ids: bool = True) -> DataFrame:
     """Rows per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (array<int>, if asked for).
 
     `encode` gives the ids, with their end mark, of each text of an Arrow array (null: empty). `start` counts the document's ids before the
@@ -207,6 +222,7 @@ def pack(docs: DataFrame, encode: Callable[[pa.Array], list[np.ndarray]], capaci
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, serial = TaskContext.get().partitionId() << 33, 0
+        batch_rows = 4000 if with_ids else 20_000
         room = limit = int(windows * capacity * fill)
         group: list[tuple] = []
         rows: list[tuple] = []
@@ -231,18 +247,23 @@ def pack(docs: DataFrame, encode: Callable[[pa.Array], list[np.ndarray]], capaci
             rows.clear()
             return pa.RecordBatch.from_arrays(arrays, names=[f.split()[0] for f in fields])
 
-        for chunk in chunks(batches, 16 << 20):
+        for chunk in chunks(batches, 4 << 20):
             for doc, ids in zip(chunk.column(0).to_pylist(), encode(chunk.column(1)), strict=True):
                 start, total = 0, len(ids)
                 while start < total:
-                    n = min(max_piece, total - start, room)
-                    group.append((doc, start, ids[start : start + n], total))
+                    n = min(capacity, total - start)
+                    if n == capacity:  # nothing is left to balance in a full window
+                        rows.extend((*row, base + serial) for row in windows_of([(doc, start, ids[start : start + n], total)]) if row)
+                        serial += 1
+                    else:
+                        n = min(n, room)
+                        group.append((doc, start, ids[start : start + n], total))
+                        room -= n
+                        if not room:
+                            flush()
                     start += n
-                    room -= n
-                    if not room:
-                        flush()
-                        if len(rows) >= 20_000:
-                            yield made()
+                    if len(rows) >= batch_rows:
+                        yield made()
         if group:
             flush()
         if rows:
