@@ -16,9 +16,13 @@ from sparkloom.llm.queries import tokenizer_path
 from sparkloom.sources.tables import table
 
 
+#: A short document may be a good one; the other rules judge it.
+MIN_WORDS = 1
+
+
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that every quality rule lets pass."""
-    return quality.quality_cascade(docs).filter("kept").select(*docs.columns)
+    """The documents that every quality rule lets pass. A null text, or one without words, goes."""
+    return quality.quality_cascade(docs, quality.default_rules(min_words=MIN_WORDS)).filter("kept").select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

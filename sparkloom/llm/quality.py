@@ -1,9 +1,10 @@
 """Quality rules as a short-circuit cascade.
 
 Every rule rejects a text or lets it pass; a document is kept if all rules let it pass. The verdict
-doesn't depend on the rules' order, the work does: on a bounded sample each rule's cost and share of
-rejections are measured, and the rules then run by rejections per cost, highest first, each text
-stopping at its first rejection. Statistics of a text are computed when a rule first asks for them.
+doesn't depend on the rules' order, the work does: each text stops at its first rejection. On a
+random sample of all rows it is measured which rules reject together and what each statistic costs
+that the rules read. The rules then run by rejections per cost, highest first, where a rule counts
+the texts that those before it let pass, and pays for the statistics that they haven't computed.
 """
 
 from __future__ import annotations
@@ -70,49 +71,81 @@ class TextStats:
         return total
 
 
+#: What each statistic is computed from.
+NEEDS = {"n_words": ("words",), "n_repeat_words": ("words",), "n_dup_lines": ("lines",)}
+
+
 @dataclass(frozen=True)
 class Rule:
-    """`rejects` is true for a text that must go."""
+    """`rejects` is true for a text that must go; `reads` are the statistics that it asks for."""
 
     name: str
     rejects: Callable[[TextStats], bool]
+    reads: tuple[str, ...] = ()
+
+    def statistics(self) -> tuple[str, ...]:
+        """What it reads, each after what it is computed from."""
+        return tuple(dict.fromkeys(x for s in self.reads for x in (*NEEDS.get(s, ()), s)))
 
 
 def default_rules(min_words: int = 50, repeat_percent: int = 50, symbol_share: float = 0.1, dup_line_share: float = 0.4, word_length: tuple[float, float] = (2.5, 12.0)) -> tuple[Rule, ...]:
     return (
-        Rule("too_few_words", lambda t: t.n_words < min_words),
-        Rule("repeated_windows", lambda t: 100 * t.n_repeat_words > repeat_percent * t.n_words),
-        Rule("symbols", lambda t: t.n_symbols > symbol_share * t.n_words),
-        Rule("repeated_lines", lambda t: t.n_dup_lines > dup_line_share * len(t.lines)),
-        Rule("word_length", lambda t: t.n_words > 0 and not word_length[0] <= t.word_chars / t.n_words <= word_length[1]),
+        Rule("too_few_words", lambda t: t.n_words < min_words, ("n_words",)),
+        Rule("repeated_windows", lambda t: 100 * t.n_repeat_words > repeat_percent * t.n_words, ("n_words", "n_repeat_words")),
+        Rule("symbols", lambda t: t.n_symbols > symbol_share * t.n_words, ("n_words", "n_symbols")),
+        Rule("repeated_lines", lambda t: t.n_dup_lines > dup_line_share * len(t.lines), ("n_dup_lines",)),
+        Rule("word_length", lambda t: t.n_words > 0 and not word_length[0] <= t.word_chars / t.n_words <= word_length[1], ("n_words", "word_chars")),
     )
 
 
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def measured(docs: DataFrame, rules: Sequence[Rule], sample_rows: int = 400) -> dict[str, tuple[float, float]]:
-    """Each rule's mean seconds and share of rejections on at most `sample_rows` documents; only sums reach the driver."""
+def measured(docs: DataFrame, rules: Sequence[Rule], sample_rows: int = 400) -> tuple[dict[int, int], dict[str, float]]:
+    """(number of sampled texts by the rules that reject them, a bit each; seconds of each statistic and rule).
+
+    Every row is sampled with the same chance, such that about `sample_rows` are; only sums reach the driver.
+    """
+    names = tuple(dict.fromkeys(s for r in rules for s in r.statistics()))
 
     def trial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        patterns, spent = Counter(), Counter()
         for batch in batches:
-            spent, out = [0.0] * len(rules), [0] * len(rules)
             for text in batch.column(0).to_pylist():
+                stats, pattern = TextStats(text), 0
+                for name in names:
+                    began = time.perf_counter()
+                    getattr(stats, name)
+                    spent[name] += time.perf_counter() - began
                 for k, rule in enumerate(rules):
-                    stats = TextStats(text)
                     began = time.perf_counter()
-                    out[k] += bool(rule.rejects(stats))
-                    spent[k] += time.perf_counter() - began
-            yield pa.RecordBatch.from_arrays([pa.array([r.name for r in rules]), pa.array(spent), pa.array(out, pa.int64()), pa.array([batch.num_rows] * len(rules), pa.int64())], ["rule", "spent", "rejected", "n"])
+                    pattern |= bool(rule.rejects(stats)) << k
+                    spent[rule.name] += time.perf_counter() - began
+                patterns[pattern] += 1
+        rows = [(None, p, float(n)) for p, n in patterns.items()] + [(name, None, x) for name, x in spent.items()]
+        what, pattern, x = zip(*rows, strict=True) if rows else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(what, pa.string()), pa.array(pattern, pa.int64()), pa.array(x, pa.float64())], ["what", "pattern", "x"])
+
+    count = docs.count()
+    sampled = docs.select("text").sample(min(1.0, sample_rows / max(1, count)), seed=11)
+    sums = sampled.mapInArrow(trial, "what string, pattern long, x double").groupBy("what", "pattern").agg(F.sum("x")).collect()
+    return {p: int(x) for what, p, x in sums if what is None}, {what: x for what, _, x in sums if what is not None}
+
 
-    sums = docs.select("text").limit(sample_rows).mapInArrow(trial, "rule string, spent double, rejected long, n long").groupBy("rule").agg(F.sum("spent"), F.sum("rejected"), F.sum("n"))
-    return {name: (spent / n, rejected / n) for name, spent, rejected, n in sums.collect()}
+def ordered(rules: Sequence[Rule], patterns: dict[int, int], costs: dict[str, float]) -> tuple[Rule, ...]:
+    """By rejections per second, highest first, of the texts that are left; as given where nothing was measured."""
+    left, known, order = dict(enumerate(rules)), set(), []
+    while left:
 
+        def worth(k: int) -> float:
+            rejected = sum(n for p, n in patterns.items() if p >> k & 1)
+            return rejected / max(1e-9, costs.get(left[k].name, 0.0) + sum(costs.get(s, 0.0) for s in left[k].statistics() if s not in known))
 
-def ordered(rules: Sequence[Rule], costs: dict[str, tuple[float, float]]) -> tuple[Rule, ...]:
-    """By rejections per second, highest first; as given where nothing was measured."""
-    worth = {name: rejected / max(spent, 1e-9) for name, (spent, rejected) in costs.items()}
-    return tuple(sorted(rules, key=lambda r: -worth.get(r.name, 0.0)))
+        best = max(left, key=lambda k: (worth(k), -k))
+        order.append(left.pop(best))
+        known.update(order[-1].statistics())
+        patterns = {p: n for p, n in patterns.items() if not p >> best & 1}
+    return tuple(order)
 
 
 def quality_cascade(docs: DataFrame, rules: Sequence[Rule] | None = None, features: Sequence[str] = (), sample_rows: int = 400) -> DataFrame:
@@ -123,7 +156,7 @@ def quality_cascade(docs: DataFrame, rules: Sequence[Rule] | None = None, featur
     Of the rules that would reject a text, `failed_rule` names the first in the measured order.
     """
     rules = tuple(default_rules() if rules is None else rules)
-    rules = ordered(rules, measured(docs, rules, sample_rows))
+    rules = ordered(rules, *measured(docs, rules, sample_rows))
     carried = [c for c in docs.columns if c not in {"failed_rule", "kept", *features}]
     at = carried.index("text")
 

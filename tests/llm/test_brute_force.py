@@ -303,7 +303,24 @@ def test_quality_order_does_not_change_verdicts(spark, folder):
     rules = quality.default_rules()
     first, second = (quality.quality_cascade(docs, r).select("doc_id", "kept").collect() for r in (rules, rules[::-1]))
     assert sorted(first) == sorted(second)
-    assert quality.ordered(rules, {"symbols": (1.0, 0.9), "too_few_words": (0.1, 0.5)})[:2] == (rules[0], rules[2])
+
+
+def test_quality_order_follows_marginal_costs():
+    rules = quality.default_rules()
+    names = lambda patterns, costs: [r.name for r in quality.ordered(rules, patterns, costs)]
+    # bits: 1 few words, 2 windows, 4 symbols, 8 lines
+    costs = {"words": 5.0, "n_words": 0.0, "n_symbols": 1.0, "n_repeat_words": 20.0, "lines": 3.0, "n_dup_lines": 1.0}
+    assert names({4: 50, 8: 40, 1: 20}, costs)[:3] == ["repeated_lines", "symbols", "too_few_words"]
+    # once symbols has split the words, few words costs nothing; what it rejects too isn't counted again
+    assert names({4: 90, 8: 40, 5: 9, 1: 1}, costs)[:3] == ["symbols", "too_few_words", "repeated_lines"]
+    assert names({}, {}) == [r.name for r in rules]
+
+
+def test_quality_sample_is_of_all_rows(spark):
+    docs = spark.range(0, 4000, 1, 8).selectExpr("id AS doc_id", "if(id < 3000, repeat('good words ', 40), '###') AS text")
+    patterns, costs = quality.measured(docs, quality.default_rules(), 800)
+    assert 600 < sum(patterns.values()) < 1000 and 120 < sum(n for p, n in patterns.items() if p & 4) < 280
+    assert {"words", "n_repeat_words", "symbols"} <= set(costs)
 
 
 def test_nulls_and_repeats(spark):

@@ -25,7 +25,7 @@ def folder(spark, tmp_path_factory):
     rows = [(k, prose(rng, 200)) for k in range(40)]
     rows += [(100, rows[3][1]), (101, rows[3][1].replace(rows[3][1].split()[10], "other", 1))]  # copies
     rows += [(200, f"{prose(rng, 90)}\n{passage}"), (201, f"{passage}\n{prose(rng, 90)}")]  # a shared passage
-    rows += [(300, "too short"), (301, None), (302, "again and again " * 60)]  # junk
+    rows += [(300, "A short one."), (301, None), (302, "again and again " * 60), (303, " \n")]  # all but the first are junk
     path = tmp_path_factory.mktemp("pipeline")
     spark.createDataFrame([(d, t, "en", "ab"[d % 2], len(t or "")) for d, t in rows], SCHEMA).repartition(4).write.parquet(f"{path}/documents.parquet")
     return str(path)
@@ -40,7 +40,7 @@ def test_every_stage_takes_effect(spark, folder):
         if name != "packing":
             assert docs.columns == before.columns
     ids = {name: {r.doc_id for r in rows} for name, rows in kept.items()}
-    clean = set(range(40)) | {200, 201}
+    clean = set(range(40)) | {200, 201, 300}
     assert ids["quality_rules"] == clean | {100, 101}
     assert ids["ngram_jaccard_join"] == clean
     texts = {r.doc_id: r.text for r in kept["substring_dedup"]}
