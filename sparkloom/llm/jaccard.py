@@ -22,7 +22,7 @@ different sets is lost.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,7 @@ from sparkloom.llm.components import connected, reached, stars
 _PATH, _EQUAL, _TIED, _SAME, _SIZE, _SHARES = range(6)
 _ROWS = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("docs", pa.binary()), ("index", pa.binary()), ("hashes", pa.binary())])
 _GROWTH = 1.5
-_PAIRS = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64())])
+_PAIRS = pa.schema([("kind", pa.int8()), ("a", pa.binary()), ("b", pa.binary())])
 #: Slots of the table that orders shingles by frequency, and the slices in which it is summed.
 TABLE, _SLICES = 1 << 22, 16
 
@@ -196,7 +196,7 @@ def _path_rows(batches: Iterator[pa.RecordBatch], n: int, percent: int, levels:
 
 
 def _tied(rows: pa.Table) -> pa.Table:
-    """(kind, a, b) of one bucket: _SAME, _SIZE pass through, and equal sets are _SAME as the smallest.
+    """(kind, a, b) of one bucket, each kind's pairs in a row: _SAME, _SIZE pass through, and equal sets are _SAME as the smallest.
 
     _TIED: documents of one path are tied, and each with the smallest one that it reaches in the
     bucket. _SHARES: in how many of the bucket's paths a document meets others.
@@ -229,9 +229,38 @@ def _tied(rows: pa.Table) -> pa.Table:
                 out.append((_SHARES, doc, shares))
     if ties:
         out.append((_TIED, *stars(*(np.concatenate(x) for x in zip(*ties, strict=True)))))
-    kinds = np.repeat(np.array([k for k, _, _ in out], np.int8), [len(a) for _, a, _ in out]) if out else np.zeros(0, np.int8)
-    a, b = (np.concatenate([x[j] for x in out]) if out else np.zeros(0, np.int64) for j in (1, 2))
-    return pa.table([pa.array(kinds), pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_PAIRS)
+    return pa.Table.from_pylist([{"kind": kind, "a": planes(a), "b": planes(b)} for kind, a, b in out if len(a)], schema=_PAIRS)
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], reduced: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The pairs in rows of `_tied` (a, b), about `most` at a time, `reduced`."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def made() -> pa.RecordBatch:
+        a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        a, b = reduced(a, b) if reduced else (a, b)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    for batch in batches:
+        for a, b in zip(batch.column(0), batch.column(1), strict=True):
+            held.append((from_planes(a.as_py(), "<i8"), from_planes(b.as_py(), "<i8")))
+            if sum(len(x) for x, _ in held) >= most:
+                yield made()
+    if held:
+        yield made()
+
+
+def _unpacked_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _unpacked(batches, stars)
+
+
+def _unpacked_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sums(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        doc, at = np.unique(a, return_inverse=True)
+        return doc, np.bincount(at, weights=b, minlength=len(doc)).astype(np.int64)
+
+    return _unpacked(batches, sums)
 
 
 # --- the prefix tree ---------------------------------------------------------------------------
@@ -437,7 +466,7 @@ def similar_links(texts: DataFrame, members: DataFrame, shares: DataFrame, n: in
     return first.filter(F.col("kind") == _LINK).select("a", "b").unionByName(written(second).select("a", "b"))
 
 
-def similarity_components(docs: DataFrame, n: int = 5, percent: int = 80, block_docs: int = 1024, chunk_bytes: int = 8 << 20, shard_bytes: int = 8 << 20) -> DataFrame:
+def similarity_components(docs: DataFrame, n: int = 5, percent: int = 80, block_docs: int = 1024, chunk_bytes: int = 4 << 20, shard_bytes: int = 8 << 20) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of `docs` (doc_id, text).
 
     Documents link if 100 * |A and B| >= percent * |A or B|; component_id is the smallest doc_id that
@@ -448,20 +477,21 @@ def similarity_components(docs: DataFrame, n: int = 5, percent: int = 80, block_
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = text_bytes(texts)
-    buckets, files = groups_of(texts.sparkSession, total, 2 * chunk_bytes), files_of(texts.sparkSession, total, 64 << 20)
+    buckets, files = groups_of(texts.sparkSession, total, 4 * chunk_bytes), files_of(texts.sparkSession, total, 64 << 20)
     levels = texts.sparkSession.sparkContext.broadcast(frequency_levels(texts, n, chunk_bytes, max(4, math.isqrt(buckets))))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _path_rows(batches, n, percent, levels.value, buckets, chunk_bytes)
 
-    pairs = written(texts.mapInArrow(cut, "bucket int, kind byte, docs binary, index binary, hashes binary").groupBy("bucket").applyInArrow(_tied, "kind byte, a long, b long"))
-    same = pairs.filter(F.col("kind") == _SAME).select("a", "b")
-    shares = pairs.filter(F.col("kind") == _SHARES).groupBy(F.col("a").alias("doc_id")).agg(F.sum("b").alias("shares"))
-    blocks = connected(pairs.filter(F.col("kind").isin(_TIED, _SAME)), files)
+    pairs = written(texts.mapInArrow(cut, "bucket int, kind byte, docs binary, index binary, hashes binary").groupBy("bucket").applyInArrow(_tied, "kind byte, a binary, b binary"))
+    of = lambda *kinds: pairs.filter(F.col("kind").isin(*kinds)).select("a", "b")
+    same = of(_SAME).mapInArrow(_unpacked, "a long, b long")
+    shares = of(_SHARES).mapInArrow(_unpacked_sums, "a long, b long").groupBy(F.col("a").alias("doc_id")).agg(F.sum("b").alias("shares"))
+    blocks = connected(of(_TIED, _SAME).mapInArrow(_unpacked_stars, "a long, b long"), files)
     # Of equal sets only the smallest document meets others.
     members = blocks.join(same.select(F.col("a").alias("node")).distinct(), "node", "left_anti").select(F.col("node").alias("doc_id"), F.col("component").alias("block"))
     links = similar_links(texts, members, shares, n, percent, block_docs, shard_bytes, files)
     labels = connected(links.unionByName(same), files)
     # A size below zero marks a row without doc_id.
-    rows = pairs.filter(F.col("kind") == _SIZE).select(F.when(F.col("b") >= 0, F.col("a")).alias("doc_id"), F.when(F.col("b") >= 0, F.col("b")).otherwise(-1 - F.col("b")).alias("n_shingles"))
+    rows = of(_SIZE).mapInArrow(_unpacked, "a long, b long").select(F.when(F.col("b") >= 0, F.col("a")).alias("doc_id"), F.when(F.col("b") >= 0, F.col("b")).otherwise(-1 - F.col("b")).alias("n_shingles"))
     return rows.join(labels, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
