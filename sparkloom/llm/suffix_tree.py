@@ -32,13 +32,15 @@ from sparkloom.llm.common import bucket_of, chunks, files_of, from_planes, group
 DEPTH = 2
 SMOOTH = 0.75
 #: Gains are added up in so many parts of a nat.
-GAIN_STEPS = 1 << 16
+GAIN_STEPS = 1 << 12
 #: The end symbol among word hashes.
 _END = np.uint64(0xE17D5EED)
 
-#: Rows of chunks and their messages. _STATE: words, doc ids, flags (1: training, 2: no id), symbols a text.
-#: _WORDS, _PAIRS, _GAINS: keys and what is added up. Answers have the same kinds, in the order of the keys.
-_STATE, _WORDS, _PAIRS, _GAINS = range(4)
+#: Rows of chunks and their messages. _STATE: words by their numbers in the chunk, doc ids, each number's place among
+#: the answers, and four times each text's symbols, plus 1 in training, plus 2 without an id. _WORDS, _PAIRS, _GAINS:
+#: pair numbers of keys, what is added up, words before. _GAINS of pairs have no keys but the order of those asked for;
+#: _NAMED ones have keys. Answers have the same kinds: for each key, and for each run of keys of one pair.
+_STATE, _WORDS, _PAIRS, _GAINS, _NAMED = range(5)
 _ROWS = pa.schema([("kind", pa.int8()), ("part", pa.int64()), ("level", pa.int8()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
 _ROWS_SQL = "kind byte, part long, level byte, bucket int, a binary, b binary, c binary, d binary"
 #: The part of rows that hold a bucket's totals.
@@ -61,36 +63,75 @@ def _row(kind: int, part: int, level: int, bucket: int, *cells: bytes | None) ->
     return dict(zip(_ROWS.names, (kind, part, level, bucket, *cells, *[None] * (4 - len(cells))), strict=True))
 
 
-def _dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """The order of different sorted keys by bucket, then key; and (bucket, first, last) of each run in it."""
-    bucket = bucket_of(mix(keys), buckets)
-    order = np.argsort(bucket, kind="stable")
-    used, first = np.unique(bucket[order], return_index=True)
-    return order, list(zip(used.tolist(), first.tolist(), [*first.tolist(), len(keys)][1:], strict=True))
+class _Keys:
+    """Different keys in order, each a pair number and a number for the words before it; `which` is each place's key.
 
+    A key is dealt by its pair, so that keys of one pair travel together in few bytes, but by all of
+    it where the pair is `heavy`: one that can occur more often than a bucket should hold.
+    """
+
+    def __init__(self, pair: np.ndarray, older: np.ndarray, heavy: np.ndarray, buckets: int):
+        order = np.lexsort((older, pair)) if older.any() else np.argsort(pair, kind="stable")
+        p, o = pair[order], older[order]
+        new = np.ones(len(p), bool)
+        new[1:] = (p[1:] != p[:-1]) | (o[1:] != o[:-1])
+        self.which = np.empty(len(p), np.int64)
+        self.which[order] = np.cumsum(new) - 1
+        p, o, heavy = p[new], o[new], heavy[order][new]
+        bucket = bucket_of(mix(np.where(heavy, p ^ mix(o + np.uint64(1)), p)), buckets)
+        #: from the order in which they are dealt, by bucket and key, to the order of the keys
+        self.order = np.argsort(bucket, kind="stable")
+        self.pair, self.older = p[self.order], o[self.order]
+        dealt = bucket[self.order]
+        self.buckets, first = np.unique(dealt, return_index=True)
+        self.bounds = [*first.tolist(), len(p)]
+        #: each run of keys of one pair in a bucket
+        run = np.ones(len(p), bool)
+        run[1:] = (self.pair[1:] != self.pair[:-1]) | (dealt[1:] != dealt[:-1])
+        self.run = np.cumsum(run) - 1
+        self.run_bounds = [*self.run[first].tolist(), int(run.sum())]
+
+    def __len__(self) -> int:
+        return len(self.order)
+
+    def asked(self, kind: int, part: int, level: int, sent: np.ndarray) -> list[dict]:
+        sent, out = sent[self.order], []
+        for k, i, j in zip(self.buckets.tolist(), self.bounds, self.bounds[1:], strict=False):
+            older = self.older[i:j]
+            out.append(_row(kind, part, level, k, _squeezed(np.diff(self.pair[i:j], prepend=np.uint64(0))), _squeezed(sent[i:j]), _squeezed(older) if older.any() else None))
+        return out
 
-def _asked(kind: int, part: int, level: int, keys: np.ndarray, sent: np.ndarray, buckets: int) -> list[dict]:
-    order, runs = _dealt(keys, buckets)
-    keys, sent = keys[order], sent[order]
-    return [_row(kind, part, level, k, _squeezed(np.diff(keys[i:j], prepend=np.uint64(0))), _squeezed(sent[i:j])) for k, i, j in runs]
+    def asked_of_runs(self, kind: int, part: int, level: int, sent: np.ndarray) -> list[dict]:
+        """What is sent for the runs of keys asked for before, which needn't be named again."""
+        return [_row(kind, part, level, k, None, _squeezed(sent[i:j])) for k, i, j in zip(self.buckets.tolist(), self.run_bounds, self.run_bounds[1:], strict=False)]
 
+    def run_of(self) -> np.ndarray:
+        """Each place's run."""
+        out = np.zeros(len(self), np.int64)
+        out[self.order] = self.run
+        return out[self.which]
 
-def _answers(rows: dict[tuple, dict], kind: int, level: int, keys: np.ndarray, buckets: int, cell: str = "a") -> np.ndarray:
-    """What was answered for the keys, in their order."""
-    order, runs = _dealt(keys, buckets)
-    out = np.zeros(len(keys), np.int64)
-    if runs:
-        out[order] = np.concatenate([_opened(rows[kind, level, k][cell]) for k, _, _ in runs])
-    return out
+    def answers(self, told: dict[tuple, dict], kind: int, level: int, of_runs: bool = False) -> np.ndarray:
+        """What was answered, for each place."""
+        if not len(self):
+            return np.zeros(0, np.int64)
+        said = np.concatenate([_opened(told[kind, level, k]["b" if of_runs else "a"]) for k in self.buckets.tolist()])
+        if of_runs:
+            return said[self.run_of()]
+        out = np.zeros(len(self), np.int64)
+        out[self.order] = said
+        return out[self.which]
 
 
 def _added_up(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(keys, sums, each row's places in the keys) of the rows of one kind, level and bucket."""
-    asked = [np.cumsum(_opened(r["a"]).astype(np.uint64), dtype=np.uint64) for r in rows]
-    keys, which = np.unique(np.concatenate(asked), return_inverse=True)
+    """(pair numbers, sums, each row's places in them) of the keys in the rows of one kind, level and bucket."""
+    pair = [r["pair"] if "pair" in r else np.cumsum(_opened(r["a"]).astype(np.uint64), dtype=np.uint64) for r in rows]
+    older = [_opened(r["c"]).astype(np.uint64) if r["c"] else np.zeros(len(p), np.uint64) for r, p in zip(rows, pair, strict=True)]
+    lens = [len(p) for p in pair]
+    keys = _Keys(np.concatenate(pair), np.concatenate(older), np.zeros(sum(lens), bool), 1)
     sums = np.zeros(len(keys), np.int64)
-    np.add.at(sums, which, np.concatenate([_opened(r["b"]) for r in rows]))
-    return keys, sums, np.split(which, np.cumsum([len(a) for a in asked])[:-1])
+    np.add.at(sums, keys.which, np.concatenate([_opened(r["b"]) for r in rows]))
+    return keys.pair, sums, np.split(keys.which, np.cumsum(lens)[:-1])
 
 
 # --- what a chunk does ---------------------------------------------------------------------------
@@ -105,15 +146,16 @@ def _read(batches: Iterator[pa.RecordBatch], buckets: int, chunk_bytes: int) ->
         symbols = np.insert(hash_words(buf, starts, lens), np.cumsum(counts), _END)
         train = chunk.column(2).to_numpy(zero_copy_only=False)
         ids = chunk.column(0)
-        different, which = np.unique(symbols, return_inverse=True)
-        seen = np.bincount(which, weights=np.repeat(train, counts + 1), minlength=len(different)).astype(np.int64)
-        # words are numbered as they are asked for, so that the answers of all buckets lie in their order
-        order, _ = _dealt(different, buckets)
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        flags = train + 2 * ids.is_null().to_numpy(zero_copy_only=False)
-        state = _row(_STATE, base + serial, 0, 0, _squeezed(rank[which]), _squeezed(ids.fill_null(0).to_numpy(zero_copy_only=False)), _squeezed(flags), _squeezed(counts + 1))
-        yield pa.RecordBatch.from_pylist([state, *_asked(_WORDS, base + serial, 0, different, seen, buckets)], schema=_ROWS)
+        none = np.zeros(len(symbols), np.uint64)
+        words = _Keys(symbols, none, none > 0, buckets)
+        seen = np.bincount(words.which, weights=np.repeat(train, counts + 1), minlength=len(words)).astype(np.int64)
+        # words are numbered by their frequency, which takes the fewest bytes; the answers come in the order of asking
+        by_count = np.argsort(-np.bincount(words.which, minlength=len(words)), kind="stable")
+        number, told = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        number[by_count] = told[words.order] = np.arange(len(words))
+        sizes = (counts + 1) * 4 + train + 2 * ids.is_null().to_numpy(zero_copy_only=False)
+        state = _row(_STATE, base + serial, 0, 0, _squeezed(number[words.which]), _squeezed(ids.fill_null(0).to_numpy(zero_copy_only=False)), _squeezed(told[by_count]), _squeezed(sizes))
+        yield pa.RecordBatch.from_pylist([state, *words.asked(_WORDS, base + serial, 0, seen)], schema=_ROWS)
         serial += 1
 
 
@@ -121,68 +163,105 @@ class _Chunk:
     """A chunk with what it has been told so far."""
 
     def __init__(self, state: dict, told: list[dict], buckets: int, depth: int, bits: int, train_tokens: int, vocabulary: int):
-        self.part, self.buckets, self.depth = state["part"], buckets, depth
-        self.ids, flags, self.sizes = _opened(state["b"]), _opened(state["c"]), _opened(state["d"])
-        self.train, self.unnamed = flags % 2 == 1, flags >= 2
+        self.part, self.buckets, self.depth, self.made = state["part"], buckets, depth, {}
+        sizes = _opened(state["d"])
+        self.ids, self.sizes, self.train, self.unnamed = _opened(state["b"]), sizes // 4, sizes % 2 == 1, sizes % 4 >= 2
         self.told = {(r["kind"], r["level"], r["bucket"]): r for r in told}
-        which = _opened(state["a"])
+        which = _opened(state["c"])[_opened(state["a"])]
         words = [self.told[k] for k in sorted(k for k in self.told if k[0] == _WORDS)]
         known, number = (np.concatenate([_opened(r[cell]) for r in words]) for cell in ("a", "b"))
         self.count, number = known[which], number[which].astype(np.uint64)
         self.learns = np.repeat(self.train, self.sizes)
         self.place = np.arange(len(which)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
         self.unigram = (self.count + 0.1) / (train_tokens + 0.1 * (vocabulary + 1))
-        # keys[k]: of the symbol after the k words before it; a number if that fits, else a hash
-        self.keys = [number]
-        for k in range(1, depth + 1):
-            before = np.zeros(len(number), np.uint64)
-            before[k:] = number[:-k]
-            if (k + 1) * bits <= 64:
-                self.keys.append(self.keys[-1] + (before << np.uint64(k * bits)))
-            else:
-                self.keys.append(mix(self.keys[-1] ^ mix(before + np.uint64(k))))
-
-    def pairs(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(places with k words before them, different keys, each place's key)."""
-        at = np.flatnonzero(self.place >= k)
-        return at, *np.unique(self.keys[k][at], return_inverse=True)
+        # a pair may be as frequent as the rarer of its words
+        often = self.count > train_tokens // buckets
+        self.heavy = often & np.concatenate([[False], often[:-1]])
+        # of the symbol after the k words before it: the number of the last pair, and of the words before that pair
+        before = lambda k: np.concatenate([np.zeros(min(k, len(number)), np.uint64), number[: max(0, len(number) - k)]])
+        self.pair = [number, number + (before(1) << np.uint64(bits)) if 2 * bits <= 64 else mix(number ^ mix(before(1)))]
+        # a word before the pair counts from 1; 0 is none
+        self.older = [np.zeros(len(number), np.uint64)] * 2
+        for k in range(2, depth + 1):
+            word = np.where(self.place >= k, before(k) + np.uint64(1), np.uint64(0))
+            self.older.append(word + (self.older[-1] << np.uint64(bits + 1)) if (k - 1) * (bits + 1) <= 64 else mix(self.older[-1] ^ mix(word)))
+            self.pair.append(self.pair[1])
+
+    def keys(self, at: np.ndarray, k: int) -> _Keys:
+        """The keys of the symbols at the places `at` after the k words before each."""
+        return _Keys(self.pair[k][at], self.older[k][at], self.heavy[at] & (k > 1), self.buckets)
+
+    def places(self, k: int) -> np.ndarray:
+        """For which symbols keys of k words before them are asked for: pairs go with the keys of two words, but for the heavy ones."""
+        if k == 1 and self.depth > 1:
+            return np.flatnonzero((self.place >= 1) & self.heavy)
+        return np.flatnonzero(self.place >= (1 if k == 2 else k))
+
+    def asked(self, k: int) -> tuple[np.ndarray, _Keys]:
+        """The places of level k and their keys, made once."""
+        if k not in self.made:
+            self.made[k] = (at := self.places(k)), self.keys(at, k)
+        return self.made[k]
 
     def asked_pairs(self) -> list[dict]:
         out = []
         for k in range(1, self.depth + 1):
-            at, keys, which = self.pairs(k)
-            seen = np.bincount(which, weights=self.learns[at], minlength=len(keys)).astype(np.int64)
-            out += _asked(_PAIRS, self.part, k, keys, seen, self.buckets)
+            at, keys = self.asked(k)
+            out += keys.asked(_PAIRS, self.part, k, np.bincount(keys.which, weights=self.learns[at], minlength=len(keys)).astype(np.int64))
         return out
 
-    def levels(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(k, places whose k words before them are known, P there, P at the suffix, keys of the contexts)."""
+    def levels(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(k, places whose k words before them are known, P there, P at the suffix)."""
         count, p = self.count, self.unigram
         for k in range(1, self.depth + 1):
-            at, keys, which = self.pairs(k)
             here = np.zeros(len(p), np.int64)
-            here[at] = _answers(self.told, _PAIRS, k, keys, self.buckets)[which]
+            if k == 1 and self.depth > 1:
+                at, keys = self.asked(2)
+                here[at] = keys.answers(self.told, _PAIRS, 2, of_runs=True)
+            at, keys = self.asked(k)
+            here[at] = keys.answers(self.told, _PAIRS, k)
+            at = np.flatnonzero(self.place >= k)
             n = count[at - 1]  # a context is followed as often as its last word ends what it is
             at, n = at[n > 0], n[n > 0].astype(float)
             weight = n**SMOOTH
             own = (here[at] + weight * p[at]) / (n + weight)
-            yield k, at, own, p[at], self.keys[k - 1][at - 1]
+            yield k, at, own, p[at]
             p, count = p.copy(), here
             p[at] = own
 
     def asked_gains(self) -> list[dict]:
+        """The gains of the contexts; those that are pairs, but for the heavy ones, in the order in which the pairs were asked for."""
         out = []
-        for k, at, p, suffix, context in self.levels():
-            keys, which = np.unique(context, return_inverse=True)
-            gain = np.bincount(which, weights=np.where(self.learns[at], np.log(p / suffix), 0.0), minlength=len(keys))
-            out += _asked(_GAINS, self.part, k, keys, np.rint(gain * GAIN_STEPS).astype(np.int64), self.buckets)
+        for k, at, p, suffix in self.levels():
+            gain = np.where(self.learns[at], np.log(p / suffix), 0.0)
+            named = self.heavy[at - 1] if k == 2 else np.ones(len(at), bool)
+            if k == 2:
+                both, asked = self.asked(2)
+                run = np.zeros(len(self.place), np.int64)
+                run[both] = asked.run_of()
+                total = np.bincount(run[at[~named] - 1], weights=gain[~named], minlength=asked.run_bounds[-1])
+                out += asked.asked_of_runs(_GAINS, self.part, k, np.rint(total * GAIN_STEPS).astype(np.int64))
+            contexts = self.keys(at[named] - 1, k - 1)
+            total = np.bincount(contexts.which, weights=gain[named], minlength=len(contexts))
+            out += contexts.asked(_NAMED, self.part, k, np.rint(total * GAIN_STEPS).astype(np.int64))
         return out
 
+    def stays(self, k: int, at: np.ndarray) -> np.ndarray:
+        """Whether the contexts of k words before the places `at` are states, if their suffixes are."""
+        out = np.zeros(len(at), np.int64)
+        named = self.heavy[at - 1] if k == 2 else np.ones(len(at), bool)
+        if k == 2:
+            both, asked = self.asked(2)
+            here = np.zeros(len(self.place), np.int64)
+            here[both] = asked.answers(self.told, _GAINS, k, of_runs=True)
+            out = here[at - 1]
+        out[named] = self.keys(at[named] - 1, k - 1).answers(self.told, _NAMED, k)
+        return out > 0
+
     def scores(self) -> pa.Table:
         best, open_ = np.log10(self.unigram), np.ones(len(self.unigram), bool)
-        for k, at, p, _, context in self.levels():
-            keys, which = np.unique(context, return_inverse=True)
-            stays = (_answers(self.told, _GAINS, k, keys, self.buckets) > 0)[which] & open_[at]
+        for k, at, p, _ in self.levels():
+            stays = self.stays(k, at) & open_[at]
             best[at[stays]] = np.log10(p[stays])
             open_ = np.zeros(len(best), bool)
             open_[at[stays]] = True
@@ -210,17 +289,34 @@ def _count_words(table: pa.Table, buckets: int) -> pa.Table:
     return pa.Table.from_pylist(out, schema=_ROWS)
 
 
+def _run_starts(pair: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+
+
 def _sum_pairs(table: pa.Table) -> pa.Table:
+    """Each asked key's training count; and that of each run of keys of one pair."""
     rows = table.to_pylist()
-    _, sums, places = _added_up(rows)
-    return pa.Table.from_pylist([_row(_PAIRS, r["part"], r["level"], r["bucket"], _squeezed(sums[p])) for r, p in zip(rows, places, strict=True)], schema=_ROWS)
+    pair, sums, places = _added_up(rows)
+    starts = _run_starts(pair)
+    of_runs = np.add.reduceat(sums, starts)
+    run = np.searchsorted(starts, np.arange(len(pair)), side="right") - 1
+    out = [_row(_PAIRS, r["part"], r["level"], r["bucket"], _squeezed(sums[p]), _squeezed(of_runs[run[p[_run_starts(pair[p])]]])) for r, p in zip(rows, places, strict=True)]
+    return pa.Table.from_pylist(out, schema=_ROWS)
 
 
-def _test_contexts(table: pa.Table, min_gain: float) -> pa.Table:
-    rows = table.to_pylist()
-    _, sums, places = _added_up(rows)
-    stays = (sums > min_gain * GAIN_STEPS).astype(np.int64)
-    return pa.Table.from_pylist([_row(_GAINS, r["part"], r["level"], r["bucket"], _squeezed(stays[p])) for r, p in zip(rows, places, strict=True)], schema=_ROWS)
+def _test_contexts(asked: pa.Table, gains: pa.Table, min_gain: float) -> pa.Table:
+    """Whether each context's gains add up to more than `min_gain`; those that aren't named are the pairs `asked`."""
+    out, rows = [], gains.to_pylist()
+    for kind in (_NAMED, _GAINS):
+        own = [r for r in rows if r["kind"] == kind]
+        if kind == _GAINS and own:
+            before = {r["part"]: np.cumsum(_opened(r["a"]).astype(np.uint64), dtype=np.uint64) for r in asked.select(["part", "a"]).to_pylist()}
+            own = [r | {"pair": (p := before[r["part"]])[_run_starts(p)]} for r in own]
+        if own:
+            _, sums, places = _added_up(own)
+            stays = (sums > min_gain * GAIN_STEPS).astype(np.int64)
+            out += [_row(kind, r["part"], r["level"], r["bucket"], *([_squeezed(stays[p])] * 2)) for r, p in zip(own, places, strict=True)]
+    return pa.Table.from_pylist(out, schema=_ROWS)
 
 
 def suffix_tree_scores(docs: DataFrame, train: Column, depth: int = DEPTH, min_gain: float = 3.0, chunk_bytes: int = 4 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
@@ -244,8 +340,8 @@ def suffix_tree_scores(docs: DataFrame, train: Column, depth: int = DEPTH, min_g
     def count_words(table: pa.Table) -> pa.Table:
         return _count_words(table, buckets)
 
-    def test_contexts(table: pa.Table) -> pa.Table:
-        return _test_contexts(table, min_gain)
+    def test_contexts(asked: pa.Table, gains: pa.Table) -> pa.Table:
+        return _test_contexts(asked, gains, min_gain)
 
     made = written(marked.mapInArrow(read, _ROWS_SQL))
     states = made.filter(F.col("kind") == _STATE)
@@ -269,8 +365,10 @@ def suffix_tree_scores(docs: DataFrame, train: Column, depth: int = DEPTH, min_g
     def with_chunks(told: DataFrame):
         return states.groupBy("part").cogroup(told.filter(F.col("part") != _TOTALS).groupBy("part"))
 
-    pairs = written(with_chunks(words).applyInArrow(ask_pairs, _ROWS_SQL).groupBy("bucket", "level").applyInArrow(_sum_pairs, _ROWS_SQL), files)
+    asked = with_chunks(words).applyInArrow(ask_pairs, _ROWS_SQL)
+    pairs = asked.groupBy("bucket", "level").applyInArrow(_sum_pairs, _ROWS_SQL)
     told = words.unionByName(pairs)
-    stays = with_chunks(told).applyInArrow(ask_gains, _ROWS_SQL).groupBy("bucket", "level").applyInArrow(test_contexts, _ROWS_SQL)
+    gains = with_chunks(told).applyInArrow(ask_gains, _ROWS_SQL)
+    stays = asked.groupBy("bucket", "level").cogroup(gains.groupBy("bucket", "level")).applyInArrow(test_contexts, _ROWS_SQL)
     scored = with_chunks(told.unionByName(stays)).applyInArrow(score, "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -273,13 +273,13 @@ def suffix_tree_by_hand(train, texts, depth, min_gain):
     return out
 
 
-@pytest.mark.parametrize("depth,chunk_bytes", [(2, 4 << 20), (3, 3000)])
+@pytest.mark.parametrize("depth,chunk_bytes", [(2, 4 << 20), (3, 3000), (1, 10_000)])
 def test_suffix_tree_scores(spark, folder, depth, chunk_bytes):
     import math
 
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     learns = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0
-    got = {r.doc_id: r for r in suffix_tree.suffix_tree_scores(docs, learns, depth=depth, chunk_bytes=chunk_bytes, bucket_bytes=20_000).collect()}
+    got = {r.doc_id: r for r in suffix_tree.suffix_tree_scores(docs, learns, depth=depth, chunk_bytes=chunk_bytes, bucket_bytes=20_000 if depth == 2 else 500).collect()}
     train = [r for r in ROWS if zlib.crc32(str(r[0]).encode()) % 10]
     token = lambda t: [*words("".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")), None]
     counts = Counter(w for r in train for w in token(r[1]))
