@@ -158,7 +158,7 @@ def _kept(text: str, places: np.ndarray, window: int, source_layout: bool) -> tu
     return (b"".join(kept) if source_layout else b" ".join(kept)).decode(), len(words), removed, [{"start": a, "stop": b} for a, b in spans]
 
 
-def dedup_substrings(docs: DataFrame, window: int = 20, source_layout: bool = False, group_bytes: int = 12 << 20, chunk_bytes: int = 12 << 20) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = 20, source_layout: bool = False, group_bytes: int = 8 << 20, chunk_bytes: int = 8 << 20) -> DataFrame:
     """All columns of `docs`, then kept_text, n_words, n_removed and removed_spans (word places, array<struct<start, stop>>).
 
     A word goes if a window of `window` consecutive words covers it whose word sequence also starts
