@@ -423,7 +423,8 @@ def similar_links(texts: DataFrame, members: DataFrame, shares: DataFrame, n: in
     leaders, the documents that share the most paths (doc_id, shares), go to all of them; a set that
     doesn't reach the leader that most sets reach then meets all parts.
     """
-    held = written(texts.join(members, "doc_id"), 4 * files)
+    # members grow with the texts, so they are merged at every size
+    held = written(texts.join(members.hint("merge"), "doc_id"), 4 * files)
     sizes = held.groupBy(F.col("block").alias("of")).agg(F.count("*").alias("docs"), F.sum(F.octet_length("text").cast("long")).alias("bytes")).filter("docs > 1")
     # a part has several times as many sets as there are leaders
     parts = F.ceil(F.greatest(F.lit(1), F.least(F.col("docs") / (4 * LEADERS), F.greatest(F.col("docs") / block_docs, F.col("bytes") / shard_bytes)))).cast("int")
