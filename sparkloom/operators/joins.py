@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,36 +15,42 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], on: str) ->
 
     Both sides are stacked and each key is put in order once, so rows are never multiplied: the last
     right row before a left one is the last non-null value of a running window. Of right rows with
-    equal `on` the last by their other columns counts. The output has the left columns, then the
-    right ones that aren't keys.
+    equal `on` the last by their other columns counts. As in SQL, a null matches nothing: left rows
+    with a null key or `on` get nulls, right ones are left out. The output has the left columns,
+    then the right ones that aren't keys.
     """
     own = [c for c in left.columns if c not in (*by, on)]
     other = [c for c in right.columns if c not in (*by, on)]
     if clash := set(own) & set(other):
         raise ValueError(f"both sides have {sorted(clash)}")
     lefts = left.select(*by, on, F.lit(1).alias("_side"), F.struct(*own).alias("_own") if own else F.struct(F.lit(1)).alias("_own"), F.lit(None).cast(right.select(F.struct(*other)).schema[0].dataType).alias("_other"))
-    rights = right.select(*by, on, F.lit(0).alias("_side"), F.lit(None).cast(lefts.schema["_own"].dataType).alias("_own"), F.struct(*other).alias("_other"))
+    known = reduce(and_, (F.col(c).isNotNull() for c in (*by, on)))
+    rights = right.filter(known).select(*by, on, F.lit(0).alias("_side"), F.lit(None).cast(lefts.schema["_own"].dataType).alias("_own"), F.struct(*other).alias("_other"))
     upto = Window.partitionBy(*by).orderBy(on, "_side", "_other").rowsBetween(Window.unboundedPreceding, 0)
-    met = lefts.unionByName(rights).withColumn("_other", F.last("_other", ignorenulls=True).over(upto)).filter("_side = 1")
+    met = lefts.unionByName(rights).withColumn("_other", F.last("_other", ignorenulls=True).over(upto)).filter("_side = 1").withColumn("_other", F.when(known, F.col("_other")))
     return met.select(*by, on, *(F.col("_own")[c].alias(c) for c in own), *(F.col("_other")[c].alias(c) for c in other))
 
 
-def interval_join(left: DataFrame, right: DataFrame, low: str, high: str, point: str, width: int) -> DataFrame:
-    """Left rows with the right rows whose integer `point` is in [low, high).
+def interval_join(left: DataFrame, right: DataFrame, low: str, high: str, point: str, width: float, by: Sequence[str] = ()) -> DataFrame:
+    """Left rows with the right rows of the same keys whose number `point` is in [low, high].
 
     Points fall into bins of `width`, and a left row is repeated for each bin that its interval
-    touches, so the join is an equality of bins: choose a width near the usual interval.
+    touches, so the join is an equality of keys and bins: choose a width near the usual interval.
+    Rows with a null key, bound or point match nothing.
     """
-    bins = F.sequence(F.floor(F.col(low) / width), F.floor((F.col(high) - 1) / width))
-    spread = left.filter(F.col(high) > F.col(low)).withColumn("_bin", F.explode(bins))
-    placed = right.withColumn("_bin", F.floor(F.col(point) / width))
-    return spread.join(placed, "_bin").filter((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop("_bin")
+    bin_of = lambda c: F.floor(F.col(c) / width).cast("long")
+    spread = left.filter(F.col(high) >= F.col(low)).withColumn("_bin", F.explode(F.sequence(bin_of(low), bin_of(high))))
+    placed = right.withColumn("_bin", bin_of(point))
+    return spread.join(placed, [*by, "_bin"]).filter((F.col(point) >= F.col(low)) & (F.col(point) <= F.col(high))).drop("_bin")
 
 
 def salted_join(large: DataFrame, small: DataFrame, on: str, salts: int = 16, how: str = "inner") -> DataFrame:
-    """An equality join in which each key of `large` is spread over `salts` tasks, and `small` repeated as often."""
+    """An equality join in which each key of `large` is spread over `salts` tasks, and `small` repeated as often.
+
+    A row's salt is a hash of the row, so a task that runs again deals its rows as before.
+    """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError("only joins that keep rows of the large side can be salted")
-    spread = large.withColumn("_salt", (F.rand(7) * salts).cast("int"))
+    spread = large.withColumn("_salt", F.pmod(F.xxhash64(*large.columns), F.lit(salts)).cast("int"))
     repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return spread.join(repeated, [on, "_salt"], how).drop("_salt")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.operators import joins, topk
+from sparkloom.operators import closure, joins, percentiles, topk
 from sparkloom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -184,15 +184,17 @@ def top_per_group(spark, sf_dir):
     return topk.top_per_group(table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", "c_acctbal"), ["c_nationkey"], [F.desc("c_acctbal"), F.asc("c_custkey")], 3)
 
 
-@query("SELECT c_nationkey AS nation FROM customer UNION SELECT s_nationkey FROM supplier")
+@query("SELECT o_custkey AS customer FROM orders WHERE o_totalprice > 300000 UNION SELECT c_custkey FROM customer WHERE c_acctbal > 5000")
 def union_distinct(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation")).union(table(spark, sf_dir, "supplier").select("s_nationkey")).distinct()
+    buyers = table(spark, sf_dir, "orders").filter("o_totalprice > 300000").select(F.col("o_custkey").alias("customer"))
+    return buyers.union(table(spark, sf_dir, "customer").filter("c_acctbal > 5000").select("c_custkey")).distinct()
 
 
-@query("SELECT source, lang FROM documents WHERE doc_id % 2 = 0 INTERSECT ALL SELECT source, lang FROM documents WHERE doc_id % 2 = 1")
+@query("SELECT o_custkey AS customer FROM orders WHERE o_orderpriority = '1-URGENT' INTERSECT ALL SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'")
 def intersected(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return docs.filter("doc_id % 2 = 0").select("source", "lang").intersectAll(docs.filter("doc_id % 2 = 1").select("source", "lang"))
+    orders = table(spark, sf_dir, "orders")
+    urgent = orders.filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("customer"))
+    return urgent.intersectAll(orders.filter("o_orderstatus = 'F'").select("o_custkey"))
 
 
 @query("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels WHERE toxic = 0")
@@ -222,17 +224,29 @@ def pivoted(spark, sf_dir):
 SELECT event_type, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.9), 6) AS p90, round(avg(value), 6) AS mean FROM events GROUP BY event_type
 """)
 def exact_percentiles(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(
-        F.round(F.percentile("value", 0.5), 6).alias("median"), F.round(F.percentile("value", 0.9), 6).alias("p90"), F.round(F.avg("value"), 6).alias("mean")
-    )
+    events = table(spark, sf_dir, "events")
+    found = percentiles.exact_percentiles(events, "event_type", "value", (0.5, 0.9))
+    of = lambda q: F.round(F.max(F.when(F.col("fraction") == q, F.col("percentile"))), 6)
+    means = events.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"))
+    return found.groupBy("event_type").agg(of(0.5).alias("median"), of(0.9).alias("p90")).join(means, "event_type")
 
 
 @query("""
 SELECT s.s_suppkey, c.c_custkey FROM supplier s JOIN customer c ON s.s_nationkey = c.c_nationkey AND c.c_acctbal BETWEEN s.s_acctbal - 50 AND s.s_acctbal + 50
 """)
 def banded_join(spark, sf_dir):
-    near = (F.col("s_nationkey") == F.col("c_nationkey")) & F.col("c_acctbal").between(F.col("s_acctbal") - 50, F.col("s_acctbal") + 50)
-    return table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "customer"), near).select("s_suppkey", "c_custkey")
+    near = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), (F.col("s_acctbal") - 50).alias("low"), (F.col("s_acctbal") + 50).alias("high"))
+    customers = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), "c_acctbal")
+    return joins.interval_join(near, customers, "low", "high", "c_acctbal", 100, by=["nation"]).select("s_suppkey", "c_custkey")
+
+
+@query("""
+SELECT l.l_orderkey, l.l_linenumber, s.s_name FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey WHERE l.l_quantity >= 49
+""")
+def salted_join(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").filter("l_quantity >= 49").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("supplier"))
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("supplier"), "s_name")
+    return joins.salted_join(lines, suppliers, "supplier").drop("supplier")
 
 
 @query("""
@@ -251,20 +265,19 @@ ON b.ts BETWEEN a.ts AND a.ts + INTERVAL 10 MINUTE AND a.event_type = 'signup' A
 """)
 def range_join(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), "ts", "event_type")
-    left = events.filter("event_type = 'signup'").select("event_id", F.col("at").alias("low"), (F.col("at") + 601).alias("high"), F.col("ts").alias("from_ts"))
+    left = events.filter("event_type = 'signup'").select("event_id", F.col("at").alias("low"), (F.col("at") + 600).alias("high"), F.col("ts").alias("from_ts"))
     right = events.filter("event_type = 'error'").select(F.col("event_id").alias("other_id"), "at", "ts")
     met = joins.interval_join(left, right, "low", "high", "at", 600)
     return met.filter((F.col("ts") >= F.col("from_ts")) & (F.col("ts") <= F.col("from_ts") + F.expr("INTERVAL 10 MINUTES"))).select("event_id", "other_id")
 
 
 @query("""
-WITH RECURSIVE chain(n, parent) AS (SELECT n_nationkey, n_regionkey FROM nation UNION SELECT c.n, n2.n_regionkey FROM chain c JOIN nation n2 ON c.parent = n2.n_nationkey)
-SELECT n, parent FROM chain
+WITH RECURSIVE up(customer, above) AS (
+  SELECT c_custkey, c_custkey // 10 FROM customer WHERE c_custkey >= 10
+  UNION SELECT u.customer, c.c_custkey // 10 FROM up u JOIN customer c ON u.above = c.c_custkey WHERE c.c_custkey >= 10
+)
+SELECT customer, above FROM up
 """)
 def recursive_query(spark, sf_dir):
-    table(spark, sf_dir, "nation").createOrReplaceTempView("nation_for_chain")
-    return spark.sql("""
-        WITH RECURSIVE chain(n, parent, step) AS (
-          SELECT n_nationkey, n_regionkey, 0 FROM nation_for_chain
-          UNION ALL SELECT c.n, p.n_regionkey, c.step + 1 FROM chain c JOIN nation_for_chain p ON c.parent = p.n_nationkey WHERE c.step < 6
-        ) SELECT DISTINCT n, parent FROM chain""")
+    edges = table(spark, sf_dir, "customer").filter("c_custkey >= 10").select(F.col("c_custkey").alias("a"), F.expr("c_custkey DIV 10").alias("b"))
+    return closure.reachable(edges).select(F.col("a").alias("customer"), F.col("b").alias("above"))

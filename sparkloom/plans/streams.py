@@ -35,6 +35,14 @@ def stream_sliding(spark, sf_dir):
     return streaming.drained(streaming.sliding(streaming.event_stream(spark, sf_dir))).drop("batch")
 
 
+@query(f"""
+SELECT * FROM (SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2)
+WHERE start + INTERVAL 1 HOUR <= {_WATERMARK}
+""")
+def stream_tumbling(spark, sf_dir):
+    return streaming.drained(streaming.tumbling(streaming.event_stream(spark, sf_dir))).drop("batch")
+
+
 @query(f"""
 WITH marked AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER w >= INTERVAL 30 MINUTE, true) AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 numbered AS (SELECT user_id, ts, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM marked)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,3 +22,10 @@ def shared_folder(spark: SparkSession) -> str:
 def new_path(spark: SparkSession) -> str:
     """A path in the shared folder that nothing else has."""
     return f"{shared_folder(spark)}/sparkloom-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """`df` as a Parquet table in the shared folder: it is computed once and outlives executors."""
+    path = new_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

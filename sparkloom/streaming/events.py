@@ -16,10 +16,14 @@ from sparkloom.sources.tables import table
 LATE = "1 hour"
 
 
-def event_stream(spark: SparkSession, sf_dir: str, late: str = LATE) -> DataFrame:
-    """The table `events` as a stream whose rows may be `late`; its time is a `timestamp`, as watermarks take."""
+def event_stream(spark: SparkSession, sf_dir: str, late: str = LATE, files: int | None = None) -> DataFrame:
+    """The table `events` as a stream whose rows may be `late`; its time is a `timestamp`, as watermarks take.
+
+    With `files`, a batch has that many files at most.
+    """
     schema = table(spark, sf_dir, "events").schema
-    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")  # as a pattern it may be a file too
+    reader = spark.readStream.schema(schema)
+    rows = (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(f"{sf_dir}/events.parque[t]")  # as a pattern it may be a file too
     return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
 
 
@@ -35,10 +39,19 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     return grouped.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), F.col("w.end").cast("timestamp_ntz").alias("stop"), "n")
 
 
+def tumbling(events: DataFrame, width: str = "1 hour") -> DataFrame:
+    """Count and sum of the values of each event type in each window."""
+    grouped = events.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return grouped.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
+
+
 def first_of_day(events: DataFrame) -> DataFrame:
-    """Which users had which event types on which day, each once; a day's state goes when the watermark has passed it."""
-    days = events.withColumn("day", F.window("ts", "1 day").start)
-    return days.select("user_id", "event_type", F.col("day").cast("timestamp_ntz").alias("day"), "ts").dropDuplicates(["user_id", "event_type", "day"]).drop("ts")
+    """Which users had which event types on which day, each once; a day's state goes when the watermark has passed it.
+
+    The window is a key, so that Spark knows when a key can't come again.
+    """
+    days = events.select("user_id", "event_type", F.window("ts", "1 day").alias("w")).dropDuplicates(["user_id", "event_type", "w"])
+    return days.select("user_id", "event_type", F.col("w.start").cast("timestamp_ntz").alias("day"))
 
 
 def followed(events: DataFrame, first: str = "click", then: str = "purchase", within: str = "1 hour") -> DataFrame:
@@ -49,10 +62,11 @@ def followed(events: DataFrame, first: str = "click", then: str = "purchase", wi
     return a.join(b, near).select("user_id", "first_id", "then_id")
 
 
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
+def drained(stream: DataFrame, mode: str = "append", progress: list | None = None) -> DataFrame:
     """Runs `stream` until its source has no more rows; the rows it put out, with the number of their `batch`.
 
-    A batch that is run again overwrites its own folder, so every row is there once.
+    A batch that is run again overwrites its own folder, so every row is there once. `progress`
+    gets Spark's reports of the batches.
     """
     spark = stream.sparkSession
     path, schema = new_path(spark), stream.schema
@@ -60,5 +74,8 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     def put(rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
 
-    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(put).start()
+    query.awaitTermination()
+    if progress is not None:
+        progress += query.recentProgress
     return spark.read.schema(schema.add("batch", "long")).parquet(f"{path}/rows")
