@@ -1,9 +1,7 @@
-"""What the corpus operators share: the shared folder, Arrow batches, word hashes, byte planes."""
+"""What the corpus operators share: sizes, Arrow batches, word hashes, byte planes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,40 +11,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.sources.shared import written
+
 #: Java's and Python's pattern of a word: anything but space, tab, \n, \v, \f, \r.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 
-# --- the shared folder -------------------------------------------------------------------------
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where it is unset, as in tests."""
-    set_to = spark.conf.get("spark.checkpoint.dir", None)
-    if set_to:
-        return set_to.rstrip("/")
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return str(sc.getCheckpointDir()).rstrip("/")
-
-
-def written(df: DataFrame, files: int | None = None) -> DataFrame:
-    """`df` as a Parquet table in the shared folder: it is computed once and outlives executors.
-
-    With `files`, at most that many tasks write it, for tables much smaller than what they are made from.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/sparkloom-{uuid.uuid4().hex}"
-    (df.coalesce(files) if files else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint, for small frames of iterative work; Spark removes it by itself."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+# --- sizes -------------------------------------------------------------------------------------
 
 
 def text_bytes(docs: DataFrame, text: str = "text") -> int:

@@ -75,7 +75,8 @@ def frequency_levels(texts: DataFrame, n: int, chunk_bytes: int, spread: int) ->
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(TABLE, np.uint32)
         for chunk in chunks(batches, chunk_bytes):
-            total += np.bincount((shingle_sets(chunk.column(1), n)[0] & np.uint64(TABLE - 1)).astype(np.int64), minlength=TABLE).astype(np.uint32)
+            slots, times = np.unique((shingle_sets(chunk.column(1), n)[0] & np.uint64(TABLE - 1)).astype(np.uint32), return_counts=True)
+            total[slots] += times.astype(np.uint32)
         parts = [planes(total[k * width : (k + 1) * width].astype("<u8")) for k in range(_SLICES)] if total.any() else []
         yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["slice", "counts"])
 

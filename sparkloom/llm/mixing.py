@@ -1,12 +1,14 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree.
 
 1. Every document falls, by a hash, into one of its source's blocks; a source has about one block
-   for each `block_words` words, so a block's documents are a random draw of the source.
+   for each `block_words` words, so a block's documents are a random draw of the source. All sources
+   have about BLOCKS of them, more where blocks would exceed MOST_BLOCK words.
 2. A source's quota of words is met by whole blocks in a hashed order, first pass before second; the
    block in which the quota ends is taken up to the document, and to the word, that ends it.
 3. The blocks taken are the quotas of a tree over the output shards: at every node the number that
    goes left is fixed, and how many of them come from each source is one multivariate-hypergeometric
-   draw. A leaf's quotas name disjoint runs of each source's hashed block order.
+   draw. A leaf's quotas name disjoint runs of each source's hashed block order; what the mix takes
+   is what the leaves have drawn.
 4. Within a shard the documents are shuffled by a hash; `laid_out` puts the rows where that says.
 
 Work on documents never gathers a source: sums are combined before the shuffle, only block totals
@@ -25,6 +27,10 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import WORD, written
 
 
+#: About how many blocks all sources have, a block's fewest and most words, and a shard's blocks.
+BLOCKS, LEAST_BLOCK, MOST_BLOCK, SHARD_BLOCKS = 512, 1 << 10, 1 << 20, 16
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -69,11 +75,14 @@ def splitting_tree(quotas: np.ndarray, shards: int, seed: int) -> Iterator[tuple
         stack.append((first, half, to_left))
 
 
-def block_plan(sized: DataFrame, multiple: float, cap: float, weights: Sequence[int], block_words: int, shard_words: int, seed: int) -> DataFrame:
+def block_plan(sized: DataFrame, multiple: float, cap: float, weights: Sequence[int], block_words: int | None, shard_words: int | None, seed: int) -> DataFrame:
     """From (doc_id, source, size): per source and block its words, the words taken in each pass, and the shards they go to."""
     if cap > 2:
         raise ValueError("a document is taken in two passes at most")
     sizes = written(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
+    total = sizes.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
+    block_words = block_words or min(MOST_BLOCK, max(LEAST_BLOCK, int(total) // BLOCKS))
+    shard_words = shard_words or SHARD_BLOCKS * block_words
     targets = source_targets(sizes, multiple, cap, weights).withColumn("n_blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words)).cast("long"))
     targets = written(targets)
     in_blocks = with_blocks(sized, targets, seed)
@@ -113,7 +122,8 @@ def block_plan(sized: DataFrame, multiple: float, cap: float, weights: Sequence[
     shards = quotas.coalesce(1).mapInPandas(deal, schema).withColumnsRenamed({"source": "of", "turn": "at"})
     # A source's taken blocks are the first ones of its order, so `turn` counts them without gaps.
     placed = units.join(shards, F.col("source").eqNullSafe(F.col("of")) & (F.col("turn") == F.col("at")), "left")
-    each = F.struct("pass", "taken", "shard")
+    # what no shard has drawn isn't in the mix
+    each = F.struct("pass", F.when(F.col("shard").isNotNull(), F.col("taken")).otherwise(0).cast("long").alias("taken"), "shard")
     return placed.groupBy("source", "block", "source_size", "target", "n_blocks", "words").agg(
         F.max(F.when(F.col("pass") == 0, each)).alias("once"), F.max(F.when(F.col("pass") == 1, each)).alias("again")
     )
@@ -125,8 +135,8 @@ def with_blocks(sized: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
     return placed.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed), F.lit("block")), F.col("n_blocks")))
 
 
-def mix(sized: DataFrame, multiple: float = 1.5, cap: float = 2.0, weights: Sequence[int] = (3, 1, 2), block_words: int = 1 << 20, shard_words: int = 1 << 24, seed: int = 17) -> DataFrame:
-    """All rows of `sized` (doc_id, source, size and more) with source_size, target and `takes`.
+def mix(sized: DataFrame, multiple: float = 1.5, cap: float = 2.0, weights: Sequence[int] = (3, 1, 2), block_words: int | None = None, shard_words: int | None = None, seed: int = 17) -> DataFrame:
+    """All rows of `sized` (doc_id, source, size and more, of any names) with source_size, target and `takes`, which replace columns of these names.
 
     `takes` has an entry for each pass in which the mix takes words of the document: struct<pass,
     shard, words>. The words of a source's takes sum to its rounded target. A document of no words
@@ -136,8 +146,12 @@ def mix(sized: DataFrame, multiple: float = 1.5, cap: float = 2.0, weights: Sequ
     return mix_onto(sized, sized, multiple, cap, weights, block_words, shard_words, seed)
 
 
-def mix_onto(sized: DataFrame, slim: DataFrame, multiple: float = 1.5, cap: float = 2.0, weights: Sequence[int] = (3, 1, 2), block_words: int = 1 << 20, shard_words: int = 1 << 24, seed: int = 17) -> DataFrame:
+def mix_onto(sized: DataFrame, slim: DataFrame, multiple: float = 1.5, cap: float = 2.0, weights: Sequence[int] = (3, 1, 2), block_words: int | None = None, shard_words: int | None = None, seed: int = 17) -> DataFrame:
     """`mix` with the plan made from `slim`, the same documents' doc_id, source and size alone."""
+    own, added = ("doc_id", "source", "size"), ("source_size", "target", "takes")
+    carried = [c for c in sized.columns if c not in (*own, *added)]
+    order = [c for c in sized.columns if c not in added]
+    sized = sized.select(*own, F.struct(*(F.col(f"`{c}`") for c in carried) if carried else (F.lit(0).alias("_"),)).alias("_carried"))
     plan = written(block_plan(slim.select("doc_id", "source", "size"), multiple, cap, weights, block_words, shard_words, seed))
     targets = plan.select("source", "n_blocks").distinct()
     facts = plan.select(F.col("source").alias("of"), F.col("block").alias("at"), "source_size", "target", "words", "once", "again")
@@ -153,7 +167,8 @@ def mix_onto(sized: DataFrame, slim: DataFrame, multiple: float = 1.5, cap: floa
         return F.struct(F.col(f"{unit}.pass").alias("pass"), F.col(f"{unit}.shard").alias("shard"), words.cast("long").alias("words"))
 
     both = whole.unionByName(ending)
-    return both.withColumn("takes", F.filter(F.array(take("once"), take("again")), lambda t: t["words"] > 0)).drop("block", "words", "once", "again", "done")
+    taken = both.withColumn("takes", F.filter(F.array(take("once"), take("again")), lambda t: t["words"] > 0))
+    return taken.select(*((F.col(c) if c in own else F.col("_carried")[c]).alias(c) for c in order), *added)
 
 
 def sized_documents(docs: DataFrame) -> DataFrame:
@@ -180,7 +195,7 @@ def mixed_documents(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
     return rows.select(*(v.alias(c) for c, v in out.items()), F.col("take.shard").alias("shard"), F.xxhash64("doc_id", "take.pass", F.lit(seed), F.lit("place")).alias("place"))
 
 
-def laid_out(taken: DataFrame, slices: int = 256) -> DataFrame:
+def laid_out(taken: DataFrame, slices: int = 16) -> DataFrame:
     """The rows of `mixed_documents`, partitioned by shard and slice of places, each partition in order of shard and place.
 
     A shard is cut by the hashed place into `slices` equal parts, so no task gets a whole one.

@@ -7,9 +7,27 @@ from sparkloom.llm import mixing
 
 
 def test_ordinary_inputs_have_several_shards(spark):
-    sized = spark.range(2000).selectExpr("id AS doc_id", "concat('s', id % 3) AS source", "25000L AS size")
-    words = mixing.mix(sized).select(F.explode("takes").alias("t")).groupBy("t.shard").agg(F.sum("t.words").alias("n")).collect()
-    assert sorted(r.shard for r in words) == list(range(5)) and sum(r.n for r in words) == 75_000_000
+    for documents, words in ((2000, 25_000), (300, 400)):
+        sized = spark.range(documents).selectExpr("id AS doc_id", "concat('s', id % 3) AS source", f"{words}L AS size")
+        drawn = mixing.mix(sized).select(F.explode("takes").alias("t")).groupBy("t.shard").agg(F.sum("t.words").alias("n")).collect()
+        assert sorted(r.shard for r in drawn) == list(range(len(drawn))) and len(drawn) > 4
+        assert sum(r.n for r in drawn) == 1.5 * documents * words
+
+
+def test_what_is_taken_is_what_the_tree_draws(spark, monkeypatch):
+    sized = spark.range(300).selectExpr("id AS doc_id", "concat('s', id % 3) AS source", "400L AS size")
+    taken = lambda: mixing.mix(sized).select(F.sum(F.aggregate("takes", F.lit(0).cast("long"), lambda n, t: n + t["words"]))).first()[0]
+    assert taken() == 180_000
+    monkeypatch.setattr(mixing, "splitting_tree", lambda quotas, shards, seed: iter(()))
+    assert taken() == 0
+
+
+def test_columns_of_any_name_are_carried(spark):
+    names = ["words", "block", "once", "again", "done", "of", "at", "n_blocks", "_", "shard", "pass", "a.b"]
+    sized = spark.range(20).selectExpr("id AS doc_id", "'s' AS source", "10L AS size", "7 AS takes", *(f"id + {k} AS `{c}`" for k, c in enumerate(names)))
+    rows = mixing.mix(sized).collect()
+    assert rows[0].__fields__ == ["doc_id", "source", "size", *names, "source_size", "target", "takes"]
+    assert all(r[c] == r.doc_id + k for r in rows for k, c in enumerate(names))
 
 
 def test_rows_lie_by_shard_and_place(spark):
