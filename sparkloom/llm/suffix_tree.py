@@ -1,19 +1,22 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
 A text is its lower-cased (A-Z) words, then one end symbol. The tree's states are the contexts, the
-last 1 to `depth` words of a text, that occur in training texts and that divergence tests retain:
-grown downwards from its suffix, a context stays if its next-symbol distribution gains over
-`min_gain` nats on its suffix's, summed over the training symbols that follow it. The distribution
-of a context seen n times is smoothed towards its suffix's with the weight n ** SMOOTH / (n + n ** SMOOTH)
-(as the different words after it grow with their number), the uppermost towards a unigram that
-leaves a share to unknown words. Each symbol is scored in the longest suffix that is a state.
+last 1 to `depth` words of a text, that divergence tests retain. It is grown level by level: only
+below a state are longer contexts looked at, and one stays that occurs `min_count` times in training
+texts and whose next-symbol distribution gains over `min_gain` nats on its suffix's, summed over the
+training symbols that follow it. (For the test the suffix's probabilities are rounded to a 16th of an
+octave; a context more frequent than a bucket's share of all symbols stays untested.) The
+distribution of a context seen n times is smoothed towards its suffix's with the weight
+n ** SMOOTH / (n + n ** SMOOTH), as the different words after it grow with their number; the
+uppermost towards a unigram that leaves a share to unknown words. Each symbol is scored in the
+longest suffix that is a state.
 
 Texts are read once and kept as chunks of word numbers. What a chunk has to know about the corpus it
-asks for in three rounds: of each of its different words, the training count; of each different
-(context, symbol), the training count; of each different context, whether it stays, for which chunks
-send the gains of their own symbols. Ranges of hashed keys add up what chunks send, each key at most
-once from a chunk, so a frequent word, pair or context is no larger group than a rare one, and
-nobody holds the model whole. Counts cover all training texts. The driver sees three totals.
+asks for in rounds: of each of its different words, the training count; then, for each level, of
+each different (context, symbol) below a state, the training count, the context's, and whether it
+stays. Contexts are dealt by their hash, those too frequent for one bucket by their symbols too, and
+a chunk sends each key once at most, so no group grows with a word's frequency and nobody holds the
+model whole. Counts cover all training texts. The driver sees three totals.
 """
 
 from __future__ import annotations
@@ -31,16 +34,16 @@ from sparkloom.llm.common import bucket_of, chunks, files_of, from_planes, group
 
 DEPTH = 2
 SMOOTH = 0.75
-#: Gains are added up in so many parts of a nat.
-GAIN_STEPS = 1 << 12
+#: The parts of an octave to which tests round a suffix's probability.
+OCTAVE = 16
 #: The end symbol among word hashes.
 _END = np.uint64(0xE17D5EED)
 
 #: Rows of chunks and their messages. _STATE: words by their numbers in the chunk, doc ids, each number's place among
-#: the answers, and four times each text's symbols, plus 1 in training, plus 2 without an id. _WORDS, _PAIRS, _GAINS:
-#: pair numbers of keys, what is added up, words before. _GAINS of pairs have no keys but the order of those asked for;
-#: _NAMED ones have keys. Answers have the same kinds: for each key, and for each run of keys of one pair.
-_STATE, _WORDS, _PAIRS, _GAINS, _NAMED = range(5)
+#: the answers, and four times each text's symbols, plus 1 in training, plus 2 without an id. _WORDS, _FOLLOWED: keys'
+#: first numbers, training counts, second numbers, the suffix's probability. Answers, of the same kinds: for each key,
+#: and for each run of keys of one first number.
+_STATE, _WORDS, _FOLLOWED = range(3)
 _ROWS = pa.schema([("kind", pa.int8()), ("part", pa.int64()), ("level", pa.int8()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
 _ROWS_SQL = "kind byte, part long, level byte, bucket int, a binary, b binary, c binary, d binary"
 #: The part of rows that hold a bucket's totals.
@@ -64,74 +67,63 @@ def _row(kind: int, part: int, level: int, bucket: int, *cells: bytes | None) ->
 
 
 class _Keys:
-    """Different keys in order, each a pair number and a number for the words before it; `which` is each place's key.
+    """Different keys in order, each of two numbers: a context's and a symbol's, or a word's and none; `which` is each place's key.
 
-    A key is dealt by its pair, so that keys of one pair travel together in few bytes, but by all of
-    it where the pair is `heavy`: one that can occur more often than a bucket should hold.
+    A key is dealt by its first number, so that keys of one context meet and travel in few bytes,
+    but by both where that is `heavy`, more frequent than a bucket should hold.
     """
 
-    def __init__(self, pair: np.ndarray, older: np.ndarray, heavy: np.ndarray, buckets: int):
-        order = np.lexsort((older, pair)) if older.any() else np.argsort(pair, kind="stable")
-        p, o = pair[order], older[order]
+    def __init__(self, first: np.ndarray, second: np.ndarray, heavy: np.ndarray, buckets: int):
+        order = np.lexsort((second, first)) if second.any() else np.argsort(first, kind="stable")
+        p, o = first[order], second[order]
         new = np.ones(len(p), bool)
         new[1:] = (p[1:] != p[:-1]) | (o[1:] != o[:-1])
         self.which = np.empty(len(p), np.int64)
         self.which[order] = np.cumsum(new) - 1
+        #: a place of each key
+        self.at = order[new]
         p, o, heavy = p[new], o[new], heavy[order][new]
         bucket = bucket_of(mix(np.where(heavy, p ^ mix(o + np.uint64(1)), p)), buckets)
         #: from the order in which they are dealt, by bucket and key, to the order of the keys
         self.order = np.argsort(bucket, kind="stable")
-        self.pair, self.older = p[self.order], o[self.order]
+        self.first, self.second = p[self.order], o[self.order]
         dealt = bucket[self.order]
-        self.buckets, first = np.unique(dealt, return_index=True)
-        self.bounds = [*first.tolist(), len(p)]
-        #: each run of keys of one pair in a bucket
+        self.buckets, begin = np.unique(dealt, return_index=True)
+        self.bounds = [*begin.tolist(), len(p)]
+        #: each run of keys of one first number in a bucket
         run = np.ones(len(p), bool)
-        run[1:] = (self.pair[1:] != self.pair[:-1]) | (dealt[1:] != dealt[:-1])
+        run[1:] = (self.first[1:] != self.first[:-1]) | (dealt[1:] != dealt[:-1])
         self.run = np.cumsum(run) - 1
-        self.run_bounds = [*self.run[first].tolist(), int(run.sum())]
 
     def __len__(self) -> int:
         return len(self.order)
 
-    def asked(self, kind: int, part: int, level: int, sent: np.ndarray) -> list[dict]:
-        sent, out = sent[self.order], []
+    def asked(self, kind: int, part: int, level: int, seen: np.ndarray, odds: np.ndarray | None = None) -> list[dict]:
+        seen, odds, out = seen[self.order], None if odds is None else odds[self.order], []
         for k, i, j in zip(self.buckets.tolist(), self.bounds, self.bounds[1:], strict=False):
-            older = self.older[i:j]
-            out.append(_row(kind, part, level, k, _squeezed(np.diff(self.pair[i:j], prepend=np.uint64(0))), _squeezed(sent[i:j]), _squeezed(older) if older.any() else None))
+            second = None if odds is None else (_squeezed(self.second[i:j]), _squeezed(odds[i:j]))
+            out.append(_row(kind, part, level, k, _squeezed(np.diff(self.first[i:j], prepend=np.uint64(0))), _squeezed(seen[i:j]), *(second or ())))
         return out
 
-    def asked_of_runs(self, kind: int, part: int, level: int, sent: np.ndarray) -> list[dict]:
-        """What is sent for the runs of keys asked for before, which needn't be named again."""
-        return [_row(kind, part, level, k, None, _squeezed(sent[i:j])) for k, i, j in zip(self.buckets.tolist(), self.run_bounds, self.run_bounds[1:], strict=False)]
-
-    def run_of(self) -> np.ndarray:
-        """Each place's run."""
-        out = np.zeros(len(self), np.int64)
-        out[self.order] = self.run
-        return out[self.which]
-
-    def answers(self, told: dict[tuple, dict], kind: int, level: int, of_runs: bool = False) -> np.ndarray:
-        """What was answered, for each place."""
+    def answers(self, told: dict[tuple, dict], kind: int, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """What was answered for each place's key and for its run."""
         if not len(self):
-            return np.zeros(0, np.int64)
-        said = np.concatenate([_opened(told[kind, level, k]["b" if of_runs else "a"]) for k in self.buckets.tolist()])
-        if of_runs:
-            return said[self.run_of()]
-        out = np.zeros(len(self), np.int64)
-        out[self.order] = said
-        return out[self.which]
-
-
-def _added_up(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(pair numbers, sums, each row's places in them) of the keys in the rows of one kind, level and bucket."""
-    pair = [r["pair"] if "pair" in r else np.cumsum(_opened(r["a"]).astype(np.uint64), dtype=np.uint64) for r in rows]
-    older = [_opened(r["c"]).astype(np.uint64) if r["c"] else np.zeros(len(p), np.uint64) for r, p in zip(rows, pair, strict=True)]
-    lens = [len(p) for p in pair]
-    keys = _Keys(np.concatenate(pair), np.concatenate(older), np.zeros(sum(lens), bool), 1)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        of_keys, of_runs = (np.concatenate([_opened(told[kind, level, k][cell]) for k in self.buckets.tolist()]) for cell in ("a", "b"))
+        out = np.empty((2, len(self)), np.int64)
+        out[:, self.order] = of_keys, of_runs[self.run] if kind == _FOLLOWED else of_runs
+        return out[0][self.which], out[1][self.which]
+
+
+def _added_up(rows: list[dict]) -> tuple[_Keys, np.ndarray, list[np.ndarray]]:
+    """(keys, summed counts, each row's places in the keys) of the rows of one kind, level and bucket."""
+    first = [np.cumsum(_opened(r["a"]).astype(np.uint64), dtype=np.uint64) for r in rows]
+    second = [_opened(r["c"]).astype(np.uint64) if r["c"] else np.zeros(len(p), np.uint64) for r, p in zip(rows, first, strict=True)]
+    lens = [len(p) for p in first]
+    keys = _Keys(np.concatenate(first), np.concatenate(second), np.zeros(sum(lens), bool), 1)
     sums = np.zeros(len(keys), np.int64)
     np.add.at(sums, keys.which, np.concatenate([_opened(r["b"]) for r in rows]))
-    return keys.pair, sums, np.split(keys.which, np.cumsum(lens)[:-1])
+    return keys, sums, np.split(keys.which, np.cumsum(lens)[:-1])
 
 
 # --- what a chunk does ---------------------------------------------------------------------------
@@ -174,103 +166,61 @@ class _Chunk:
         self.learns = np.repeat(self.train, self.sizes)
         self.place = np.arange(len(which)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
         self.unigram = (self.count + 0.1) / (train_tokens + 0.1 * (vocabulary + 1))
-        # a pair may be as frequent as the rarer of its words
-        often = self.count > train_tokens // buckets
-        self.heavy = often & np.concatenate([[False], often[:-1]])
-        # of the symbol after the k words before it: the number of the last pair, and of the words before that pair
-        before = lambda k: np.concatenate([np.zeros(min(k, len(number)), np.uint64), number[: max(0, len(number) - k)]])
-        self.pair = [number, number + (before(1) << np.uint64(bits)) if 2 * bits <= 64 else mix(number ^ mix(before(1)))]
-        # a word before the pair counts from 1; 0 is none
-        self.older = [np.zeros(len(number), np.uint64)] * 2
-        for k in range(2, depth + 1):
-            word = np.where(self.place >= k, before(k) + np.uint64(1), np.uint64(0))
-            self.older.append(word + (self.older[-1] << np.uint64(bits + 1)) if (k - 1) * (bits + 1) <= 64 else mix(self.older[-1] ^ mix(word)))
-            self.pair.append(self.pair[1])
-
-    def keys(self, at: np.ndarray, k: int) -> _Keys:
-        """The keys of the symbols at the places `at` after the k words before each."""
-        return _Keys(self.pair[k][at], self.older[k][at], self.heavy[at] & (k > 1), self.buckets)
-
-    def places(self, k: int) -> np.ndarray:
-        """For which symbols keys of k words before them are asked for: pairs go with the keys of two words, but for the heavy ones."""
-        if k == 1 and self.depth > 1:
-            return np.flatnonzero((self.place >= 1) & self.heavy)
-        return np.flatnonzero(self.place >= (1 if k == 2 else k))
-
-    def asked(self, k: int) -> tuple[np.ndarray, _Keys]:
-        """The places of level k and their keys, made once."""
-        if k not in self.made:
-            self.made[k] = (at := self.places(k)), self.keys(at, k)
-        return self.made[k]
-
-    def asked_pairs(self) -> list[dict]:
-        out = []
-        for k in range(1, self.depth + 1):
-            at, keys = self.asked(k)
-            out += keys.asked(_PAIRS, self.part, k, np.bincount(keys.which, weights=self.learns[at], minlength=len(keys)).astype(np.int64))
+        self.number, self.bits, self.share = number, bits, train_tokens // buckets
+
+    def contexts(self, at: np.ndarray, k: int) -> np.ndarray:
+        """The numbers of the k words before the places: put together if that fits, else a hash."""
+        out = self.number[at - 1]
+        for j in range(2, k + 1):
+            word = self.number[at - j]
+            out = out + (word << np.uint64((j - 1) * self.bits)) if k * self.bits <= 64 else mix(out ^ mix(word + np.uint64(j)))
         return out
 
-    def levels(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(k, places whose k words before them are known, P there, P at the suffix)."""
-        count, p = self.count, self.unigram
+    def grown(self, level: int, min_count: int) -> tuple[np.ndarray, list[dict]]:
+        """(each symbol's P in the tree of the levels before `level`, what is asked for at `level`)."""
+        p, ended = self.unigram, self.count
+        open_ = np.ones(len(p), bool)
         for k in range(1, self.depth + 1):
-            here = np.zeros(len(p), np.int64)
-            if k == 1 and self.depth > 1:
-                at, keys = self.asked(2)
-                here[at] = keys.answers(self.told, _PAIRS, 2, of_runs=True)
-            at, keys = self.asked(k)
-            here[at] = keys.answers(self.told, _PAIRS, k)
-            at = np.flatnonzero(self.place >= k)
-            n = count[at - 1]  # a context is followed as often as its last word ends what it is
-            at, n = at[n > 0], n[n > 0].astype(float)
-            weight = n**SMOOTH
-            own = (here[at] + weight * p[at]) / (n + weight)
-            yield k, at, own, p[at]
-            p, count = p.copy(), here
-            p[at] = own
-
-    def asked_gains(self) -> list[dict]:
-        """The gains of the contexts; those that are pairs, but for the heavy ones, in the order in which the pairs were asked for."""
-        out = []
-        for k, at, p, suffix in self.levels():
-            gain = np.where(self.learns[at], np.log(p / suffix), 0.0)
-            named = self.heavy[at - 1] if k == 2 else np.ones(len(at), bool)
-            if k == 2:
-                both, asked = self.asked(2)
-                run = np.zeros(len(self.place), np.int64)
-                run[both] = asked.run_of()
-                total = np.bincount(run[at[~named] - 1], weights=gain[~named], minlength=asked.run_bounds[-1])
-                out += asked.asked_of_runs(_GAINS, self.part, k, np.rint(total * GAIN_STEPS).astype(np.int64))
-            contexts = self.keys(at[named] - 1, k - 1)
-            total = np.bincount(contexts.which, weights=gain[named], minlength=len(contexts))
-            out += contexts.asked(_NAMED, self.part, k, np.rint(total * GAIN_STEPS).astype(np.int64))
-        return out
-
-    def stays(self, k: int, at: np.ndarray) -> np.ndarray:
-        """Whether the contexts of k words before the places `at` are states, if their suffixes are."""
-        out = np.zeros(len(at), np.int64)
-        named = self.heavy[at - 1] if k == 2 else np.ones(len(at), bool)
-        if k == 2:
-            both, asked = self.asked(2)
-            here = np.zeros(len(self.place), np.int64)
-            here[both] = asked.answers(self.told, _GAINS, k, of_runs=True)
-            out = here[at - 1]
-        out[named] = self.keys(at[named] - 1, k - 1).answers(self.told, _NAMED, k)
-        return out > 0
-
-    def scores(self) -> pa.Table:
-        best, open_ = np.log10(self.unigram), np.ones(len(self.unigram), bool)
-        for k, at, p, _ in self.levels():
-            stays = self.stays(k, at) & open_[at]
-            best[at[stays]] = np.log10(p[stays])
-            open_ = np.zeros(len(best), bool)
-            open_[at[stays]] = True
+            at = np.flatnonzero(open_ & (self.place >= k))
+            # A context occurs as often as its last word after the others; -1 if that wasn't asked for.
+            n = ended[at - 1]
+            candidate = (n < 0) | (n >= min_count)
+            at, n = at[candidate], n[candidate]
+            heavy = n > self.share
+            keys = _Keys(self.contexts(at, k), self.number[at], heavy, self.buckets)
+            if k == level:
+                seen = np.bincount(keys.which, weights=self.learns[at], minlength=len(keys)).astype(np.int64)
+                return p, keys.asked(_FOLLOWED, self.part, k, seen, _odds(p[at])[keys.at])
+            count, total = keys.answers(self.told, _FOLLOWED, k)
+            ended = np.full(len(p), -1)
+            ended[at] = np.where(heavy | (total > 0), count, -1)
+            total = np.where(heavy, n, total)
+            stays = total > 0
+            at, count, total = at[stays], count[stays], total[stays]
+            p = p.copy()
+            p[at] = _smoothed(count, total, p[at])
+            open_ = np.zeros(len(p), bool)
+            open_[at] = True
+        return p, []
+
+    def scores(self, min_count: int) -> pa.Table:
+        p, _ = self.grown(self.depth + 1, min_count)
         first = np.cumsum(self.sizes) - self.sizes
         sums = lambda x: np.add.reduceat(x, first) if len(first) else x
-        cols = [pa.array(self.ids, mask=self.unnamed), pa.array(self.train), pa.array(self.sizes), pa.array(sums((self.count > 0).astype(np.int64))), pa.array(sums(np.log10(self.unigram))), pa.array(sums(best))]
+        cols = [pa.array(self.ids, mask=self.unnamed), pa.array(self.train), pa.array(self.sizes), pa.array(sums((self.count > 0).astype(np.int64))), pa.array(sums(np.log10(self.unigram))), pa.array(sums(np.log10(p)))]
         return pa.table(cols, schema=_SCORES)
 
 
+def _smoothed(count: np.ndarray, total: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    weight = total.astype(float) ** SMOOTH
+    return (count + weight * suffix) / (total + weight)
+
+
+def _odds(p: np.ndarray) -> np.ndarray:
+    """The probabilities as parts of octaves below 1."""
+    return np.rint(-OCTAVE * np.log2(p)).astype(np.int64)
+
+
 _SCORES = pa.schema([("doc_id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
@@ -283,43 +233,29 @@ def _count_words(table: pa.Table, buckets: int) -> pa.Table:
     keys, counts, places = _added_up(rows)
     bucket = rows[0]["bucket"]
     number = np.empty(len(keys), np.int64)
-    number[np.lexsort((keys, -counts))] = np.arange(len(keys)) * buckets + bucket
+    number[np.lexsort((keys.first, -counts))] = np.arange(len(keys)) * buckets + bucket
     out = [_row(_WORDS, r["part"], 0, bucket, _squeezed(counts[p]), _squeezed(number[p])) for r, p in zip(rows, places, strict=True)]
     out.append(_row(_WORDS, _TOTALS, 0, bucket, b"%d %d %d" % (counts.sum(), np.count_nonzero(counts), number.max())))
     return pa.Table.from_pylist(out, schema=_ROWS)
 
 
-def _run_starts(pair: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
-
-
-def _sum_pairs(table: pa.Table) -> pa.Table:
-    """Each asked key's training count; and that of each run of keys of one pair."""
+def _test_contexts(table: pa.Table, min_gain: float, min_count: int) -> pa.Table:
+    """Each asked key's training count, and each context's if it stays, else 0. (Of heavy contexts a bucket has a part only; their numbers are known where they are asked for.)"""
     rows = table.to_pylist()
-    pair, sums, places = _added_up(rows)
-    starts = _run_starts(pair)
-    of_runs = np.add.reduceat(sums, starts)
-    run = np.searchsorted(starts, np.arange(len(pair)), side="right") - 1
-    out = [_row(_PAIRS, r["part"], r["level"], r["bucket"], _squeezed(sums[p]), _squeezed(of_runs[run[p[_run_starts(pair[p])]]])) for r, p in zip(rows, places, strict=True)]
-    return pa.Table.from_pylist(out, schema=_ROWS)
-
-
-def _test_contexts(asked: pa.Table, gains: pa.Table, min_gain: float) -> pa.Table:
-    """Whether each context's gains add up to more than `min_gain`; those that aren't named are the pairs `asked`."""
-    out, rows = [], gains.to_pylist()
-    for kind in (_NAMED, _GAINS):
-        own = [r for r in rows if r["kind"] == kind]
-        if kind == _GAINS and own:
-            before = {r["part"]: np.cumsum(_opened(r["a"]).astype(np.uint64), dtype=np.uint64) for r in asked.select(["part", "a"]).to_pylist()}
-            own = [r | {"pair": (p := before[r["part"]])[_run_starts(p)]} for r in own]
-        if own:
-            _, sums, places = _added_up(own)
-            stays = (sums > min_gain * GAIN_STEPS).astype(np.int64)
-            out += [_row(kind, r["part"], r["level"], r["bucket"], *([_squeezed(stays[p])] * 2)) for r, p in zip(own, places, strict=True)]
+    keys, count, places = _added_up(rows)
+    suffix = 2.0 ** (-np.concatenate([_opened(r["d"]) for r in rows])[keys.at] / OCTAVE)
+    begin = np.flatnonzero(np.concatenate([[True], keys.run[1:] != keys.run[:-1]]))
+    total = np.add.reduceat(count, begin)
+    gain = np.add.reduceat(count * np.log(_smoothed(count, np.maximum(total, 1)[keys.run], suffix) / suffix), begin)
+    total[(gain <= min_gain) | (total < min_count)] = 0
+    out = []
+    for r, p in zip(rows, places, strict=True):
+        run = keys.run[p]
+        out.append(_row(_FOLLOWED, r["part"], r["level"], r["bucket"], _squeezed(count[p]), _squeezed(total[run[np.concatenate([[True], run[1:] != run[:-1]])]])))
     return pa.Table.from_pylist(out, schema=_ROWS)
 
 
-def suffix_tree_scores(docs: DataFrame, train: Column, depth: int = DEPTH, min_gain: float = 3.0, chunk_bytes: int = 4 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
+def suffix_tree_scores(docs: DataFrame, train: Column, depth: int = DEPTH, min_gain: float = 3.0, min_count: int = 4, chunk_bytes: int = 8 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of `docs` (doc_id, text).
 
     `train` marks the rows to learn from. `score` is the tree's log10 probability of the text;
@@ -327,7 +263,7 @@ def suffix_tree_scores(docs: DataFrame, train: Column, depth: int = DEPTH, min_g
     those that occur in training texts. A null text has no words; a null doc_id stays null (a null
     `train` is false); rows that repeat a doc_id are scored each, and so are rows of equal texts; an
     empty table gives an empty one; without training rows every symbol has the probability 1.
-    Words and, where their numbers don't fit 64 bits, pairs are told apart by 64-bit hashes.
+    Words and, where their numbers don't fit 64 bits, contexts are told apart by 64-bit hashes.
     """
     spark = docs.sparkSession
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
@@ -340,8 +276,8 @@ def suffix_tree_scores(docs: DataFrame, train: Column, depth: int = DEPTH, min_g
     def count_words(table: pa.Table) -> pa.Table:
         return _count_words(table, buckets)
 
-    def test_contexts(asked: pa.Table, gains: pa.Table) -> pa.Table:
-        return _test_contexts(asked, gains, min_gain)
+    def test_contexts(table: pa.Table) -> pa.Table:
+        return _test_contexts(table, min_gain, min_count)
 
     made = written(marked.mapInArrow(read, _ROWS_SQL))
     states = made.filter(F.col("kind") == _STATE)
@@ -353,22 +289,20 @@ def suffix_tree_scores(docs: DataFrame, train: Column, depth: int = DEPTH, min_g
     def chunk(state: pa.Table, told: pa.Table) -> _Chunk:
         return _Chunk(state.to_pylist()[0], told.to_pylist(), buckets, depth, bits, n, v)
 
-    def ask_pairs(state: pa.Table, told: pa.Table) -> pa.Table:
-        return pa.Table.from_pylist(chunk(state, told).asked_pairs() if state.num_rows else [], schema=_ROWS)
+    def asks(level: int):
+        def ask(state: pa.Table, told: pa.Table) -> pa.Table:
+            return pa.Table.from_pylist(chunk(state, told).grown(level, min_count)[1] if state.num_rows else [], schema=_ROWS)
 
-    def ask_gains(state: pa.Table, told: pa.Table) -> pa.Table:
-        return pa.Table.from_pylist(chunk(state, told).asked_gains() if state.num_rows else [], schema=_ROWS)
+        return ask
 
     def score(state: pa.Table, told: pa.Table) -> pa.Table:
-        return chunk(state, told).scores() if state.num_rows else _SCORES.empty_table()
+        return chunk(state, told).scores(min_count) if state.num_rows else _SCORES.empty_table()
 
     def with_chunks(told: DataFrame):
         return states.groupBy("part").cogroup(told.filter(F.col("part") != _TOTALS).groupBy("part"))
 
-    asked = with_chunks(words).applyInArrow(ask_pairs, _ROWS_SQL)
-    pairs = asked.groupBy("bucket", "level").applyInArrow(_sum_pairs, _ROWS_SQL)
-    told = words.unionByName(pairs)
-    gains = with_chunks(told).applyInArrow(ask_gains, _ROWS_SQL)
-    stays = asked.groupBy("bucket", "level").cogroup(gains.groupBy("bucket", "level")).applyInArrow(test_contexts, _ROWS_SQL)
-    scored = with_chunks(told.unionByName(stays)).applyInArrow(score, "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
+    told = words
+    for level in range(1, depth + 1):
+        told = told.unionByName(with_chunks(told).applyInArrow(asks(level), _ROWS_SQL).groupBy("bucket").applyInArrow(test_contexts, _ROWS_SQL))
+    scored = with_chunks(told).applyInArrow(score, "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
