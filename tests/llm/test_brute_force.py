@@ -300,7 +300,7 @@ def test_suffix_tree_scores(spark, folder, depth, chunk_bytes):
 
 def test_suffix_tree_beats_the_base_on_held_out_texts(spark):
     rows = QUERIES["op2_suffix_tree_scores"](spark, "/root/testdata/sf0.01").filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
-    assert rows[0] > 0.8 * rows[1]  # logarithms: a fifth less
+    assert rows[0] > 0.85 * rows[1]  # logarithms, so less is better; measured: 0.832
 
 
 def test_quality_order_does_not_change_verdicts(spark, folder):
