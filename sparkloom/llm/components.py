@@ -67,7 +67,8 @@ def connected(edges: DataFrame, files: int | None = None) -> DataFrame:
     left of a component's diameter. Null ends, and nodes tied to themselves alone, are dropped.
     `files` bounds the files of each round's labels.
     """
-    both = written(edges.select("a", "b").filter("a <> b").mapInArrow(_both_ways, "a long, b long"), files)
+    # most tasks tie a node to the same smallest one
+    both = written(edges.select("a", "b").filter("a <> b").mapInArrow(_both_ways, "a long, b long").distinct(), files)
     labels = both.groupBy("a").agg(F.least("a", F.min("b")).alias("component")).select(F.col("a").alias("node"), "component")
     while True:
         hops = both.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
