@@ -3,6 +3,9 @@
 Every stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. All but the
 last return the columns of documents. Each stage's result is written as Parquet before the next one
 reads it, so a lost executor costs the tasks it ran, not the stages before.
+
+Columns beyond doc_id, text, source and n_chars are carried as they are, whatever their names. An
+empty table gives an empty one at every stage. Each stage says what it does with nulls and repeats.
 """
 
 from __future__ import annotations
@@ -21,8 +24,12 @@ MIN_WORDS = 1
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that every quality rule lets pass. A null text, or one without words, goes."""
-    return quality.quality_cascade(docs, quality.default_rules(min_words=MIN_WORDS)).filter("kept").select(*docs.columns)
+    """The documents that every quality rule lets pass.
+
+    A null text, or one without words, goes. Repeated rows are judged each; a null doc_id doesn't matter.
+    """
+    judged = quality.quality_cascade(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text"), quality.default_rules(min_words=MIN_WORDS))
+    return judged.filter("kept").select("row.*")
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,27 +39,38 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     found = jaccard.similarity_components(docs, n=5, percent=80)
     gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*docs.columns)
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without words of 20-word windows that also start earlier; the rest keeps its layout."""
-    cut = substrings.dedup_substrings(docs, window=20, source_layout=True)
+    """The documents without words of 20-word windows that also start earlier; the rest keeps its layout.
+
+    A null text stays null. Rows of one doc_id (null: one more) are one document, in which equal
+    places don't precede each other, so repeated rows keep their words.
+    """
+    cut = substrings.dedup_substrings(docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")), window=20, source_layout=True)
     text = F.when(F.col("text").isNull(), F.col("text")).otherwise(F.col("kept_text"))
     changed = {"text": text} | ({"n_chars": F.length(text).cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {})
-    return cut.select(*(changed.get(c, F.col(c)).alias(c) for c in docs.columns))
+    return cut.select(*(changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix by source weights: a document taken twice is there twice, one in which a quota ends is cut there.
 
-    The rows lie as the mix deals them: by shard, in slices, each shuffled by place.
+    The rows lie as the mix deals them: by shard, in slices, each shuffled by place. A null source is
+    a source; a text without words is in no take; repeated rows are taken together, each on its own.
     """
-    return mixing.laid_out(mixing.mixed_documents(docs)).select(*docs.columns)
+    whole = docs.select("doc_id", "source", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    text = F.col("text")
+    changed = {"text": text} | ({"n_chars": F.length(text).cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {})
+    return mixing.laid_out(mixing.mixed_documents(whole)).select(*(changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of the mixed documents in its sequence, with its token ids."""
+    """Every piece of the mixed documents in its sequence, with its token ids.
+
+    A null text makes one piece of its end mark; a null doc_id stays null; repeated rows are packed each.
+    """
     return packing.pack(docs, packing.BatchEncoder(tokenizer_path()))
 
 
