@@ -4,7 +4,7 @@ A text is its lower-cased (A-Z) words, then one end symbol. The tree's states ar
 last 1 to `depth` words of a text, that divergence tests retain. It is grown level by level: only
 below a state are longer contexts looked at, and one stays that occurs `min_count` times in training
 texts and whose next-symbol distribution gains over `min_gain` nats on its suffix's, summed over the
-training symbols that follow it. (For the test the suffix's probabilities are rounded to a 16th of an
+training symbols that follow it. (For the test the suffix's probabilities are rounded to a quarter of an
 octave; a context more frequent than a bucket's share of all symbols stays untested.) The
 distribution of a context seen n times is smoothed towards its suffix's with the weight
 n ** SMOOTH / (n + n ** SMOOTH), as the different words after it grow with their number; the
@@ -35,7 +35,7 @@ from sparkloom.llm.common import bucket_of, chunks, files_of, from_planes, group
 DEPTH = 2
 SMOOTH = 0.75
 #: The parts of an octave to which tests round a suffix's probability.
-OCTAVE = 16
+OCTAVE = 4
 #: The end symbol among word hashes.
 _END = np.uint64(0xE17D5EED)
 
@@ -135,7 +135,7 @@ def _read(batches: Iterator[pa.RecordBatch], buckets: int, chunk_bytes: int) ->
     for chunk in chunks(batches, chunk_bytes):
         buf, ends = joined(chunk.column(1), lower=True)
         starts, lens, counts = word_spans(buf, ends)
-        symbols = np.insert(hash_words(buf, starts, lens), np.cumsum(counts), _END)
+        symbols = np.insert(hash_words(buf, starts, lens) >> np.uint64(8), np.cumsum(counts), _END)
         train = chunk.column(2).to_numpy(zero_copy_only=False)
         ids = chunk.column(0)
         none = np.zeros(len(symbols), np.uint64)
@@ -263,7 +263,7 @@ def suffix_tree_scores(docs: DataFrame, train: Column, depth: int = DEPTH, min_g
     those that occur in training texts. A null text has no words; a null doc_id stays null (a null
     `train` is false); rows that repeat a doc_id are scored each, and so are rows of equal texts; an
     empty table gives an empty one; without training rows every symbol has the probability 1.
-    Words and, where their numbers don't fit 64 bits, contexts are told apart by 64-bit hashes.
+    Words are told apart by 56-bit hashes, contexts whose numbers don't fit 64 bits by 64-bit ones.
     """
     spark = docs.sparkSession
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))

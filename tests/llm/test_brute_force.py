@@ -259,7 +259,7 @@ def suffix_tree_by_hand(train, texts, depth, min_gain):
     def gain(context, own):
         n, total = sum(own.values()), 0.0
         for symbol, c in own.items():
-            suffix = 2 ** (-round(-16 * math.log2(p(context[1:], symbol))) / 16)
+            suffix = 2 ** (-round(-suffix_tree.OCTAVE * math.log2(p(context[1:], symbol))) / suffix_tree.OCTAVE)
             total += c * math.log((c + n**0.75 * suffix) / (n + n**0.75) / suffix)
         return total
 
