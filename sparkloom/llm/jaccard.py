@@ -37,7 +37,7 @@ _ROWS = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("docs", pa.bina
 _GROWTH = 1.5
 _PAIRS = pa.schema([("kind", pa.int8()), ("a", pa.binary()), ("b", pa.binary())])
 #: Slots of the table that orders shingles by frequency, and the slices in which it is summed.
-TABLE, _SLICES = 1 << 22, 16
+TABLE, _SLICES = 1 << 22, 64
 
 
 def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,20 +77,20 @@ def frequency_levels(texts: DataFrame, n: int, chunk_bytes: int, spread: int) ->
         for chunk in chunks(batches, chunk_bytes):
             slots, times = np.unique((shingle_sets(chunk.column(1), n)[0] & np.uint64(TABLE - 1)).astype(np.uint32), return_counts=True)
             total[slots] += times.astype(np.uint32)
-        parts = [planes(total[k * width : (k + 1) * width].astype("<u8")) for k in range(_SLICES)] if total.any() else []
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["slice", "counts"])
+        for k in range(_SLICES if total.any() else 0):  # one by one, for memory's sake
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([planes(total[k * width : (k + 1) * width])], pa.binary())], ["slice", "counts"])
 
-    def added(table: pa.Table) -> np.ndarray:
+    def added(table: pa.Table, kind: str) -> np.ndarray:
         total = np.zeros(width, np.uint64)
         for raw in table.column("counts"):
-            total += from_planes(raw.as_py(), "<u8")
+            total += from_planes(raw.as_py(), kind)
         return total
 
     def summed(table: pa.Table) -> pa.Table:
-        return pa.table({"slice": table.column("slice")[:1], "counts": pa.array([planes(added(table))], pa.binary())})
+        return pa.table({"slice": table.column("slice")[:1], "counts": pa.array([planes(added(table, "<u4"))], pa.binary())})
 
     def levelled(table: pa.Table) -> pa.Table:
-        level = np.minimum(255, 8 * np.log2(1.0 + added(table))).astype(np.uint8)
+        level = np.minimum(255, 8 * np.log2(1.0 + added(table, "<u8"))).astype(np.uint8)
         return pa.table({"slice": table.column("slice")[:1], "levels": pa.array([level.tobytes()], pa.binary())})
 
     counted = texts.mapInArrow(count, "slice int, counts binary").withColumn("some", F.pmod(F.spark_partition_id(), F.lit(spread)))
