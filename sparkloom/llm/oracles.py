@@ -1,6 +1,6 @@
 """DuckDB SQL for the opN_ queries that SQL can express over whole tables."""
 
-from sparkloom.llm import licenses
+from sparkloom.llm import licenses, merkle
 
 SQL: dict[str, str] = {
     "op3_quality_cascade": r"""
@@ -83,4 +83,5 @@ scored AS (
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM scored QUALIFY rank <= 5
 """,
+    "op11_merkle_manifest": merkle.oracle_sql(),
 }

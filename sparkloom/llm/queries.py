@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import chat, extraction, jaccard, licenses, mixing, oracles, packing, quality, substrings, suffix_tree, vafile
+from sparkloom.llm import chat, extraction, jaccard, licenses, merkle, mixing, oracles, packing, quality, substrings, suffix_tree, vafile
 from sparkloom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +111,14 @@ def op2_suffix_tree_scores(spark, sf_dir):
 def op6_html_extraction(spark, sf_dir):
     """The main text of every page."""
     return extraction.extract_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op11_merkle_manifest(spark, sf_dir):
+    """Every document's proof, and the root that it leads to where a fifth of the texts were changed."""
+    docs = table(spark, sf_dir, "documents")
+    small = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    changed = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, merkle.digest(*map(F.col, ("doc_id", "source", "lang", "n_chars")), small))
+    proofs = merkle.merkle_proofs(docs, changed=changed)
+    told = proofs.withColumn("folded_root", merkle.folded(F.coalesce("changed_leaf", "leaf"), F.col("steps")))
+    return told.select("doc_id", "leaf", "subroot", "root", merkle.siblings_digest(F.col("steps")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
