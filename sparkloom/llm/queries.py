@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import chat, extraction, jaccard, licenses, merkle, mixing, oracles, packing, quality, substrings, suffix_tree, vafile
+from sparkloom.llm import chat, extraction, jaccard, licenses, merkle, mixing, oracles, packing, quality, substrings, suffix_tree, vafile, whitening
 from sparkloom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,10 @@ def op11_merkle_manifest(spark, sf_dir):
     proofs = merkle.merkle_proofs(docs, changed=changed)
     told = proofs.withColumn("folded_root", merkle.folded(F.coalesce("changed_leaf", "leaf"), F.col("steps")))
     return told.select("doc_id", "leaf", "subroot", "root", merkle.siblings_digest(F.col("steps")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@query
+def op12_whitening(spark, sf_dir):
+    """The first eight whitened components of every vector; a deviation that a long can't hold is null and stands in `deviation_exact` alone."""
+    made = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return made.withColumnRenamed("deviation", "deviation_exact").withColumn("deviation", F.col("deviation_exact").try_cast("long"))
