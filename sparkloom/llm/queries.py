@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import chat, extraction, jaccard, licenses, merkle, mixing, oracles, packing, quality, substrings, suffix_tree, vafile, whitening
+from sparkloom.llm import chat, extraction, jaccard, licenses, merkle, minhash, mixing, oracles, packing, quality, substrings, suffix_tree, vafile, whitening
 from sparkloom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,11 @@ def op12_whitening(spark, sf_dir):
     """The first eight whitened components of every vector; a deviation that a long can't hold is null and stands in `deviation_exact` alone."""
     made = whitening.whiten(table(spark, sf_dir, "embeddings"))
     return made.withColumnRenamed("deviation", "deviation_exact").withColumn("deviation", F.col("deviation_exact").try_cast("long"))
+
+
+@query
+def op13_fingerprints(spark, sf_dir):
+    """Every text's fingerprint and that of its edited text, in hex, and how near they are."""
+    made = minhash.edited_fingerprints(table(spark, sf_dir, "documents"))
+    shown = lambda c: F.lower(F.hex(c)).alias(c)
+    return made.select("doc_id", "n_chars", "edited_sha256", shown("fingerprint"), shown("edited_fingerprint"), "near_edited", "near_next")
