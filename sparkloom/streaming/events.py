@@ -7,6 +7,8 @@ executor costs the running batch.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,15 +64,37 @@ def followed(events: DataFrame, first: str = "click", then: str = "purchase", wi
     return a.join(b, near).select("user_id", "first_id", "then_id")
 
 
-def drained(stream: DataFrame, mode: str = "append", progress: list | None = None) -> DataFrame:
-    """Runs `stream` until its source has no more rows; the rows it put out, with the number of their `batch`.
+def deliveries(events: DataFrame) -> DataFrame:
+    """Every event with the time at which it `arrived`, from nothing but its id: most within ten minutes, some after 50, two in a hundred 10 to 20 hours late."""
+    m = F.pmod(F.col("event_id") * 7919, F.lit(100))
+    seconds = F.when(m < 90, m * 6).when(m < 98, F.lit(3000)).otherwise((m - 97) * 36_000)
+    return events.withColumn("arrived", F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + seconds * 1_000_000))
 
-    A batch that is run again overwrites its own folder, so every row is there once. `progress`
-    gets Spark's reports of the batches.
+
+def delivered_again(events: DataFrame) -> DataFrame:
+    """Every event as it came in, and each third one once more 50 minutes later, with the time of that."""
+    first = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    again = first.filter(F.pmod("event_id", F.lit(3)) == 0).withColumn("ts", F.col("ts") + F.expr("INTERVAL 50 MINUTES"))
+    return first.unionByName(again).withColumn("arrived", F.col("ts"))
+
+
+def unmatched_too(events: DataFrame, first: str = "click", then: str = "purchase", within: str = "1 hour", late: str = LATE) -> DataFrame:
+    """`followed`, and each first event that nothing follows once, with a null, as soon as the watermark proves it.
+
+    The events have no watermark yet: either side gets its own, and the earlier of the two counts.
     """
-    spark = stream.sparkSession
-    path, schema = new_path(spark), stream.schema
+    a = events.filter(F.col("event_type") == first).select("user_id", F.col("event_id").alias("first_id"), F.col("ts").alias("first_ts")).withWatermark("first_ts", late)
+    b = events.filter(F.col("event_type") == then).select(F.col("user_id").alias("_user"), F.col("event_id").alias("then_id"), F.col("ts").alias("then_ts")).withWatermark("then_ts", late)
+    near = (F.col("user_id") == F.col("_user")) & (F.col("then_ts") >= F.col("first_ts")) & (F.col("then_ts") <= F.col("first_ts") + F.expr(f"INTERVAL {within}"))
+    return a.join(b, near, "left_outer").select("user_id", "first_id", "then_id")
 
+
+def once_each(events: DataFrame) -> DataFrame:
+    """Each event id once, though it may come again within the watermark's delay, on whatever day; a key's state goes when the watermark has passed its own time and the delay."""
+    return events.dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "user_id", "event_type")
+
+
+def _run(stream: DataFrame, path: str, mode: str, progress: list | None) -> None:
     def put(rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
 
@@ -78,4 +102,44 @@ def drained(stream: DataFrame, mode: str = "append", progress: list | None = Non
     query.awaitTermination()
     if progress is not None:
         progress += query.recentProgress
+
+
+def drained(stream: DataFrame, mode: str = "append", progress: list | None = None) -> DataFrame:
+    """Runs `stream` until its source has no more rows; the rows it put out, with the number of their `batch`.
+
+    A batch that is run again overwrites its own folder, so every row is there once. `progress`
+    gets Spark's reports of the batches.
+    """
+    spark = stream.sparkSession
+    path, schema = new_path(spark), stream.schema
+    _run(stream, path, mode, progress)
     return spark.read.schema(schema.add("batch", "long")).parquet(f"{path}/rows")
+
+
+#: How many batches `fed` makes of a table.
+ARRIVALS = 6
+
+
+def fed(rows: DataFrame, query: Callable[[DataFrame], DataFrame], batches: int = ARRIVALS, late: str | None = LATE, mode: str = "append", progress: list | None = None) -> DataFrame:
+    """`query` over `rows` in the order in which they `arrived` (a timestamp); what it put out, with the number of the `batch`.
+
+    The time from the first arrival to the last is cut into equal spans. The rows of a span are
+    written to the source's folder and the query runs over them, going on from the state and offsets
+    that the run before it has left, as a job would that starts again and again; so the batches'
+    bounds, and what is late, depend on the rows alone. Without `late` the query sets the watermark. Rows without a time aren't delivered; an empty
+    table is one empty batch.
+    """
+    spark = rows.sparkSession
+    path, schema = new_path(spark), rows.drop("arrived").schema
+    at = F.unix_micros(F.col("arrived").cast("timestamp"))
+    first, last = rows.agg(F.min(at), F.max(at)).first()
+    span = -(-(last - first + 1) // batches) if first is not None else 1
+    stream = None
+    for k in range(batches if first is not None else 1):
+        came = rows.filter((at >= first + k * span) & (at < first + (k + 1) * span)) if first is not None else rows.limit(0)
+        came.drop("arrived").write.mode("append").parquet(f"{path}/arrived")
+        source = spark.readStream.schema(schema).parquet(f"{path}/arrived")
+        source = source.withColumn("ts", F.col("ts").cast("timestamp"))
+        stream = query(source.withWatermark("ts", late) if late else source)
+        _run(stream, path, mode, progress)
+    return spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{path}/rows")
