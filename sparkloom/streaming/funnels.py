@@ -51,7 +51,7 @@ class Funnel(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         taken = (part[part["step"].notna() & part["at"].notna()] for part in rows)
         new = [tuple(map(int, r)) for part in taken for r in zip(part["at"], part["event_id"], part["step"], strict=True)]
-        if new and key[0] is not None:
+        if new and pd.notna(key[0]):
             self.waiting.appendList(new)
             yield from self._settle(key, timerValues.getCurrentWatermarkInMs() * 1000, min(new)[0])
 
