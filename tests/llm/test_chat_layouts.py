@@ -2,6 +2,9 @@
 
 import json
 
+import pytest
+from pyspark.sql import functions as F
+
 from sparkloom.llm import chat
 
 RECORDS = {
@@ -37,3 +40,22 @@ def test_typed_tables_may_have_more_columns(spark):
     lists = spark.sql("SELECT 2L conv_id, array(named_struct('role', 'user', 'content', 'b', 'name', 'n')) messages, 1 extra")
     assert rows_of(chat.turns_of_table(lists)) == {(2, "messages"): [(0, "user", "b")]}
     assert rows_of(chat.turns_of_table(spark.sql("SELECT 3L conv_id, 'c' other"))) == {(3, None): [(None, None, None)]}
+
+
+@pytest.mark.parametrize("million", [25, 60])
+def test_texts_of_tens_of_millions_of_characters_are_kept(spark, million):
+    text = F.concat(F.lit("<|im_end|>"), F.repeat(F.lit("0123456789"), F.lit(million * 100_000)))
+    rows = spark.range(1).select(F.lit(1).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit("assistant").alias("role"), text.alias("text"))
+    made = chat.format_chats(chat.turns_of_table(rows))
+    read = made.select(chat.read_back(F.col("formatted"))[0]["text"].alias("text"), chat.text_under(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    got = read.select(F.length("text"), F.md5("text"), F.md5("loss")).first()
+    want = rows.select(F.length("text"), F.md5("text"), F.md5("text")).first()
+    assert tuple(got) == tuple(want) and got[0] > million * 1_000_000
+    records = rows.select(F.lit(1).alias("record_id"), F.concat(F.lit('{"prompt": "p", "response": "'), "text", F.lit('"}')).alias("record"))
+    assert [(r.layout, r.n) for r in chat.turns_of_records(records).select("layout", F.length("text").alias("n")).collect()] == [("prompt_response", 1), ("prompt_response", want[0])]
+
+
+def test_a_record_beyond_all_limits_is_an_error_and_not_lost(spark):
+    record = F.concat(F.lit('{"prompt": "p", "response": "'), F.repeat(F.lit("x"), F.lit(140_000_000)), F.lit('"}'))
+    with pytest.raises(Exception, match="128 MB"):
+        chat.turns_of_records(spark.range(1).select(F.lit(1).alias("record_id"), record.alias("record"))).select(F.length("text")).collect()
