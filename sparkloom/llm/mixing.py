@@ -183,7 +183,7 @@ def mixed_documents(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
     hash; ordering a shard by it shuffles the shard.
     """
     columns = [c for c in docs.columns if c not in {"shard", "place"}]
-    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.struct(*columns).alias("row"))
+    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"))
     # The plan is made from the three slim columns; the texts themselves only meet the block plan.
     slim = written(packed.select("doc_id", "source", "size"))
     rows = mix_onto(packed, slim, seed=seed, **options)

@@ -158,23 +158,24 @@ def quality_cascade(docs: DataFrame, rules: Sequence[Rule] | None = None, featur
     rules = tuple(default_rules() if rules is None else rules)
     rules = ordered(rules, *measured(docs, rules, sample_rows))
     carried = [c for c in docs.columns if c not in {"failed_rule", "kept", *features}]
-    at = carried.index("text")
+    beside = [c for c in carried if c != "text"]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             failed, extra = [], {f: [] for f in features}
-            for text in batch.column(at).to_pylist():
+            for text in batch.column(1).to_pylist():
                 stats = TextStats(text)
                 failed.append(next((r.name for r in rules if r.rejects(stats)), None))
                 for f in features:
                     extra[f].append(getattr(stats, f))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(failed, pa.string()), pa.array([x is None for x in failed], pa.bool_()), *(pa.array(extra[f], pa.int64()) for f in features)],
-                names=[*carried, "failed_rule", "kept", *features],
+                names=["row", "text", "failed_rule", "kept", *features],
             )
 
-    frame = docs.select(*carried)
+    frame = docs.select(F.struct(*(F.col(f"`{c}`") for c in beside) if beside else (F.lit(0).alias("_"),)).alias("row"), "text")
     schema = StructType([*frame.schema.fields]).add("failed_rule", "string").add("kept", "boolean")
     for f in features:
         schema = schema.add(f, "long")
-    return frame.mapInArrow(judge, schema)
+    judged = frame.mapInArrow(judge, schema)
+    return judged.select(*((F.col("text") if c == "text" else F.col("row")[c]).alias(c) for c in carried), "failed_rule", "kept", *features)

@@ -36,18 +36,24 @@ def _window_rows(batches: Iterator[pa.RecordBatch], window: int, buckets: int, c
         ids, part = ids[order], part[order]
         buf, ends = joined(chunk.column(1).take(pa.array(order)))
         starts, lens, counts = word_spans(buf, ends)
-        h = rolling(hash_words(buf, starts, lens), window)
-        doc = np.repeat(np.arange(len(ids)), counts)
-        inside = np.flatnonzero(doc[: len(h)] == doc[window - 1 :][: len(h)]) if len(h) else np.zeros(0, np.int64)
-        first_word = np.cumsum(counts) - counts
+        words = hash_words(buf, starts, lens)
+        del buf, starts, lens
+        h = rolling(words, window)
+        del words
+        doc = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
+        inside = np.flatnonzero(doc[: len(h)] == doc[window - 1 :][: len(h)]).astype(np.int32) if len(h) else np.zeros(0, np.int32)
+        first_word = (np.cumsum(counts) - counts).astype(np.int32)
         h, doc = h[inside], doc[inside]
         place = inside - first_word[doc]
-        by_hash = np.argsort(h, kind="stable")  # within equal windows: by doc_id, then start
+        del inside
+        by_hash = np.argsort(h, kind="stable").astype(np.int32)  # within equal windows: by doc_id, then start
         h, doc, place = h[by_hash], doc[by_hash], place[by_hash]
+        del by_hash
         head = np.ones(len(h), bool)
         head[1:] = h[1:] != h[:-1]
-        earliest = np.flatnonzero(head)[np.cumsum(head) - 1] if len(h) else np.zeros(0, np.int64)
+        earliest = np.flatnonzero(head)[np.cumsum(head, dtype=np.int32) - 1].astype(np.int32) if len(h) else np.zeros(0, np.int32)
         later = (ids[doc] != ids[doc[earliest]]) | (place != place[earliest])
+        del head, earliest
         out: list[tuple] = []
         if later.any():
             d, p = doc[later], place[later]
@@ -56,14 +62,13 @@ def _window_rows(batches: Iterator[pa.RecordBatch], window: int, buckets: int, c
                 own = to == k
                 out.append((int(k) % buckets, int(k), *_pairs(ids[d[own]], p[own]), None))
         h, doc, place = h[~later], doc[~later], place[~later]
-        cuts = np.searchsorted(bucket_of(h, buckets), np.arange(buckets + 1))
-        for b in range(buckets):
-            lo, hi = cuts[b], cuts[b + 1]
-            if lo < hi:
-                used, which = np.unique(doc[lo:hi], return_inverse=True)
-                listed = deltas(ids[used])
-                index = planes(which.astype("<u2" if len(used) <= 65536 else "<u4"))
-                out.append((b, -1, len(used).to_bytes(4, "little") + listed + index, planes(place[lo:hi].astype("<u4")), planes(h[lo:hi].byteswap())))
+        dealt = bucket_of(h, buckets)
+        begin = np.flatnonzero(np.diff(dealt, prepend=-1))  # of the buckets that the chunk has windows of
+        for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(h)], strict=True) if len(h) else ():
+            used, which = np.unique(doc[lo:hi], return_inverse=True)
+            listed = deltas(ids[used])
+            index = planes(which.astype("<u2" if len(used) <= 65536 else "<u4"))
+            out.append((int(dealt[lo]), -1, len(used).to_bytes(4, "little") + listed + index, planes(place[lo:hi].astype("<u4")), planes(h[lo:hi].byteswap())))
         yield pa.RecordBatch.from_pylist([dict(zip(("bucket", "part", "docs", "starts", "hashes"), r, strict=True)) for r in out], schema=_ARROW_ROWS)
 
 
@@ -131,12 +136,11 @@ def removed_windows(docs: DataFrame, window: int, buckets: int, parts: int, chun
     return docs.select("doc_id", "text", "part").mapInArrow(cut, _ROWS).groupBy("bucket").applyInArrow(settle, "part int, docs binary, starts binary")
 
 
-def _kept(text: str, places: np.ndarray, window: int, source_layout: bool) -> tuple[str, int, int, list[dict]]:
+def _kept(raw: bytes, places: np.ndarray, window: int, source_layout: bool) -> tuple[bytes, int, int, list[dict]]:
     """What is left of a text without the windows at `places`: text, words, words removed, word spans removed."""
-    raw = text.encode()
     if not places.size:
         words = raw.split()
-        return (text if source_layout else b" ".join(words).decode()), len(words), 0, []
+        return raw if source_layout else b" ".join(words), len(words), 0, []
     if source_layout:
         at = [m.span() for m in re.finditer(WORD.encode(), raw)]
         words = [raw[a:b] for a, b in at]
@@ -155,7 +159,7 @@ def _kept(text: str, places: np.ndarray, window: int, source_layout: bool) -> tu
             kept.extend(words[upto:a])
         removed += b - a
         upto = b
-    return (b"".join(kept) if source_layout else b" ".join(kept)).decode(), len(words), removed, [{"start": a, "stop": b} for a, b in spans]
+    return b"".join(kept) if source_layout else b" ".join(kept), len(words), removed, [{"start": a, "stop": b} for a, b in spans]
 
 
 def dedup_substrings(docs: DataFrame, window: int = 20, source_layout: bool = False, group_bytes: int = 8 << 20, chunk_bytes: int = 8 << 20) -> DataFrame:
@@ -171,7 +175,13 @@ def dedup_substrings(docs: DataFrame, window: int = 20, source_layout: bool = Fa
     """
     added = ("kept_text", "n_words", "n_removed", "removed_spans")
     carried = [c for c in docs.columns if c not in added]
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.struct(*(F.col(c) for c in carried if c != "text"), F.col("text").isNull().alias("_none")).alias("row"))
+    beside = [c for c in carried if c != "text"]
+    text = F.col("text").cast("string")
+    keyed = docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"),
+        F.coalesce(text, F.lit("")).alias("text"),
+        F.struct(F.struct(*(F.col(f"`{c}`") for c in beside)).alias("own") if beside else F.lit(None).alias("own"), text.isNull().alias("none")).alias("row"),
+    )
     groups = groups_for(docs, group_bytes)
     dealt = keyed.withColumn("part", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % groups).cast("int"))
     removals = removed_windows(dealt, window, groups, groups, chunk_bytes)
@@ -186,10 +196,13 @@ def dedup_substrings(docs: DataFrame, window: int = 20, source_layout: bool = Fa
         ids, places = ids[order], places[order]
         own = texts.column("doc_id").to_numpy()
         lo, hi = np.searchsorted(ids, own), np.searchsorted(ids, own, side="right")
-        rows = [_kept(t, places[a:b], window, source_layout) for t, a, b in zip(texts.column("text").to_pylist(), lo, hi, strict=True)]
-        kept, n, gone, spans = zip(*rows, strict=True) if rows else ((), (), (), ())
-        return pa.table({"row": texts.column("row"), "text": texts.column("text"), "kept_text": pa.array(kept, pa.string()), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "removed_spans": pa.array(spans, spans_type)})
+        kept, n, gone, spans = [], [], [], []
+        for raw, a, b in zip(texts.column("text"), lo, hi, strict=True):  # one text at a time as a Python object
+            left = _kept(raw.cast(pa.binary()).as_py(), places[a:b], window, source_layout)
+            for to, x in zip((kept, n, gone, spans), left, strict=True):
+                to.append(x)
+        return pa.table({"row": texts.column("row"), "text": texts.column("text"), "kept_text": pa.array(kept, pa.binary()).cast(pa.string()), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "removed_spans": pa.array(spans, spans_type)})
 
     done = dealt.groupBy("part").cogroup(removals.groupBy("part")).applyInArrow(cut, out_schema)
-    text = F.when(F.col("row._none"), F.lit(None)).otherwise(F.col("text"))
-    return done.select(*((text if c == "text" else F.col("row")[c]).alias(c) for c in carried), *added)
+    shown = F.when(~F.col("row.none"), F.col("text"))
+    return done.select(*((shown if c == "text" else F.col("row.own")[c]).alias(c) for c in carried), *added)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from sparkloom.llm import chat, licenses
+from sparkloom.llm import chat, licenses, mixing, quality, substrings
 
 
 def test_chats_with_nulls_ties_and_control_strings(spark):
@@ -25,3 +25,14 @@ def test_licences_of_ties_nulls_and_repeats(spark):
     rows = [(1, notice, 0), (1, notice, 0), (2, None, 0), (3, "", 0), (None, f"first line\n{notice.upper()}!\n" + "other words here " * 3000, 0), (4, "word", 0)]
     got = sorted((str(r.doc_id), r.unit, r.license) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string, license int"), templates).collect())
     assert got == [("1", 1, "A"), ("1", 1, "A"), ("None", 2, "A")]
+
+
+def test_columns_of_any_name_go_through_each_operator(spark):
+    text = " ".join(f"w{k}" for k in range(30))
+    rows = spark.createDataFrame([(1, text, "s", 5), (2, text + " more", "s", 6), (3, None, None, 7)], "doc_id long, text string, source string, n long")
+    odd = rows.selectExpr("*", "1 AS `a.b`", "2 AS `_none`", "3 AS `row`", "4 AS part", "5 AS `own`", "6 AS `none`")
+    kept = ["a.b", "_none", "row", "part", "own", "none"]
+    for made in (substrings.dedup_substrings(odd), quality.quality_cascade(odd), mixing.mixed_documents(odd)):
+        assert [c for c in made.columns if c in kept] == kept
+        got = made.select("doc_id", *(F.col(f"`{c}`") for c in kept)).collect()
+        assert {tuple(r)[1:] for r in got} == {(1, 2, 3, 4, 5, 6)} and {1, 2} <= {r.doc_id for r in got}
