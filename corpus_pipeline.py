@@ -10,7 +10,7 @@ empty table gives an empty one at every stage. Each stage says what it does with
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import jaccard, mixing, packing, quality, substrings
@@ -23,13 +23,24 @@ from sparkloom.sources.tables import table
 MIN_WORDS = 1
 
 
+def _beside(docs: DataFrame) -> Column:
+    """All columns but the text as one, `row`, so that their names meet no others and texts travel once."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row")
+
+
+def _back(frame: DataFrame, docs: DataFrame, text: Column) -> DataFrame:
+    """The columns of `docs` from `row`, with that text; n_chars, where there is one, is the text's."""
+    changed = {"text": text} | ({"n_chars": F.length(text).cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {})
+    return frame.select(*(changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
+
+
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that every quality rule lets pass.
 
     A null text, or one without words, goes. Repeated rows are judged each; a null doc_id doesn't matter.
     """
-    judged = quality.quality_cascade(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text"), quality.default_rules(min_words=MIN_WORDS))
-    return judged.filter("kept").select("row.*")
+    judged = quality.quality_cascade(docs.select(_beside(docs), "text"), quality.default_rules(min_words=MIN_WORDS))
+    return judged.filter("kept").select(*((F.col("text") if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,10 +59,8 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     A null text stays null. Rows of one doc_id (null: one more) are one document, in which equal
     places don't precede each other, so repeated rows keep their words.
     """
-    cut = substrings.dedup_substrings(docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")), window=20, source_layout=True)
-    text = F.when(F.col("text").isNull(), F.col("text")).otherwise(F.col("kept_text"))
-    changed = {"text": text} | ({"n_chars": F.length(text).cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {})
-    return cut.select(*(changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
+    cut = substrings.dedup_substrings(docs.select("doc_id", "text", _beside(docs)), window=20, source_layout=True)
+    return _back(cut, docs, F.when(F.col("text").isNotNull(), F.col("kept_text")))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,10 +69,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The rows lie as the mix deals them: by shard, in slices, each shuffled by place. A null source is
     a source; a text without words is in no take; repeated rows are taken together, each on its own.
     """
-    whole = docs.select("doc_id", "source", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    text = F.col("text")
-    changed = {"text": text} | ({"n_chars": F.length(text).cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {})
-    return mixing.laid_out(mixing.mixed_documents(whole)).select(*(changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
+    whole = docs.select("doc_id", "source", "text", _beside(docs))
+    return _back(mixing.laid_out(mixing.mixed_documents(whole)), docs, F.col("text"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
