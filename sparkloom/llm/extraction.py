@@ -25,9 +25,10 @@ from pyspark.sql import DataFrame
 #: Elements that start and end a block of text.
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
-    "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody tfoot thead tr ul "
+    "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav noscript ol p pre search section summary table tbody tfoot thead tr ul "
     "button label option select".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements with no content, so nothing to close.
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that hold no main text, unless they enclose the page's main part.
@@ -39,14 +40,26 @@ OUTER_WORDS = frozenset(
     "menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion "
     "recommended related replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget widgets".split()
 )
+#: Of these, words of parts that are never the page's frame, however much of it they hold.
+APART_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising comment comments commentlist consent cookie cookies discussion disqus gdpr promo "
+    "promoted promotion replies respond sponsor sponsored".split()
+)
+#: Words that name a part's shape or place. Within an article, a name with any other word beside an outer one is a subject: `related-work`.
+SHAPE_WORDS = frozenset(
+    "area bar block bottom box button buttons column container content footer global group header holder icon icons inner item items left "
+    "link links list main minor nav outer page panel posts primary region right row secondary section site small top wrap wrapper".split()
+)
 #: Words in class, id or role that mark the main part.
 INNER_WORDS = frozenset("article articlebody body content entry main post story text".split())
 #: First words of names that say what stands beside an element, not what it is: `has-sidebar`.
 BESIDE_WORDS = frozenset("has no with without".split())
 #: Plain words from which a form without an article can be the page's frame.
 FRAME_WORDS = 50
-#: Kinds of outer marks: never lifted; a tag, lifted by an article or the like below it; a form; a word.
+#: Kinds of outer marks: never lifted; a tag or a word of APART_WORDS, lifted by an article or the like below it; a form; another word.
 HIDDEN, PART, FORM, WORD = 4, 3, 2, 1
+#: A marked part is the page's frame if the main part has less than this share of its words.
+FRAME_SHARE = 0.2
 #: Ranks of inner elements: an article, a main, a word.
 ARTICLE, MAIN, OTHER = 3, 2, 1
 
@@ -54,7 +67,7 @@ ARTICLE, MAIN, OTHER = 3, 2, 1
 _VALUE = r"=\s*+(?:\"[^\"]*+\"|'[^']*+')?+"
 _TOKENS = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|template|noscript|svg|math|textarea|iframe|object|canvas|title)(?=[\s/>])(?:[^>=]++|" + _VALUE + r")*+>(?:(?<=/>)|.*?(?:</\1\s*>|\Z))"
+    r"|<(script|style|template|svg|textarea|iframe|object|canvas|title)(?=[\s/>])(?:[^>=]++|" + _VALUE + r")*+>(?:(?<=/>)|.*?(?:</\1\s*>|\Z))"
     r"|<[!?][^>]*>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>=]++|" + _VALUE + r")*+)>",
     re.S | re.I,
@@ -71,13 +84,14 @@ _SPACE = re.compile(r"\s+")
 class Costs:
     """Weights of the block classifier and of the smoothness edges."""
 
-    outer: float = 50.0  # in a marked outer part, times the share of the main part that isn't below the mark
+    outer: float = 8.0  # in a marked outer part, times the share of the main part that isn't below the mark
     inner: float = 2.0  # in the main part
     word: float = 1 / 12  # for each word outside links, up to `most_words`
     most_words: float = 2.5
+    heading: float = 0.8  # for a heading, beside what its words are worth
     link: float = 2.5  # for the share of characters in links
-    plain: float = 0.7  # against any block
-    short: float = 0.6  # against a block of under eight words outside the main part
+    plain: float = 0.7  # against any block, as far as the page has a better one
+    short: float = 0.6  # the same, against a block of under eight words outside the main part
     rights: float = 1.5  # against a copyright line outside the main part
     neighbour: float = 0.8
     sibling: float = 0.5
@@ -90,24 +104,28 @@ class Block:
     parent: int
     inner: bool
     outer: float = 0.0  # strength of the outer marks above it, from 0 to 1
+    heading: bool = False
 
 
 # --- blocks ------------------------------------------------------------------------------------
 
 
-def _marks(tag: str, attributes: str) -> tuple[int, bool]:
-    """The kind of outer mark that a tag with its attributes has (0: none), and whether it begins an inner part."""
+def _marks(tag: str, attributes: str, within: bool = False) -> tuple[int, bool]:
+    """The kind of outer mark that a tag with its attributes has (0: none), and whether it begins an inner part. `within`: it is in one."""
     kind, inner = FORM if tag in ("form", "fieldset") else PART if tag in OUTER_TAGS else 0, tag in ("article", "main")
     if attributes and tag not in ("html", "body"):
         # `hidden` is kept as a name when it has a value
         attributes = _OTHER_VALUES.sub(lambda m: " hidden " if m[0][:6].lower() == "hidden" else " ", attributes)
         words: set[str] = set()
+        outer: set[str] = set()
         for m in _MARKS.finditer(attributes):
             for name in (m[2] or m[3] or m[4] or "").split():
                 found = [w.lower() for w in _WORDS.findall(name)]
                 if found and found[0] not in BESIDE_WORDS:
                     words.update(found)
-        found = words & OUTER_WORDS
+                    if not within or all(w in OUTER_WORDS or w in SHAPE_WORDS for w in found) or not APART_WORDS.isdisjoint(found):
+                        outer.update(found)
+        found = outer & OUTER_WORDS
         if words & INNER_WORDS:
             inner = inner or not found
             found -= {"header"}  # an entry's own header has its title
@@ -116,7 +134,7 @@ def _marks(tag: str, attributes: str) -> tuple[int, bool]:
         if _HIDDEN.search(attributes):
             kind = HIDDEN
         elif found and kind != PART:
-            kind = WORD
+            kind = PART if found & APART_WORDS else max(kind, WORD)
     return kind, inner
 
 
@@ -126,46 +144,55 @@ def weigh_marks(blocks: Sequence[Block], parents: Sequence[int], tags: Sequence[
     A mark has the share of the main part's words that aren't below it. The main part's words are
     those outside links under an article, main or other inner element (the outermost article counts,
     else the outermost main, else the outermost other) and those under no mark. A form or a word's mark with no such element below may still be the frame of the
-    page: if it has a first heading, or in a form enough words, all its words count.
+    page: if it has a first heading, or in a form enough words, or if the main part is small beside it,
+    all its words count. One pass down the tree and one up, so time grows with the page alone.
     """
     if not any(kinds):
         return
-    above: list[tuple[int, ...]] = []  # each node's marked ancestors and itself, outermost first
-    main = [-1] * len(parents)  # of its inner ancestors and itself without a mark, the outermost of the highest rank
+    n = len(parents)
+    hidden, part, marked = [False] * n, [False] * n, [False] * n  # of each node and what is above it
+    main = [-1] * n  # of its inner ancestors and itself without a mark, the outermost of the highest rank
     for k, parent in enumerate(parents):
-        up = above[parent] if parent >= 0 else ()
-        above.append((*up, k) if kinds[k] else up)
-        best = main[parent] if parent >= 0 else -1
+        up = parent if parent >= 0 else k
+        hidden[k], part[k], marked[k] = kinds[k] == HIDDEN or hidden[up], kinds[k] == PART or part[up], bool(kinds[k]) or marked[up]
+        best = main[up]
         main[k] = k if inners[k] and not kinds[k] and (best < 0 or inners[k] > inners[best]) else best
-    marked = {e for b in blocks for e in above[b.parent]}
-    inside, framed, below = dict.fromkeys(marked, 0.0), dict.fromkeys(marked, 0.0), dict.fromkeys(marked, 0.0)
-    everything, headed = 0.0, set()
+    # words at the nodes, then summed up the tree: a node's number is larger than its parent's
+    inside, framed, below, headed = [0.0] * n, [0.0] * n, [0.0] * n, [False] * n
+    everything = 0.0
     for b in blocks:
-        up = above[b.parent]
-        if tags[b.parent] == "h1":
-            headed.update(up)
-        if any(kinds[e] == HIDDEN for e in up):
+        at = b.parent
+        if hidden[at]:
             continue
         words = (b.text.count(" ") + 1) * (1 - b.link_chars / len(b.text))
-        enclosing = above[main[b.parent]] if main[b.parent] >= 0 else ()
-        for e in enclosing:
-            inside[e] += words
-        if not any(kinds[e] == PART for e in up):
-            for e in up:
-                framed[e] += words
-        if main[b.parent] >= 0 or not up:
+        headed[at] |= tags[at] == "h1"
+        if main[at] >= 0:
+            inside[main[at]] += words
+        if not part[at]:
+            framed[at] += words
+        if main[at] >= 0 or not marked[at]:
             everything += words
-            for e in up:
-                below[e] += words
-    strength = {}
-    for e in marked:
-        mine = inside[e]
-        if not mine and (kinds[e] in (FORM, WORD) and e in headed or kinds[e] == FORM and framed[e] >= FRAME_WORDS):
-            mine = 0.0 if main[e] >= 0 and inners[main[e]] == ARTICLE else framed[e]
-        others = everything - below[e]
-        strength[e] = 1.0 if kinds[e] == HIDDEN or not mine else others / (others + mine)
+            below[at] += words
+    for k in range(n - 1, 0, -1):
+        up = parents[k]
+        inside[up] += inside[k]
+        framed[up] += framed[k]
+        below[up] += below[k]
+        headed[up] |= headed[k]
+    strength = [0.0] * n
+    for k in range(n):
+        if kinds[k]:
+            mine = inside[k]
+            if not mine and (
+                kinds[k] in (FORM, WORD) and headed[k] or kinds[k] == FORM and framed[k] >= FRAME_WORDS or kinds[k] == WORD and everything < FRAME_SHARE * framed[k]
+            ):
+                mine = 0.0 if main[k] >= 0 and inners[main[k]] == ARTICLE and everything >= FRAME_SHARE * framed[k] else framed[k]
+            others = everything - below[k]
+            strength[k] = 1.0 if kinds[k] == HIDDEN or not mine else others / (others + mine)
+        if parents[k] >= 0:
+            strength[k] = max(strength[k], strength[parents[k]])
     for b in blocks:
-        b.outer = max((strength[e] for e in above[b.parent]), default=0.0)
+        b.outer = strength[b.parent]
 
 
 def blocks_of(page: str) -> tuple[list[Block], list[int], list[int]]:
@@ -183,7 +210,7 @@ def blocks_of(page: str) -> tuple[list[Block], list[int], list[int]]:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
                 _, node, inner = stack[-1]
-                out.append(Block(text, min(links, len(text)), node, inner))
+                out.append(Block(text, min(links, len(text)), node, inner, heading=tags[node] in HEADINGS))
             parts.clear()
         links = 0
 
@@ -222,7 +249,7 @@ def blocks_of(page: str) -> tuple[list[Block], list[int], list[int]]:
                     close(len(stack) - 1)
                 if tag not in VOID_TAGS:
                     _, node, inner = stack[-1]
-                    kind, starts_inner = _marks(tag, m[4])
+                    kind, starts_inner = _marks(tag, m[4], inner)
                     # a page's header is outer, an article's isn't
                     if tag == "head":
                         kind = HIDDEN
@@ -256,7 +283,11 @@ def _distance(a: int, b: int, parents: Sequence[int], depths: Sequence[int]) ->
 
 
 def minimum_cut(source: Sequence[float], sink: Sequence[float], edges: Sequence[tuple[int, int, float]]) -> list[bool]:
-    """Which nodes are on the source's side of a minimum cut (the least such side), by shortest augmenting paths."""
+    """Which nodes are on the source's side of a minimum cut (the least such side), by augmenting paths.
+
+    Each node's surplus goes to the nearest nodes that need it. Where no such node can be reached, none
+    ever will be from anything that was reached, so that region is never searched again.
+    """
     n = len(source)
     give = [max(0.0, a - b) for a, b in zip(source, sink, strict=True)]
     need = [max(0.0, b - a) for a, b in zip(source, sink, strict=True)]
@@ -265,44 +296,58 @@ def minimum_cut(source: Sequence[float], sink: Sequence[float], edges: Sequence[
         left[i][j] = left[i].get(j, 0.0) + w
         left[j][i] = left[j].get(i, 0.0) + w
     tiny = 1e-9
-    while True:
-        via = {i: -1 for i in range(n) if give[i] > tiny}
-        queue, end = deque(via), -1
-        while queue:
-            i = queue.popleft()
-            if need[i] > tiny:
-                end = i
+    closed = [False] * n
+    for s in range(n):
+        while give[s] > tiny and not closed[s]:
+            via, queue, end = {s: -1}, deque([s]), -1
+            while queue and end < 0:
+                i = queue.popleft()
+                for j, w in left[i].items():
+                    if w > tiny and j not in via and not closed[j]:
+                        via[j] = i
+                        if need[j] > tiny:
+                            end = j
+                            break
+                        queue.append(j)
+            if end < 0:
+                for i in via:
+                    closed[i] = True
                 break
-            for j, w in left[i].items():
-                if w > tiny and j not in via:
-                    via[j] = i
-                    queue.append(j)
-        if end < 0:
-            return [i in via for i in range(n)]
-        flow, i = need[end], end
-        while via[i] >= 0:
-            flow = min(flow, left[via[i]][i])
-            i = via[i]
-        flow = min(flow, give[i])
-        give[i] -= flow
-        need[end] -= flow
-        i = end
-        while via[i] >= 0:
-            left[via[i]][i] -= flow
-            left[i][via[i]] += flow
-            i = via[i]
+            flow, i = min(give[s], need[end]), end
+            while via[i] >= 0:
+                flow = min(flow, left[via[i]][i])
+                i = via[i]
+            give[s] -= flow
+            need[end] -= flow
+            i = end
+            while via[i] >= 0:
+                left[via[i]][i] -= flow
+                left[i][via[i]] += flow
+                i = via[i]
+    # what surplus is left, and all that it reaches
+    side = [g > tiny for g in give]
+    queue = deque(i for i in range(n) if side[i])
+    while queue:
+        for j, w in left[queue.popleft()].items():
+            if w > tiny and not side[j]:
+                side[j] = True
+                queue.append(j)
+    return side
 
 
 def labelled(blocks: Sequence[Block], parents: Sequence[int], depths: Sequence[int], costs: Costs) -> list[bool]:
     """Which blocks are content."""
     source, sink = [], []
-    for b in blocks:
+    worth = [min(costs.most_words, costs.word * (b.text.count(" ") + 1)) * (1 - b.link_chars / len(b.text)) for b in blocks]
+    # what speaks against a short block counts as far as the page has a longer one
+    beside = min(1.0, max((w for b, w in zip(blocks, worth, strict=True) if b.outer < 0.5), default=0.0) / costs.most_words)
+    for b, mine in zip(blocks, worth, strict=True):
         words = b.text.count(" ") + 1
         linked = b.link_chars / len(b.text)
-        source.append(costs.inner * b.inner + min(costs.most_words, costs.word * words) * (1 - linked))
-        against = costs.plain + costs.link * linked + costs.outer * b.outer
+        source.append(costs.inner * b.inner + mine + costs.heading * b.heading * (1 - linked))
+        against = costs.plain * beside + costs.link * linked + costs.outer * b.outer
         if not b.inner:
-            against += costs.short * (words < 8) + costs.rights * (b.text[:1] == "©" or b.text[:9].lower() == "copyright")
+            against += costs.short * beside * (words < 8) + costs.rights * (b.text[:1] == "©" or b.text[:9].lower() == "copyright")
         sink.append(against)
     edges: list[tuple[int, int, float]] = []
     last: dict[int, int] = {}
