@@ -84,8 +84,8 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] | No
     `unit` is the line's number from 1, 0 for the whole text of several lines, or, for a passage, the
     number of the line in which it begins, negative. Of a unit's templates the one with the highest
     coefficient counts, ties to the smaller name; of passages that overlap, the one with the highest
-    coefficient, ties to the larger template. Passages are left out if the whole text has a row, and
-    those of which half the words or more lie in lines that have one. A null or empty
+    coefficient, ties to the larger template. Passages of the licence that the whole text's row names are
+    left out, and those of which half the words or more lie in lines that have a row. A null or empty
     text, a line of fewer than two words and an empty table give no rows; repeated rows give theirs
     each.
     """
@@ -178,8 +178,10 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] | No
                 )
                 return F.transform(apart, lambda c: F.struct((-F.get(line_of, c["first"])).cast("long").alias("unit"), (-c["under"]).alias("dice"), c["license"].alias("license")))
 
-            whole = (F.size(of_lines) > 1) & best(F.replace(line, F.lit("\n"), F.lit(" "))).isNotNull()
-            return F.when((F.size(found) == 0) | whole, none).otherwise(let(rows, open_ones))
+            # what the whole text's row names already is there once; other licences beside it are rows of their own
+            whole = F.when(F.size(of_lines) > 1, best(F.replace(line, F.lit("\n"), F.lit(" "))))["license"]
+            others = let(whole, lambda named: F.filter(let(rows, open_ones), lambda c: named.isNull() | (c["license"] != named)))
+            return F.when(F.size(found) == 0, none).otherwise(others)
 
         def in_words(words: Column, present: Column) -> Column:
             per_line = F.transform(of_lines, lambda l, k: F.array_repeat(k + 1, F.size(F.filter(F.split(normalised(l), " "), lambda w: w != ""))))

@@ -43,3 +43,10 @@ def test_licences_and_headers_inside_longer_documents(spark):
 @pytest.mark.parametrize("text", [f"{PROSE}Released under the MIT License.\n{PROSE}", "Released under the MIT License."])
 def test_a_line_of_its_own_is_no_passage(spark, text):
     assert [v[0] for v in scanned(spark, [text]).values()] == ["MIT"] and all(unit > 0 for _, unit in scanned(spark, [text]))
+
+
+@pytest.mark.parametrize("small", ["ISC", "MIT", "BSD-2-Clause"])
+def test_a_small_licence_after_a_large_one_is_found_too(spark, small):
+    found = scanned(spark, [f"{(BODIES / 'GPL-3.0.txt').read_text()}\n\n{PROSE}{(BODIES / f'{small}.txt').read_text()}", (BODIES / "BSD-3-Clause.txt").read_text()])
+    assert found[0, 0][0] == "GPL-3.0" and [v[0] for (d, unit), v in found.items() if d == 0 and unit < 0] == [small]
+    assert [(unit, v[0]) for (d, unit), v in found.items() if d == 1] == [(0, "BSD-3-Clause")]
