@@ -211,7 +211,8 @@ def whiten(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", m
     columns not named here are not read.
     """
     spark = vectors.sparkSession
-    taken = vectors.select(F.col(f"`{key}`").alias("key"), integers(F.col(f"`{vector}`"), scale).alias("x")).filter(F.size("x") > 0)
+    # written, as three passes read it
+    taken = written(vectors.select(F.col(f"`{key}`").alias("key"), integers(F.col(f"`{vector}`"), scale).alias("x")).filter(F.size("x") > 0))
     sizes = taken.groupBy(F.size("x").alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("size")).first()
     if not sizes:
         return spark.createDataFrame([], f"`{key}` {dict(taken.dtypes)['key']}, {SCHEMA}")
