@@ -22,19 +22,18 @@ SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 # --- memory --------------------------------------------------------------------------------------
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Large arrays are mapped one by one from now on, and unmapped when they go.
 
-    A Python worker runs many tasks; without this the allocators keep what the largest took. Where
-    there is no such setting nothing changes.
+    A Python worker runs many tasks; without this the allocators keep what the largest took. It costs
+    some time for each array, so it is for modules whose tasks hold much. Where there is no such
+    setting nothing changes.
     """
     pa.set_memory_pool(pa.system_memory_pool())
     if mallopt := getattr(ctypes.CDLL(None), "mallopt", None):
         mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD; a fixed one doesn't grow with what was freed
 
 
-_give_back()
-
 # --- sizes -------------------------------------------------------------------------------------
 
 

@@ -29,9 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import bucket_of, chunks, deltas, from_deltas, from_planes, files_of, groups_of, hash_words, joined, mix, planes, rolling, text_bytes, word_spans, written
+from sparkloom.llm.common import bucket_of, chunks, deltas, files_of, from_deltas, from_planes, give_back, groups_of, hash_words, joined, mix, planes, rolling, text_bytes, word_spans, written
 from sparkloom.llm.components import connected, reached, stars
 
+give_back()
+
 _PATH, _EQUAL, _TIED, _SAME, _SIZE, _SHARES = range(6)
 _ROWS = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("docs", pa.binary()), ("index", pa.binary()), ("hashes", pa.binary())])
 _GROWTH = 1.5

@@ -22,7 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from sparkloom.llm.common import WORD, bucket_of, chunks, deltas, from_deltas, from_planes, groups_for, hash_words, joined, planes, rolling, word_spans
+from sparkloom.llm.common import WORD, bucket_of, chunks, deltas, from_deltas, from_planes, give_back, groups_for, hash_words, joined, planes, rolling, word_spans
+
+give_back()
 
 _ROWS = "bucket int, part int, docs binary, starts binary, hashes binary"
 
