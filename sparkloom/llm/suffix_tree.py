@@ -4,9 +4,7 @@ A text is its lower-cased (A-Z) words, then one end symbol. The tree's states ar
 last 1 to `depth` words of a text, that divergence tests retain. It is grown level by level: only
 below a state are longer contexts looked at, and one stays that occurs `min_count` times in training
 texts and whose next-symbol distribution gains over `min_gain` nats on its suffix's, summed over the
-training symbols that follow it. (For the test the suffix's probabilities are rounded to a quarter of an
-octave; a context more frequent than a bucket's share of all symbols stays untested.) The
-distribution of a context seen n times is smoothed towards its suffix's with the weight
+training symbols that follow it. The distribution of a context seen n times is smoothed towards its suffix's with the weight
 n ** SMOOTH / (n + n ** SMOOTH), as the different words after it grow with their number; the
 uppermost towards a unigram that leaves a share to unknown words. Each symbol is scored in the
 longest suffix that is a state.
@@ -14,9 +12,10 @@ longest suffix that is a state.
 Texts are read once and kept as chunks of word numbers. What a chunk has to know about the corpus it
 asks for in rounds: of each of its different words, the training count; then, for each level, of
 each different (context, symbol) below a state, the training count, the context's, and whether it
-stays. Contexts are dealt by their hash, those too frequent for one bucket by their symbols too, and
-a chunk sends each key once at most, so no group grows with a word's frequency and nobody holds the
-model whole. Counts cover all training texts. The driver sees three totals.
+stays. Contexts are dealt by their hash, those too frequent for one bucket by their symbols too; the
+parts of such a context's gain are added up where its hash is dealt, which tells the chunks that
+hold it. A chunk sends each key once at most, so no group grows with a word's frequency and nobody
+holds the model whole. Counts cover all training texts. The driver sees three totals.
 """
 
 from __future__ import annotations
@@ -34,20 +33,20 @@ from sparkloom.llm.common import bucket_of, chunks, files_of, from_planes, group
 
 DEPTH = 2
 SMOOTH = 0.75
-#: The parts of an octave to which tests round a suffix's probability.
-OCTAVE = 4
 #: The end symbol among word hashes.
 _END = np.uint64(0xE17D5EED)
 
 #: Rows of chunks and their messages. _STATE: words by their numbers in the chunk, doc ids, each number's place among
-#: the answers, and four times each text's symbols, plus 1 in training, plus 2 without an id. _WORDS, _FOLLOWED: keys'
-#: first numbers, training counts, second numbers, the suffix's probability. Answers, of the same kinds: for each key,
-#: and for each run of keys of one first number.
-_STATE, _WORDS, _FOLLOWED = range(3)
-_ROWS = pa.schema([("kind", pa.int8()), ("part", pa.int64()), ("level", pa.int8()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
-_ROWS_SQL = "kind byte, part long, level byte, bucket int, a binary, b binary, c binary, d binary"
-#: The part of rows that hold a bucket's totals.
-_TOTALS = -1
+#: the answers, and four times each text's symbols, plus 1 in training, plus 2 without an id. _WORDS, _FOLLOWED, _SPLIT
+#: (of contexts dealt by their symbols too): keys' first numbers, training counts, second numbers, the suffix's
+#: probability, and for _SPLIT each context's count. Answers, of the same kinds: for each key, and for each run of keys
+#: of one first number. _JUDGED: the _SPLIT contexts of a chunk, and whether they stay. _GAIN: contexts and their gains
+#: in one bucket. _SUMS: a bucket's symbols, different ones and highest number.
+_STATE, _WORDS, _FOLLOWED, _SPLIT, _JUDGED, _GAIN, _SUMS = range(7)
+_ROWS = pa.schema([("kind", pa.int8()), ("part", pa.int64()), ("level", pa.int8()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary()), ("e", pa.binary())])
+_ROWS_SQL = "kind byte, part long, level byte, bucket int, a binary, b binary, c binary, d binary, e binary"
+#: The part of rows that are for no chunk.
+_NONE = -1
 
 
 def _squeezed(x: np.ndarray) -> bytes:
@@ -63,17 +62,17 @@ def _opened(raw: bytes) -> np.ndarray:
 
 
 def _row(kind: int, part: int, level: int, bucket: int, *cells: bytes | None) -> dict:
-    return dict(zip(_ROWS.names, (kind, part, level, bucket, *cells, *[None] * (4 - len(cells))), strict=True))
+    return dict(zip(_ROWS.names, (kind, part, level, bucket, *cells, *[None] * (5 - len(cells))), strict=True))
 
 
 class _Keys:
     """Different keys in order, each of two numbers: a context's and a symbol's, or a word's and none; `which` is each place's key.
 
     A key is dealt by its first number, so that keys of one context meet and travel in few bytes,
-    but by both where that is `heavy`, more frequent than a bucket should hold.
+    but by both if `split`, for contexts more frequent than a bucket should hold.
     """
 
-    def __init__(self, first: np.ndarray, second: np.ndarray, heavy: np.ndarray, buckets: int):
+    def __init__(self, first: np.ndarray, second: np.ndarray, buckets: int, split: bool = False):
         order = np.lexsort((second, first)) if second.any() else np.argsort(first, kind="stable")
         p, o = first[order], second[order]
         new = np.ones(len(p), bool)
@@ -82,8 +81,8 @@ class _Keys:
         self.which[order] = np.cumsum(new) - 1
         #: a place of each key
         self.at = order[new]
-        p, o, heavy = p[new], o[new], heavy[order][new]
-        bucket = bucket_of(mix(np.where(heavy, p ^ mix(o + np.uint64(1)), p)), buckets)
+        p, o = p[new], o[new]
+        bucket = bucket_of(mix(p ^ mix(o + np.uint64(1)) if split else p), buckets)
         #: from the order in which they are dealt, by bucket and key, to the order of the keys
         self.order = np.argsort(bucket, kind="stable")
         self.first, self.second = p[self.order], o[self.order]
@@ -98,21 +97,33 @@ class _Keys:
     def __len__(self) -> int:
         return len(self.order)
 
-    def asked(self, kind: int, part: int, level: int, seen: np.ndarray, odds: np.ndarray | None = None) -> list[dict]:
-        seen, odds, out = seen[self.order], None if odds is None else odds[self.order], []
+    def asked(self, kind: int, part: int, level: int, seen: np.ndarray | None = None, suffix: np.ndarray | None = None, total: np.ndarray | None = None) -> list[dict]:
+        """A row for each bucket: what is known of each key here, and of each run the `total`."""
+        seen, suffix, total = (None if x is None else x[self.order] for x in (seen, suffix, total))
+        out = []
         for k, i, j in zip(self.buckets.tolist(), self.bounds, self.bounds[1:], strict=False):
-            second = None if odds is None else (_squeezed(self.second[i:j]), _squeezed(odds[i:j]))
-            out.append(_row(kind, part, level, k, _squeezed(np.diff(self.first[i:j], prepend=np.uint64(0))), _squeezed(seen[i:j]), *(second or ())))
+            out.append(_row(
+                kind, part, level, k, _squeezed(np.diff(self.first[i:j], prepend=np.uint64(0))),
+                None if seen is None else _squeezed(seen[i:j]),
+                None if suffix is None else _squeezed(self.second[i:j]),
+                None if suffix is None else _squeezed(suffix[i:j].astype("<f4").view("<u4")),
+                None if total is None else _squeezed(total[i:j][_begins(self.run[i:j])]),
+            ))
         return out
 
-    def answers(self, told: dict[tuple, dict], kind: int, level: int) -> tuple[np.ndarray, np.ndarray]:
-        """What was answered for each place's key and for its run."""
+    def answers(self, told: dict[tuple, dict], kind: int, level: int, of_runs: bool = False) -> np.ndarray:
+        """What was answered for each place's key, or for its run."""
         if not len(self):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        of_keys, of_runs = (np.concatenate([_opened(told[kind, level, k][cell]) for k in self.buckets.tolist()]) for cell in ("a", "b"))
-        out = np.empty((2, len(self)), np.int64)
-        out[:, self.order] = of_keys, of_runs[self.run] if kind == _FOLLOWED else of_runs
-        return out[0][self.which], out[1][self.which]
+            return np.zeros(0, np.int64)
+        x = np.concatenate([_opened(told[kind, level, k]["b" if of_runs else "a"]) for k in self.buckets.tolist()])
+        out = np.empty(len(self), np.int64)
+        out[self.order] = x[self.run] if of_runs else x
+        return out[self.which]
+
+
+def _begins(run: np.ndarray) -> np.ndarray:
+    """Where another number than the one before stands."""
+    return np.concatenate([[True], run[1:] != run[:-1]])
 
 
 def _added_up(rows: list[dict]) -> tuple[_Keys, np.ndarray, list[np.ndarray]]:
@@ -120,7 +131,7 @@ def _added_up(rows: list[dict]) -> tuple[_Keys, np.ndarray, list[np.ndarray]]:
     first = [np.cumsum(_opened(r["a"]).astype(np.uint64), dtype=np.uint64) for r in rows]
     second = [_opened(r["c"]).astype(np.uint64) if r["c"] else np.zeros(len(p), np.uint64) for r, p in zip(rows, first, strict=True)]
     lens = [len(p) for p in first]
-    keys = _Keys(np.concatenate(first), np.concatenate(second), np.zeros(sum(lens), bool), 1)
+    keys = _Keys(np.concatenate(first), np.concatenate(second), 1)
     sums = np.zeros(len(keys), np.int64)
     np.add.at(sums, keys.which, np.concatenate([_opened(r["b"]) for r in rows]))
     return keys, sums, np.split(keys.which, np.cumsum(lens)[:-1])
@@ -135,11 +146,10 @@ def _read(batches: Iterator[pa.RecordBatch], buckets: int, chunk_bytes: int) ->
     for chunk in chunks(batches, chunk_bytes):
         buf, ends = joined(chunk.column(1), lower=True)
         starts, lens, counts = word_spans(buf, ends)
-        symbols = np.insert(hash_words(buf, starts, lens) >> np.uint64(8), np.cumsum(counts), _END)
+        symbols = np.insert(hash_words(buf, starts, lens), np.cumsum(counts), _END)
         train = chunk.column(2).to_numpy(zero_copy_only=False)
         ids = chunk.column(0)
-        none = np.zeros(len(symbols), np.uint64)
-        words = _Keys(symbols, none, none > 0, buckets)
+        words = _Keys(symbols, np.zeros(len(symbols), np.uint64), buckets)
         seen = np.bincount(words.which, weights=np.repeat(train, counts + 1), minlength=len(words)).astype(np.int64)
         # words are numbered by their frequency, which takes the fewest bytes; the answers come in the order of asking
         by_count = np.argsort(-np.bincount(words.which, minlength=len(words)), kind="stable")
@@ -182,19 +192,25 @@ class _Chunk:
         open_ = np.ones(len(p), bool)
         for k in range(1, self.depth + 1):
             at = np.flatnonzero(open_ & (self.place >= k))
-            # A context occurs as often as its last word after the others; -1 if that wasn't asked for.
-            n = ended[at - 1]
+            # A context occurs as often as its last word after the others; -1 if that wasn't asked for, 0 if it is rare.
+            n, counted = ended[at - 1], np.full(len(p), -1)
+            counted[at] = 0
             candidate = (n < 0) | (n >= min_count)
             at, n = at[candidate], n[candidate]
-            heavy = n > self.share
-            keys = _Keys(self.contexts(at, k), self.number[at], heavy, self.buckets)
+            context, symbol, heavy = self.contexts(at, k), self.number[at], n > self.share
+            few = _Keys(context[~heavy], symbol[~heavy], self.buckets)
+            many = _Keys(context[heavy], symbol[heavy], self.buckets, split=True)
+            judged = _Keys(context[heavy], np.zeros(np.count_nonzero(heavy), np.uint64), self.buckets)
             if k == level:
-                seen = np.bincount(keys.which, weights=self.learns[at], minlength=len(keys)).astype(np.int64)
-                return p, keys.asked(_FOLLOWED, self.part, k, seen, _odds(p[at])[keys.at])
-            count, total = keys.answers(self.told, _FOLLOWED, k)
-            ended = np.full(len(p), -1)
-            ended[at] = np.where(heavy | (total > 0), count, -1)
-            total = np.where(heavy, n, total)
+                seen = lambda keys, at: np.bincount(keys.which, weights=self.learns[at], minlength=len(keys)).astype(np.int64)
+                asked = few.asked(_FOLLOWED, self.part, k, seen(few, at[~heavy]), p[at[~heavy]][few.at])
+                asked += many.asked(_SPLIT, self.part, k, seen(many, at[heavy]), p[at[heavy]][many.at], n[heavy][many.at])
+                return p, asked + judged.asked(_JUDGED, self.part, k)
+            count, total = np.empty((2, len(at)), np.int64)
+            count[~heavy], total[~heavy] = (few.answers(self.told, _FOLLOWED, k, of_runs) for of_runs in (False, True))
+            count[heavy], total[heavy] = many.answers(self.told, _SPLIT, k), n[heavy] * judged.answers(self.told, _JUDGED, k)
+            counted[at] = count
+            ended = counted
             stays = total > 0
             at, count, total = at[stays], count[stays], total[stays]
             p = p.copy()
@@ -216,11 +232,6 @@ def _smoothed(count: np.ndarray, total: np.ndarray, suffix: np.ndarray) -> np.nd
     return (count + weight * suffix) / (total + weight)
 
 
-def _odds(p: np.ndarray) -> np.ndarray:
-    """The probabilities as parts of octaves below 1."""
-    return np.rint(-OCTAVE * np.log2(p)).astype(np.int64)
-
-
 _SCORES = pa.schema([("doc_id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
@@ -235,23 +246,58 @@ def _count_words(table: pa.Table, buckets: int) -> pa.Table:
     number = np.empty(len(keys), np.int64)
     number[np.lexsort((keys.first, -counts))] = np.arange(len(keys)) * buckets + bucket
     out = [_row(_WORDS, r["part"], 0, bucket, _squeezed(counts[p]), _squeezed(number[p])) for r, p in zip(rows, places, strict=True)]
-    out.append(_row(_WORDS, _TOTALS, 0, bucket, b"%d %d %d" % (counts.sum(), np.count_nonzero(counts), number.max())))
+    out.append(_row(_SUMS, _NONE, 0, bucket, b"%d %d %d" % (counts.sum(), np.count_nonzero(counts), number.max())))
     return pa.Table.from_pylist(out, schema=_ROWS)
 
 
+def _gain(keys: _Keys, count: np.ndarray, total: np.ndarray, rows: list[dict], begin: np.ndarray) -> np.ndarray:
+    """What each run of keys gains on its suffix; `total` is that of each key's context."""
+    suffix = np.concatenate([_opened(r["d"]) for r in rows]).astype("<u4").view("<f4")[keys.at].astype(float)
+    return np.add.reduceat(count * np.log(_smoothed(count, np.maximum(total, 1), suffix) / suffix), begin)
+
+
 def _test_contexts(table: pa.Table, min_gain: float, min_count: int) -> pa.Table:
-    """Each asked key's training count, and each context's if it stays, else 0. (Of heavy contexts a bucket has a part only; their numbers are known where they are asked for.)"""
-    rows = table.to_pylist()
-    keys, count, places = _added_up(rows)
-    suffix = 2.0 ** (-np.concatenate([_opened(r["d"]) for r in rows])[keys.at] / OCTAVE)
-    begin = np.flatnonzero(np.concatenate([[True], keys.run[1:] != keys.run[:-1]]))
-    total = np.add.reduceat(count, begin)
-    gain = np.add.reduceat(count * np.log(_smoothed(count, np.maximum(total, 1)[keys.run], suffix) / suffix), begin)
-    total[(gain <= min_gain) | (total < min_count)] = 0
+    """Each asked key's training count, and each whole context's if it stays, else 0."""
+    out = []
+    for kind in (_FOLLOWED, _SPLIT):
+        if not (rows := [r for r in table.to_pylist() if r["kind"] == kind]):
+            continue
+        keys, count, places = _added_up(rows)
+        begin = np.flatnonzero(_begins(keys.run))
+        total = np.add.reduceat(count, begin)
+        if kind == _FOLLOWED:
+            total[(_gain(keys, count, total[keys.run], rows, begin) <= min_gain) | (total < min_count)] = 0
+        for r, p in zip(rows, places, strict=True):
+            run = keys.run[p]
+            out.append(_row(kind, r["part"], r["level"], r["bucket"], _squeezed(count[p]), _squeezed(total[run[_begins(run)]]) if kind == _FOLLOWED else None))
+    return pa.Table.from_pylist(out, schema=_ROWS)
+
+
+def _split_gains(table: pa.Table, buckets: int) -> pa.Table:
+    """The gains that the bucket's keys of split contexts make, dealt by the contexts; questions about such contexts as they are."""
+    out, rows = ([r for r in table.to_pylist() if r["kind"] == kind] for kind in (_JUDGED, _SPLIT))
+    if rows:
+        keys, count, places = _added_up(rows)
+        begin = np.flatnonzero(_begins(keys.run))
+        total = np.concatenate([_opened(r["e"])[np.cumsum(_begins(keys.run[p])) - 1] for r, p in zip(rows, places, strict=True)])[keys.at]
+        context, gain = keys.first[begin], _gain(keys, count, total, rows, begin)
+        bucket = bucket_of(mix(context), buckets)
+        for k in np.unique(bucket).tolist():
+            out.append(_row(_GAIN, _NONE, rows[0]["level"], k, context[bucket == k].tobytes(), gain[bucket == k].tobytes()))
+    return pa.Table.from_pylist(out, schema=_ROWS)
+
+
+def _judge(table: pa.Table, min_gain: float) -> pa.Table:
+    """For each asked context 1 if the gains of all its parts come to more than `min_gain`, else 0."""
+    asked, parts = ([r for r in table.to_pylist() if r["kind"] == kind] for kind in (_JUDGED, _GAIN))
+    if not asked:
+        return _ROWS.empty_table()
+    context, which = np.unique(np.concatenate([np.frombuffer(r["a"], np.uint64) for r in parts]), return_inverse=True)
+    stays = (np.bincount(which, weights=np.concatenate([np.frombuffer(r["b"], float) for r in parts])) > min_gain).astype(np.int64)
     out = []
-    for r, p in zip(rows, places, strict=True):
-        run = keys.run[p]
-        out.append(_row(_FOLLOWED, r["part"], r["level"], r["bucket"], _squeezed(count[p]), _squeezed(total[run[np.concatenate([[True], run[1:] != run[:-1]])]])))
+    for r in asked:
+        own = np.cumsum(_opened(r["a"]).astype(np.uint64), dtype=np.uint64)
+        out.append(_row(_JUDGED, r["part"], r["level"], r["bucket"], _squeezed(stays[np.searchsorted(context, own)])))
     return pa.Table.from_pylist(out, schema=_ROWS)
 
 
@@ -263,7 +309,7 @@ def suffix_tree_scores(docs: DataFrame, train: Column, depth: int = DEPTH, min_g
     those that occur in training texts. A null text has no words; a null doc_id stays null (a null
     `train` is false); rows that repeat a doc_id are scored each, and so are rows of equal texts; an
     empty table gives an empty one; without training rows every symbol has the probability 1.
-    Words are told apart by 56-bit hashes, contexts whose numbers don't fit 64 bits by 64-bit ones.
+    Words are told apart by 64-bit hashes, contexts whose numbers don't fit 64 bits by 64-bit ones.
     """
     spark = docs.sparkSession
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
@@ -279,11 +325,20 @@ def suffix_tree_scores(docs: DataFrame, train: Column, depth: int = DEPTH, min_g
     def test_contexts(table: pa.Table) -> pa.Table:
         return _test_contexts(table, min_gain, min_count)
 
+    def split_gains(table: pa.Table) -> pa.Table:
+        return _split_gains(table, buckets)
+
+    def judge(table: pa.Table) -> pa.Table:
+        return _judge(table, min_gain)
+
     made = written(marked.mapInArrow(read, _ROWS_SQL))
-    states = made.filter(F.col("kind") == _STATE)
+    # Every table for the chunks is dealt by them once; a union of tables dealt alike isn't dealt again
+    # (unless one is filtered by `part`, which makes that column another kind, never null).
+    dealt = lambda told: told.repartition(buckets, "part")
+    states = dealt(made.filter(F.col("kind") == _STATE))
     words = written(made.filter(F.col("kind") == _WORDS).groupBy("bucket").applyInArrow(count_words, _ROWS_SQL), files)
     sums = F.split(F.col("a").cast("string"), " ")
-    n, v, highest = words.filter(F.col("part") == _TOTALS).agg(*(F.coalesce(f(sums[k].cast("long")), F.lit(0)) for k, f in enumerate((F.sum, F.sum, F.max)))).first()
+    n, v, highest = words.filter(F.col("kind") == _SUMS).agg(*(F.coalesce(f(sums[k].cast("long")), F.lit(0)) for k, f in enumerate((F.sum, F.sum, F.max)))).first()
     bits = max(1, int(highest).bit_length())
 
     def chunk(state: pa.Table, told: pa.Table) -> _Chunk:
@@ -299,10 +354,12 @@ def suffix_tree_scores(docs: DataFrame, train: Column, depth: int = DEPTH, min_g
         return chunk(state, told).scores(min_count) if state.num_rows else _SCORES.empty_table()
 
     def with_chunks(told: DataFrame):
-        return states.groupBy("part").cogroup(told.filter(F.col("part") != _TOTALS).groupBy("part"))
+        return states.groupBy("part").cogroup(told.groupBy("part"))
 
-    told = words
+    told = dealt(words.filter(F.col("kind") == _WORDS))
     for level in range(1, depth + 1):
-        told = told.unionByName(with_chunks(told).applyInArrow(asks(level), _ROWS_SQL).groupBy("bucket").applyInArrow(test_contexts, _ROWS_SQL))
+        asked = with_chunks(told).applyInArrow(asks(level), _ROWS_SQL).groupBy("bucket")
+        parts = asked.applyInArrow(split_gains, _ROWS_SQL).groupBy("bucket")
+        told = told.unionByName(dealt(asked.applyInArrow(test_contexts, _ROWS_SQL).unionByName(parts.applyInArrow(judge, _ROWS_SQL))))
     scored = with_chunks(told).applyInArrow(score, "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

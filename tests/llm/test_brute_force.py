@@ -259,7 +259,7 @@ def suffix_tree_by_hand(train, texts, depth, min_gain):
     def gain(context, own):
         n, total = sum(own.values()), 0.0
         for symbol, c in own.items():
-            suffix = 2 ** (-round(-suffix_tree.OCTAVE * math.log2(p(context[1:], symbol))) / suffix_tree.OCTAVE)
+            suffix = p(context[1:], symbol)
             total += c * math.log((c + n**0.75 * suffix) / (n + n**0.75) / suffix)
         return total
 
@@ -298,6 +298,20 @@ def test_suffix_tree_scores(spark, folder, depth, chunk_bytes):
         assert got[d].score == pytest.approx(score, rel=1e-9)
 
 
+@pytest.mark.parametrize("bucket_bytes", [60, 1 << 20])
+def test_suffix_tree_tests_frequent_contexts(spark, bucket_bytes):
+    """Words drawn without regard to the one before: frequent contexts that gain nothing are no states, however keys are dealt."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("ab") for _ in range(400)) + " c d" * 30 for _ in range(6)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in suffix_tree.suffix_tree_scores(docs, F.lit(True), bucket_bytes=bucket_bytes).collect()}
+    token = lambda t: [*t.split(), None]
+    train = [token(t) for t in texts]
+    tested, untested = (suffix_tree_by_hand(train, train, 2, least) for least in (3.0, -1e9))
+    assert sum(abs(a - b) > 0.01 for a, b in zip(tested, untested, strict=True)) >= 3  # the test decides something here
+    assert [got[d] for d in range(len(texts))] == pytest.approx(tested, rel=1e-9)
+
+
 def test_suffix_tree_beats_the_base_on_held_out_texts(spark):
     rows = QUERIES["op2_suffix_tree_scores"](spark, "/root/testdata/sf0.01").filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert rows[0] > 0.85 * rows[1]  # logarithms, so less is better; measured: 0.832
