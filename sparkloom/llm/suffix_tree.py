@@ -39,7 +39,7 @@ _END = np.uint64(0xE17D5EED)
 #: Rows of chunks and their messages. _STATE: words by their numbers in the chunk, doc ids, each number's place among
 #: the answers, and four times each text's symbols, plus 1 in training, plus 2 without an id. _WORDS, _FOLLOWED, _SPLIT
 #: (of contexts dealt by their symbols too): keys' first numbers, training counts, second numbers, the suffix's
-#: probability, and for _SPLIT each context's count. Answers, of the same kinds: for each key, and for each run of keys
+#: probability (at level 1 the symbol's training count, which tells it), and for _SPLIT each context's count. Answers, of the same kinds: for each key, and for each run of keys
 #: of one first number. _JUDGED: the _SPLIT contexts of a chunk, and whether they stay. _GAIN: contexts and their gains
 #: in one bucket. _SUMS: a bucket's symbols, different ones and highest number.
 _STATE, _WORDS, _FOLLOWED, _SPLIT, _JUDGED, _GAIN, _SUMS = range(7)
@@ -52,7 +52,7 @@ _NONE = -1
 def _squeezed(x: np.ndarray) -> bytes:
     """The numbers in planes of as few bytes as they need, compressed; negative ones only in eight."""
     kind = "<i8" if x.size and x.min() < 0 else next(k for k, most in (("<u1", 1 << 8), ("<u2", 1 << 16), ("<u4", 1 << 32), ("<u8", 1 << 64)) if not x.size or int(x.max()) < most)
-    return kind.encode() + zstandard.ZstdCompressor(level=3).compress(planes(x.astype(kind)))
+    return kind.encode() + zstandard.ZstdCompressor(level=7).compress(planes(x.astype(kind)))
 
 
 def _opened(raw: bytes) -> np.ndarray:
@@ -105,8 +105,8 @@ class _Keys:
             out.append(_row(
                 kind, part, level, k, _squeezed(np.diff(self.first[i:j], prepend=np.uint64(0))),
                 None if seen is None else _squeezed(seen[i:j]),
-                None if suffix is None else _squeezed(self.second[i:j]),
-                None if suffix is None else _squeezed(suffix[i:j].astype("<f4").view("<u4")),
+                None if suffix is None else _squeezed(_steps(self.second[i:j], _begins(self.run[i:j]))),
+                None if suffix is None else _squeezed(suffix[i:j] if suffix.dtype.kind == "i" else suffix[i:j].astype("<f4").view("<u4")),
                 None if total is None else _squeezed(total[i:j][_begins(self.run[i:j])]),
             ))
         return out
@@ -126,10 +126,25 @@ def _begins(run: np.ndarray) -> np.ndarray:
     return np.concatenate([[True], run[1:] != run[:-1]])
 
 
+def _steps(x: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Differences inside runs of rising numbers; each run's first number as it is."""
+    return np.where(begins, x, np.diff(x, prepend=np.uint64(0)))
+
+
+def _climbed(steps: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """The numbers of which `_steps` gave the differences."""
+    sums = np.cumsum(steps, dtype=np.uint64)
+    return sums - (sums - steps)[begins][np.cumsum(begins) - 1]
+
+
+def _unigram(count: np.ndarray, train_tokens: int, vocabulary: int) -> np.ndarray:
+    return (count + 0.1) / (train_tokens + 0.1 * (vocabulary + 1))
+
+
 def _added_up(rows: list[dict]) -> tuple[_Keys, np.ndarray, list[np.ndarray]]:
     """(keys, summed counts, each row's places in the keys) of the rows of one kind, level and bucket."""
     first = [np.cumsum(_opened(r["a"]).astype(np.uint64), dtype=np.uint64) for r in rows]
-    second = [_opened(r["c"]).astype(np.uint64) if r["c"] else np.zeros(len(p), np.uint64) for r, p in zip(rows, first, strict=True)]
+    second = [_climbed(_opened(r["c"]).astype(np.uint64), _begins(p)) if r["c"] else np.zeros(len(p), np.uint64) for r, p in zip(rows, first, strict=True)]
     lens = [len(p) for p in first]
     keys = _Keys(np.concatenate(first), np.concatenate(second), 1)
     sums = np.zeros(len(keys), np.int64)
@@ -175,7 +190,7 @@ class _Chunk:
         self.count, number = known[which], number[which].astype(np.uint64)
         self.learns = np.repeat(self.train, self.sizes)
         self.place = np.arange(len(which)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
-        self.unigram = (self.count + 0.1) / (train_tokens + 0.1 * (vocabulary + 1))
+        self.unigram = _unigram(self.count, train_tokens, vocabulary)
         self.number, self.bits, self.share = number, bits, train_tokens // buckets
 
     def contexts(self, at: np.ndarray, k: int) -> np.ndarray:
@@ -203,8 +218,9 @@ class _Chunk:
             judged = _Keys(context[heavy], np.zeros(np.count_nonzero(heavy), np.uint64), self.buckets)
             if k == level:
                 seen = lambda keys, at: np.bincount(keys.which, weights=self.learns[at], minlength=len(keys)).astype(np.int64)
-                asked = few.asked(_FOLLOWED, self.part, k, seen(few, at[~heavy]), p[at[~heavy]][few.at])
-                asked += many.asked(_SPLIT, self.part, k, seen(many, at[heavy]), p[at[heavy]][many.at], n[heavy][many.at])
+                suffix = self.count if k == 1 else p
+                asked = few.asked(_FOLLOWED, self.part, k, seen(few, at[~heavy]), suffix[at[~heavy]][few.at])
+                asked += many.asked(_SPLIT, self.part, k, seen(many, at[heavy]), suffix[at[heavy]][many.at], n[heavy][many.at])
                 return p, asked + judged.asked(_JUDGED, self.part, k)
             count, total = np.empty((2, len(at)), np.int64)
             count[~heavy], total[~heavy] = (few.answers(self.told, _FOLLOWED, k, of_runs) for of_runs in (False, True))
@@ -250,13 +266,14 @@ def _count_words(table: pa.Table, buckets: int) -> pa.Table:
     return pa.Table.from_pylist(out, schema=_ROWS)
 
 
-def _gain(keys: _Keys, count: np.ndarray, total: np.ndarray, rows: list[dict], begin: np.ndarray) -> np.ndarray:
-    """What each run of keys gains on its suffix; `total` is that of each key's context."""
-    suffix = np.concatenate([_opened(r["d"]) for r in rows]).astype("<u4").view("<f4")[keys.at].astype(float)
+def _gain(keys: _Keys, count: np.ndarray, total: np.ndarray, rows: list[dict], begin: np.ndarray, sums: tuple[int, int]) -> np.ndarray:
+    """What each run of keys gains on its suffix; `total` is that of each key's context, `sums` are training tokens and different ones."""
+    told = np.concatenate([_opened(r["d"]) for r in rows])[keys.at]
+    suffix = _unigram(told, *sums) if rows[0]["level"] == 1 else told.astype("<u4").view("<f4").astype(float)
     return np.add.reduceat(count * np.log(_smoothed(count, np.maximum(total, 1), suffix) / suffix), begin)
 
 
-def _test_contexts(table: pa.Table, min_gain: float, min_count: int) -> pa.Table:
+def _test_contexts(table: pa.Table, min_gain: float, min_count: int, sums: tuple[int, int]) -> pa.Table:
     """Each asked key's training count, and each whole context's if it stays, else 0."""
     out = []
     for kind in (_FOLLOWED, _SPLIT):
@@ -266,21 +283,21 @@ def _test_contexts(table: pa.Table, min_gain: float, min_count: int) -> pa.Table
         begin = np.flatnonzero(_begins(keys.run))
         total = np.add.reduceat(count, begin)
         if kind == _FOLLOWED:
-            total[(_gain(keys, count, total[keys.run], rows, begin) <= min_gain) | (total < min_count)] = 0
+            total[(_gain(keys, count, total[keys.run], rows, begin, sums) <= min_gain) | (total < min_count)] = 0
         for r, p in zip(rows, places, strict=True):
             run = keys.run[p]
             out.append(_row(kind, r["part"], r["level"], r["bucket"], _squeezed(count[p]), _squeezed(total[run[_begins(run)]]) if kind == _FOLLOWED else None))
     return pa.Table.from_pylist(out, schema=_ROWS)
 
 
-def _split_gains(table: pa.Table, buckets: int) -> pa.Table:
+def _split_gains(table: pa.Table, buckets: int, sums: tuple[int, int]) -> pa.Table:
     """The gains that the bucket's keys of split contexts make, dealt by the contexts; questions about such contexts as they are."""
     out, rows = ([r for r in table.to_pylist() if r["kind"] == kind] for kind in (_JUDGED, _SPLIT))
     if rows:
         keys, count, places = _added_up(rows)
         begin = np.flatnonzero(_begins(keys.run))
         total = np.concatenate([_opened(r["e"])[np.cumsum(_begins(keys.run[p])) - 1] for r, p in zip(rows, places, strict=True)])[keys.at]
-        context, gain = keys.first[begin], _gain(keys, count, total, rows, begin)
+        context, gain = keys.first[begin], _gain(keys, count, total, rows, begin, sums)
         bucket = bucket_of(mix(context), buckets)
         for k in np.unique(bucket).tolist():
             out.append(_row(_GAIN, _NONE, rows[0]["level"], k, context[bucket == k].tobytes(), gain[bucket == k].tobytes()))
@@ -323,10 +340,10 @@ def suffix_tree_scores(docs: DataFrame, train: Column, depth: int = DEPTH, min_g
         return _count_words(table, buckets)
 
     def test_contexts(table: pa.Table) -> pa.Table:
-        return _test_contexts(table, min_gain, min_count)
+        return _test_contexts(table, min_gain, min_count, (n, v))
 
     def split_gains(table: pa.Table) -> pa.Table:
-        return _split_gains(table, buckets)
+        return _split_gains(table, buckets, (n, v))
 
     def judge(table: pa.Table) -> pa.Table:
         return _judge(table, min_gain)
