@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Callable, Mapping, Sequence
 from pathlib import Path
 
@@ -87,14 +88,15 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] | No
     coefficient, ties to the larger template. Passages of the licence that the whole text's row names are
     left out, and those of which half the words or more lie in lines that have a row. A null or empty
     text, a line of fewer than two words and an empty table give no rows; repeated rows give theirs
-    each.
+    each. The work grows in proportion to a text's length: bigrams and rare words are looked up in
+    tables of buckets, and passages are sought among the places that templates hold.
     """
     entries = [(name, grams) for name, texts in sorted((all_templates() if templates is None else templates).items()) for grams in map(template_bigrams, texts) if grams]
     reach = (2 - least) / least
     known = F.array(
         *(
-            F.struct(F.lit(name).alias("license"), F.lit(len(g)).alias("n"), listed_words(g).alias("grams"), listed_words(anchor_words([g], least)).alias("anchors"), F.lit(shared_bigrams(g, least)).alias("shared"))
-            for name, g in entries
+            F.struct(F.lit(name).alias("license"), F.lit(len(g)).alias("n"), listed_words(g).alias("grams"), listed_words(anchor_words([g], least)).alias("anchors"), F.lit(shared_bigrams(g, least)).alias("shared"), F.lit(f",{k},").alias("tag"))
+            for k, (name, g) in enumerate(entries)
         )
     )
     lowest = min(math.ceil(len(g) / reach) for _, g in entries)
@@ -103,7 +105,9 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] | No
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.split(text, "\n")
     units = F.when(F.size(lines) > 1, F.concat(F.array(F.replace(text, F.lit("\n"), F.lit(" "))), lines)).otherwise(F.concat(F.array(F.lit("")), lines))
-    listed = docs.select("doc_id", F.posexplode(F.concat(units, F.array(text))).alias("unit", "line"), (F.size(lines) + 1).alias("last"))
+    # a step of its own: beside posexplode, `last` would be computed again for every line
+    cut = docs.select("doc_id", F.concat(units, F.array(text)).alias("units")).withColumn("last", F.size("units") - 1)
+    listed = cut.select("doc_id", "last", F.posexplode("units").alias("unit", "line"))
     listed = listed.filter(F.length("line") >= 2 * lowest + 1)  # a bigram takes two characters at least
 
     def reached(grams: Column) -> Column:
@@ -118,80 +122,113 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] | No
         return F.when((n >= lowest) & (n <= highest), best)
 
     # `let` keeps each step's value from being computed again for every use of it
-    anchors = listed_words(anchor_words([grams for _, grams in entries], least))
+    anchors, anchor_buckets = word_table(anchor_words([grams for _, grams in entries], least))
+
+    def is_anchor(word: Column) -> Column:
+        return F.contains(F.get(anchors, F.pmod(F.crc32(word), F.lit(anchor_buckets)).cast("int")), F.concat(F.lit("\t"), word, F.lit("\t")))
 
     def best(line: Column) -> Column:
-        return let(F.split(normalised(line), " "), lambda words: F.when((F.size(words) > lowest) & F.arrays_overlap(words, anchors), let(bigrams(words), reached)))
+        return let(F.split(normalised(line), " "), lambda words: F.when((F.size(words) > lowest) & F.exists(words, is_anchor), let(bigrams(words), reached)))
+
+    gain, loss, slack = (round(SCALE * x) for x in (2 - least, least, 2 - 2 * least))
+
+    def runs(hits: Column, t: Column) -> Column:
+        """The runs of places from one of `hits` to another in which a place of `hits` weighs 2 - least, any other -least.
+
+        Between two hits the sum only falls, so hits alone are looked at. A run with fewer hits than a
+        unit in reach has bigrams of the template is none. Runs are gathered in parts, as an array that
+        grows is copied for each of its members.
+        """
+        start = F.struct(
+            *(F.lit(0).alias(c) for c in ("at", "first", "last", "count", "held")), F.lit(0).cast("long").alias("sum"), F.lit(0).cast("long").alias("peak"),
+            F.array().cast(f"array<array<{RUN}>>").alias("parts"), F.array().cast(f"array<{RUN}>").alias("part"),
+        )
+
+        def gathered(s: Column) -> Column:
+            more = F.concat(s["part"], F.array(F.struct(s["first"].alias("first"), s["last"].alias("last"))))
+            full = F.struct(F.concat(s["parts"], F.array(more)).alias("parts"), F.array().cast(f"array<{RUN}>").alias("part"))
+            same = F.struct(s["parts"].alias("parts"), s["part"].alias("part"))
+            return F.when(s["held"] < t["shared"], same).when(F.size(s["part"]) >= PART, full).otherwise(F.struct(s["parts"].alias("parts"), more.alias("part")))
 
-    def runs(pairs: Column, mine: Column, n: Column) -> Column:
-        """The runs of places (from 0) whose bigrams are in `mine`, a place of another one weighing -least and one of them 2 - least."""
-        start = F.struct(*(F.lit(0).alias(c) for c in ("at", "first", "last")), F.lit(0.0).alias("sum"), F.lit(0.0).alias("peak"), F.array().cast("array<struct<first: int, last: int>>").alias("runs"))
+        def begun(s: Column, at: Column) -> Column:
+            one = F.lit(1)
+            return let(gathered(s), lambda g: F.struct(
+                at.alias("at"), at.alias("first"), at.alias("last"), one.alias("count"), one.alias("held"),
+                F.lit(gain).cast("long").alias("sum"), F.lit(gain).cast("long").alias("peak"), g["parts"].alias("parts"), g["part"].alias("part"),
+            ))
 
-        def ended(s: Column) -> Column:
-            return F.when(s["peak"] > 0, F.concat(s["runs"], F.array(F.struct(s["first"].alias("first"), s["last"].alias("last"))))).otherwise(s["runs"])
+        def grown(s: Column, at: Column, total: Column) -> Column:
+            count, higher = s["count"] + 1, total > s["peak"]
+            return F.struct(
+                at.alias("at"), s["first"].alias("first"), F.when(higher, at).otherwise(s["last"]).alias("last"), count.alias("count"), F.when(higher, count).otherwise(s["held"]).alias("held"),
+                total.alias("sum"), F.greatest(total, s["peak"]).alias("peak"), s["parts"].alias("parts"), s["part"].alias("part"),
+            )
 
-        def step(s: Column, pair: Column) -> Column:
-            def moved(total: Column) -> Column:
-                # no unit in reach has more than (2 / least - 2) * n bigrams that aren't the template's
-                over = (total <= 0) | (s["peak"] - total > (2 - 2 * least) * n)
-                higher = ~over & (total > s["peak"])
-                return F.struct(
-                    (s["at"] + 1).alias("at"), F.when(over, s["at"] + 1).otherwise(s["first"]).alias("first"), F.when(higher, s["at"]).otherwise(s["last"]).alias("last"),
-                    F.when(over, 0.0).otherwise(total).alias("sum"), F.when(over, 0.0).when(higher, total).otherwise(s["peak"]).alias("peak"), F.when(over, ended(s)).otherwise(s["runs"]).alias("runs"),
-                )
+        def step(s: Column, at: Column) -> Column:
+            # no unit in reach has more than (2 / least - 2) * n bigrams that aren't the template's
+            return let(s["sum"] - loss * (at - s["at"] - 1).cast("long"), lambda left: F.when((left <= 0) | (s["peak"] - left > slack * t["n"].cast("long")), begun(s, at)).otherwise(grown(s, at, left + gain)))
 
-            return let(s["sum"] + F.when(F.array_contains(mine, pair), F.lit(2 - least)).otherwise(F.lit(-least)), moved)
+        return F.aggregate(hits, start, step, lambda s: let(gathered(s), lambda g: F.flatten(F.concat(g["parts"], F.array(g["part"])))))
 
-        return F.aggregate(pairs, start, step, ended)
+    table, buckets = bigram_table([grams for _, grams in entries])
+
+    def tags_of(pair: Column) -> Column:
+        """The tags of the templates that hold the bigram, null if none does."""
+
+        def among(bucket: Column, key: Column) -> Column:
+            return F.when(F.contains(bucket, key), F.call_function("substring_index", F.call_function("substring_index", bucket, key, F.lit(-1)), F.lit("\t"), F.lit(1)))
+
+        return let(F.get(table, F.pmod(F.crc32(pair), F.lit(buckets)).cast("int")), lambda bucket: let(F.concat(F.lit("\t"), pair, F.lit("=")), lambda key: among(bucket, key)))
 
     def candidates(pairs: Column, present: Column) -> Column:
         """(-dice, -n, license, first, last) of every run that reaches its template, the best first."""
 
-        def of(t: Column, mine: Column) -> Column:
+        def of(t: Column, hits: Column) -> Column:
             def scored(r: Column) -> Column:
-                own = F.array_distinct(F.slice(pairs, r["first"] + 1, r["last"] - r["first"] + 1))
-                dice = F.lit(2.0) * F.size(F.array_intersect(own, mine)) / (F.size(own) + t["n"])
-                return F.struct((-dice).alias("under"), (-t["n"]).alias("smaller"), t["license"].alias("license"), r["first"].alias("first"), r["last"].alias("last"))
+                def rated(own: Column) -> Column:
+                    dice = F.lit(2.0) * F.size(F.array_intersect(own, t["grams"])) / (F.size(own) + t["n"])
+                    return F.struct((-dice).alias("under"), (-t["n"]).alias("smaller"), t["license"].alias("license"), r["first"].alias("first"), r["last"].alias("last"))
+
+                return let(F.array_distinct(F.slice(pairs, r["first"] + 1, r["last"] - r["first"] + 1)), rated)
+
+            return F.when(F.size(hits) >= t["shared"], F.transform(runs(hits, t), scored)).otherwise(F.array().cast(CANDIDATES))
 
-            return F.when(F.size(mine) >= t["shared"], F.transform(runs(pairs, mine, t["n"]), scored)).otherwise(F.array().cast(CANDIDATES))
+        def in_places(places: Column) -> Column:
+            near = F.filter(known, lambda t: (F.size(places) >= t["shared"]) & F.arrays_overlap(present, t["anchors"]))
+            return F.flatten(F.transform(near, lambda t: let(F.filter(places, lambda p: F.contains(p["tags"], t["tag"]))["at"], lambda hits: of(t, hits))))
 
-        near = F.filter(known, lambda t: (F.size(pairs) >= t["shared"]) & F.arrays_overlap(present, t["anchors"]))
-        every = F.flatten(F.transform(near, lambda t: let(F.array_intersect(pairs, t["grams"]), lambda mine: of(t, mine))))
-        return F.array_sort(F.filter(every, lambda c: c["under"] <= -least))
+        places = F.filter(F.transform(pairs, lambda pair, i: F.struct(i.alias("at"), tags_of(pair).alias("tags"))), lambda p: p["tags"].isNotNull())
+        return F.array_sort(F.filter(let(places, in_places), lambda c: c["under"] <= -least))
 
     def passages(line: Column) -> Column:
         of_lines = F.split(line, "\n")
         none = F.array().cast("array<struct<unit: long, dice: double, license: string>>")
 
         def kept(found: Column, line_of: Column) -> Column:
-            rows = F.filter(F.transform(of_lines, lambda l, k: F.when(best(l).isNotNull(), k + 1)), lambda k: k.isNotNull())
-
-            def open_ones(known_lines: Column) -> Column:
-                def free(c: Column) -> Column:
-                    own = F.slice(line_of, c["first"] + 1, c["last"] - c["first"] + 2)
-                    return 2 * F.size(F.filter(own, lambda k: F.array_contains(known_lines, k))) < F.size(own)
-
-                apart = F.aggregate(
-                    F.filter(found, free),
-                    F.array().cast(CANDIDATES),
-                    lambda done, c: F.when(F.exists(done, lambda d: (d["first"] <= c["last"] + 1) & (c["first"] <= d["last"] + 1)), done).otherwise(F.concat(done, F.array(c))),
-                )
-                return F.transform(apart, lambda c: F.struct((-F.get(line_of, c["first"])).cast("long").alias("unit"), (-c["under"]).alias("dice"), c["license"].alias("license")))
-
+            def free(c: Column) -> Column:
+                own = F.slice(line_of, c["first"] + 1, c["last"] - c["first"] + 2)
+                return 2 * F.size(F.filter(own, lambda w: w["found"])) < F.size(own)
+
+            apart = F.aggregate(
+                F.filter(found, free),
+                F.array().cast(CANDIDATES),
+                lambda done, c: F.when(F.exists(done, lambda d: (d["first"] <= c["last"] + 1) & (c["first"] <= d["last"] + 1)), done).otherwise(F.concat(done, F.array(c))),
+            )
+            rows = F.transform(apart, lambda c: F.struct((-F.get(line_of, c["first"])["line"]).cast("long").alias("unit"), (-c["under"]).alias("dice"), c["license"].alias("license")))
             # what the whole text's row names already is there once; other licences beside it are rows of their own
             whole = F.when(F.size(of_lines) > 1, best(F.replace(line, F.lit("\n"), F.lit(" "))))["license"]
-            others = let(whole, lambda named: F.filter(let(rows, open_ones), lambda c: named.isNull() | (c["license"] != named)))
-            return F.when(F.size(found) == 0, none).otherwise(others)
+            return F.when(F.size(found) == 0, none).otherwise(let(whole, lambda named: F.filter(rows, lambda c: named.isNull() | (c["license"] != named))))
 
         def in_words(words: Column, present: Column) -> Column:
-            per_line = F.transform(of_lines, lambda l, k: F.array_repeat(k + 1, F.size(F.filter(F.split(normalised(l), " "), lambda w: w != ""))))
+            # for every word its line, and whether the line has a row
+            per_line = F.transform(of_lines, lambda l, k: F.array_repeat(F.struct((k + 1).alias("line"), best(l).isNotNull().alias("found")), F.size(F.filter(F.split(normalised(l), " "), lambda w: w != ""))))
             return let(candidates_let(words, present), lambda found: F.when(F.size(found) == 0, none).otherwise(let(F.flatten(per_line), lambda line_of: kept(found, line_of))))
 
         def candidates_let(words: Column, present: Column) -> Column:
             return let(pairs_of(words), lambda pairs: candidates(pairs, present))
 
         def pruned(words: Column) -> Column:
-            return let(F.array_intersect(words, anchors), lambda present: F.when(F.size(present) == 0, none).otherwise(in_words(words, present)))
+            return let(F.array_distinct(F.filter(words, is_anchor)), lambda present: F.when(F.size(present) == 0, none).otherwise(in_words(words, present)))
 
         return let(F.split(normalised(line), " "), pruned)
 
@@ -200,6 +237,13 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] | No
     return found.select("doc_id", "best.unit", "best.license", F.round("best.dice", 6).alias("dice"))
 
 
+#: Weights of places are whole numbers of this fraction, so that sums are exact.
+SCALE = 1_000_000
+
+#: Runs in a part of the array of a text's runs.
+PART = 512
+
+RUN = "struct<first: int, last: int>"
 CANDIDATES = "array<struct<under: double, smaller: int, license: string, first: int, last: int>>"
 
 
@@ -208,6 +252,28 @@ def listed_words(words: Sequence[str]) -> Column:
     return F.split(F.lit("\n".join(words)), "\n")
 
 
+def bigram_table(templates: Sequence[Sequence[str]]) -> tuple[Column, int]:
+    """(array of strings, their number): bigram b is in the string at crc32(b) modulo their number, as "\\tb=,2,5,\\t" if the templates 2 and 5 hold it."""
+    holders: dict[str, list[int]] = {}
+    for k, grams in enumerate(templates):
+        for g in grams:
+            holders.setdefault(g, []).append(k)
+    size = 2 ** max(4, len(holders).bit_length())
+    strings = ["\t"] * size
+    for g, ks in holders.items():
+        strings[zlib.crc32(g.encode()) % size] += f"{g}=,{','.join(map(str, ks))},\t"
+    return listed_words(strings), size
+
+
+def word_table(words: Sequence[str]) -> tuple[Column, int]:
+    """(array of strings, their number): a word stands between tabs in the string at its crc32 modulo their number."""
+    size = 2 ** max(4, len(words).bit_length())
+    strings = ["\t"] * size
+    for w in words:
+        strings[zlib.crc32(w.encode()) % size] += f"{w}\t"
+    return listed_words(strings), size
+
+
 def shared_bigrams(grams: Sequence[str], least: float) -> int:
     """How many of a template's bigrams a unit that reaches it holds at least."""
     return math.ceil(round(least / (2 - least) * len(grams), 9))
@@ -233,8 +299,8 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
 
 
 def oracle_sql(least: float = 0.8) -> str:
-    """The same scan of `documents` as DuckDB SQL."""
-    rows = ", ".join(f"('{name}', [{', '.join(chr(39) + g + chr(39) for g in grams)}])" for name, texts in sorted(TEMPLATES.items()) for grams in map(template_bigrams, texts))
+    """The same scan of the lines and whole texts of `documents` as DuckDB SQL; it has no passages."""
+    rows = ", ".join(f"('{name}', [{', '.join(chr(39) + g + chr(39) for g in grams)}])" for name, texts in sorted(all_templates().items()) for grams in map(template_bigrams, texts) if grams)
     return f"""
 WITH known(license, grams) AS (VALUES {rows}),
 texts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines, coalesce(text, '') AS text FROM documents),
