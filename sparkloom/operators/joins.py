@@ -129,6 +129,43 @@ def heavy_key_join(large: DataFrame, small: DataFrame, on: str, how: str = "inne
     return spread.join(repeated, [on, "_salt"], how).drop("_salt")
 
 
+def size_in_memory(df: DataFrame) -> int:
+    """About how many bytes the rows take once read: one pass that sums the lengths of texts and eight bytes for any other value.
+
+    Nested values count as their JSON text, which is longer than they are in memory for most types.
+    """
+
+    def width(field):
+        kind, c = field.dataType.typeName(), F.col(f"`{field.name}`")
+        if kind in ("string", "binary", "char", "varchar"):
+            return F.coalesce(F.octet_length(c), F.lit(0)).cast("long") + 16
+        if kind in ("array", "map", "struct"):
+            return F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)).cast("long") + 16
+        return F.lit(8).cast("long")
+
+    widths = [width(f) for f in df.schema.fields]
+    return int(df.agg(F.sum(sum(widths[1:], widths[0]) if widths else F.lit(0))).first()[0] or 0)
+
+
+def sized_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", most_broadcast: int = 64 << 20, most_hashed: int = 256 << 20) -> DataFrame:
+    """An equality join whose strategy follows from the measured size of `right`, which is read once more for it.
+
+    Up to `most_broadcast` bytes it is sent to every executor. Beyond that both sides are shuffled:
+    `right` is built into hash tables if a partition of it is `most_hashed` bytes on average at
+    most, else both are sorted, which may spill and so has no limit. Joins that must put out rows of
+    `right` without a partner can't send it whole and are shuffled at any size. Hash tables expect keys
+    about equally frequent in `right`; for frequent ones take `heavy_key_join`. Null keys match nothing.
+    """
+    size = size_in_memory(right)
+    if size <= most_broadcast and how not in ("right", "full", "outer", "right_outer", "full_outer"):
+        strategy = "broadcast"
+    elif size <= most_hashed * int(right.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        strategy = "shuffle_hash"
+    else:
+        strategy = "merge"
+    return left.join(right.hint(strategy), list(on), how)
+
+
 def salted_join(large: DataFrame, small: DataFrame, on: str, salts: int = 16, how: str = "inner") -> DataFrame:
     """An equality join in which each key of `large` is spread over `salts` tasks, and `small` repeated as often.
 

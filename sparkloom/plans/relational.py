@@ -249,6 +249,22 @@ def salted_join(spark, sf_dir):
     return joins.salted_join(lines, suppliers, "supplier").drop("supplier")
 
 
+@query("""
+SELECT c_mktsegment, r_name, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY c_mktsegment, r_name
+""")
+def sized_join(spark, sf_dir):
+    """Quantities by segment and region: each side is sent to all executors, hashed or sorted by what it measures."""
+    regions = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("region"), "r_name")
+    nations = joins.sized_join(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation"), F.col("n_regionkey").alias("region")), regions, ["region"])
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("customer"), "c_mktsegment", F.col("c_nationkey").alias("nation"))
+    buyers = joins.sized_join(customers, nations, ["nation"]).select("customer", "c_mktsegment", "r_name")
+    orders = joins.sized_join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order"), F.col("o_custkey").alias("customer")), buyers, ["customer"])
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("order"), "l_quantity")
+    met = joins.sized_join(lines, orders.select("order", "c_mktsegment", "r_name"), ["order"])
+    return met.groupBy("c_mktsegment", "r_name").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+
+
 @query("""
 SELECT e.event_id, s.event_id AS signup_id FROM (SELECT * FROM events WHERE event_type = 'purchase') e
 ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'signup') s ON e.user_id = s.user_id AND e.ts >= s.ts

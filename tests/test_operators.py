@@ -144,3 +144,16 @@ def test_table_function_of_nulls_ties_and_open_runs(spark):
     assert sessions.SessionsOf(df.limit(0).asTable(), F.lit("k"), F.lit("t"), F.lit("v"), F.lit(1800)).count() == 0
     with pytest.raises(Exception, match="no"):
         sessions.SessionsOf(df.asTable(), F.lit("nothing"), F.lit("t"), F.lit("v"), F.lit(1800)).count()
+
+
+@pytest.mark.parametrize("limits, node", [((1 << 20, 1 << 20), "BroadcastHashJoin"), ((0, 1 << 20), "ShuffledHashJoin"), ((0, 0), "SortMergeJoin")])
+def test_the_measured_size_decides_how_a_join_runs(spark, limits, node):
+    left = spark.createDataFrame([(k % 40 if k % 9 else None, k) for k in range(500)], "k int, a int")
+    right = spark.createDataFrame([(k, f"text {k}") for k in range(10, 60)] + [(None, "none"), (12, "again")], "k int, b string")
+    assert 52 * 24 < joins.size_in_memory(right) < 52 * 40
+    for how in ("inner", "left", "left_semi", "left_anti", "full"):
+        met, plain = joins.sized_join(left, right, ["k"], how, *limits), left.join(right, ["k"], how)
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        assert node in plan or (how == "full" and "ShuffledHashJoin" in plan)
+        assert sorted(map(repr, met.collect())) == sorted(map(repr, plain.collect()))
+    assert joins.size_in_memory(right.limit(0)) == 0
