@@ -16,18 +16,22 @@ windows AS (
 ),
 repeated AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
 covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM repeated, unnest([0, 1, 2]) AS v(k) GROUP BY doc_id),
+tops AS (SELECT doc_id, max(n) AS n_top_word FROM (SELECT doc_id, x, count(*) AS n FROM cut, unnest(w) AS u(x) GROUP BY doc_id, x) GROUP BY doc_id),
 base AS (
   SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
          CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
          CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
-         CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, CAST(len(lines) AS BIGINT) AS n_lines
-  FROM cut LEFT JOIN covered USING (doc_id)
+         CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, CAST(len(lines) AS BIGINT) AS n_lines,
+         coalesce(n_top_word, 0) AS n_top_word, len(list_filter(w, lambda x: regexp_matches(x, '\p{L}'))) AS n_letter_words,
+         len(list_filter(lines, lambda l: regexp_matches(l, '^[\x20\x09-\x0D]*[-*•]'))) AS n_bullet_lines
+  FROM cut LEFT JOIN covered USING (doc_id) LEFT JOIN tops USING (doc_id)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR n_symbols > 0.1 * n_words OR n_dup_lines > 0.4 * n_lines
-            OR (n_words > 0 AND NOT (word_chars / n_words BETWEEN 2.5 AND 12.0))) AS kept
+            OR (n_words > 0 AND NOT (word_chars / n_words BETWEEN 2.5 AND 12.0))
+            OR 100 * n_bullet_lines > 90 * n_lines OR 100 * n_top_word > 30 * n_words OR 100 * n_letter_words < 60 * n_words) AS kept
 FROM base
 """,
     "op4_license_scan": licenses.oracle_sql(),

@@ -23,6 +23,7 @@ from pyspark.sql.types import StructType
 from sparkloom.llm.common import SPACES
 
 SYMBOLS = b"#*$%&|<>"
+BULLETS = ("-".encode(), "*".encode(), "\u2022".encode())
 
 
 class TextStats:
@@ -70,9 +71,23 @@ class TextStats:
                 upto = i + 3
         return total
 
+    @cached_property
+    def n_bullet_lines(self) -> int:
+        return sum(x.lstrip().startswith(BULLETS) for x in self.lines)
+
+    @cached_property
+    def n_top_word(self) -> int:
+        """How often the most frequent word stands in the text."""
+        return max(Counter(self.words).values(), default=0)
+
+    @cached_property
+    def n_letter_words(self) -> int:
+        """Words that hold a letter of any script."""
+        return sum(any(map(str.isalpha, w.decode())) for w in self.words)
+
 
 #: What each statistic is computed from.
-NEEDS = {"n_words": ("words",), "n_repeat_words": ("words",), "n_dup_lines": ("lines",)}
+NEEDS = {"n_words": ("words",), "n_repeat_words": ("words",), "n_dup_lines": ("lines",), "n_bullet_lines": ("lines",), "n_top_word": ("words",), "n_letter_words": ("words",)}
 
 
 @dataclass(frozen=True)
@@ -98,6 +113,15 @@ def default_rules(min_words: int = 50, repeat_percent: int = 50, symbol_share: f
     )
 
 
+def shape_rules(bullet_percent: int = 90, top_word_percent: int = 30, letter_percent: int = 60) -> tuple[Rule, ...]:
+    """Texts of list items alone, of one word over and over, or of numbers and signs; none of them judges a text without words."""
+    return (
+        Rule("bullets", lambda t: 100 * t.n_bullet_lines > bullet_percent * len(t.lines), ("n_bullet_lines",)),
+        Rule("one_word", lambda t: 100 * t.n_top_word > top_word_percent * t.n_words, ("n_words", "n_top_word")),
+        Rule("few_letters", lambda t: 100 * t.n_letter_words < letter_percent * t.n_words, ("n_words", "n_letter_words")),
+    )
+
+
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 

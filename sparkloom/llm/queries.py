@@ -38,7 +38,8 @@ def op1_packing(spark, sf_dir):
 @query
 def op3_quality_cascade(spark, sf_dir):
     """The base figures and the cascade's verdict for every document."""
-    judged = quality.quality_cascade(table(spark, sf_dir, "documents").select("doc_id", "text"), features=quality.FEATURES)
+    rules = quality.default_rules() + quality.shape_rules()
+    judged = quality.quality_cascade(table(spark, sf_dir, "documents").select("doc_id", "text"), rules, features=quality.FEATURES)
     return judged.select(
         "doc_id",
         *quality.FEATURES,

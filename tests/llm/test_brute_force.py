@@ -335,6 +335,40 @@ def test_quality_order_follows_marginal_costs():
     assert names({}, {}) == [r.name for r in rules]
 
 
+def test_quality_shape_rules():
+    prose = " ".join(f"word{k}" for k in range(60))
+    verdicts = lambda text: [r.name for r in quality.shape_rules() if r.rejects(quality.TextStats(text))]
+    assert verdicts(None) == verdicts("") == verdicts(prose) == verdicts(f"- {prose}\n{prose}") == []
+    assert verdicts("\n".join(f"  {'-*•'[k % 3]} item{k} of{k} list{k}" for k in range(12))) == ["bullets"]
+    assert verdicts("buy now " * 20) == ["one_word"]
+    assert verdicts(" ".join(f"{k}.{k}" for k in range(50)) + f" {prose[:80]}") == ["few_letters"]
+    assert verdicts(" ".join(f"слово{k} 漢字{k}" for k in range(30))) == []
+
+
+def test_quality_order_is_cheaper_than_the_rules_as_given_or_reversed(spark):
+    texts = [" ".join(f"{k}{x}" for x in range(300)) for k in range(120)] + ["same old thing " * 100] * 200 + ["short"] * 280
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    rules = quality.default_rules() + quality.shape_rules()
+    patterns, costs = quality.measured(docs, rules, 600)
+
+    def seconds(order):
+        total, texts = 0.0, sum(patterns.values())
+        for pattern, n in patterns.items():
+            known = set()
+            for rule in order:
+                fresh = [x for x in rule.statistics() if x not in known]
+                known.update(fresh)
+                total += n / texts * (costs[rule.name] + sum(costs[x] for x in fresh))
+                if pattern >> rules.index(rule) & 1:
+                    break
+        return total
+
+    best = quality.ordered(rules, patterns, costs)
+    assert best[0].name == "too_few_words"
+    dearest = tuple(sorted(rules, key=lambda r: -sum(costs[x] for x in r.statistics())))
+    assert seconds(best) < min(seconds(rules[::-1]), seconds(dearest))
+
+
 def test_quality_sample_is_of_all_rows(spark):
     docs = spark.range(0, 4000, 1, 8).selectExpr("id AS doc_id", "if(id < 3000, repeat('good words ', 40), '###') AS text")
     patterns, costs = quality.measured(docs, quality.default_rules(), 800)
