@@ -88,8 +88,9 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] | No
     coefficient, ties to the larger template. Passages of the licence that the whole text's row names are
     left out, and those of which half the words or more lie in lines that have a row. A null or empty
     text, a line of fewer than two words and an empty table give no rows; repeated rows give theirs
-    each. The work grows in proportion to a text's length: bigrams and rare words are looked up in
-    tables of buckets, and passages are sought among the places that templates hold.
+    each. Bigrams and rare words are looked up in tables of buckets, and passages are sought among the
+    places that templates hold, so the search grows in proportion to a text's length; the passages found
+    are then compared with each other, which grows with the square of their number in one text.
     """
     entries = [(name, grams) for name, texts in sorted((all_templates() if templates is None else templates).items()) for grams in map(template_bigrams, texts) if grams]
     reach = (2 - least) / least
