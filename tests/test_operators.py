@@ -4,6 +4,7 @@ import datetime as dt
 import random
 from collections import Counter
 
+import duck
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,6 +124,19 @@ def test_sketches_of_days_give_spans_within_their_error(spark):
     assert max(map(abs, errors)) < 4 * 1.04 / 2 ** (sketches.PRECISION / 2)
 
 
+def test_users_over_spans_are_exact_where_sketches_are_not(spark, tmp_path):
+    from sparkloom.plans import layouts as plans
+
+    at = "timestamp_ntz '2024-02-25 13:00:00' + make_dt_interval(cast(xxhash64(id, 1L) % 20 * 3 AS int), cast(id % 24 - 13 AS int))"
+    many = spark.range(120_000).selectExpr(f"{at} AS ts", "pmod(xxhash64(id), 30000) AS user_id")
+    odd = spark.sql("SELECT timestamp_ntz '2025-01-01 00:00:00' ts, cast(null AS bigint) user_id UNION ALL SELECT null, 7 UNION ALL SELECT timestamp_ntz '2025-01-02 23:59:59.999999', 7 UNION ALL SELECT timestamp_ntz '2025-01-02 00:00:00', null")
+    many.unionByName(odd).write.parquet(f"{tmp_path}/events.parquet")
+    con = duck.connection(tmp_path)
+    duck.agree(plans.distinct_over_spans(spark, str(tmp_path)), plans.ORACLE["distinct_over_spans"], con)
+    rows = {(str(r.last_day), r.days): r.users for r in plans.distinct_over_spans(spark, str(tmp_path)).collect()}
+    assert rows["2025-01-01", 30] == 0 and rows["2025-01-02", 7] == 1 and max(rows.values()) > 15_000
+
+
 def test_partitions_are_pruned_and_buckets_join_without_a_shuffle(spark):
     rows = spark.range(2000).selectExpr("id", "id % 7 AS `part`", "id * 2 AS v")
     one = layouts.partitioned(rows, "part").filter("part = 3")
