@@ -135,5 +135,7 @@ FROM bought WHERE ended <= (SELECT max(after) FROM marks)
 """)
 def stream_funnels(spark, sf_dir):
     """Each user's funnels of a stream of three batches, from state with timers."""
-    with funnels.rocksdb(spark):
-        return streaming.fed(streaming.deliveries(table(spark, sf_dir, "events")), funnels.funnels, batches=3).drop("batch")
+    events = table(spark, sf_dir, "events")
+    partitions, buckets = funnels.dealt(spark, events.count())
+    with funnels.rocksdb(spark, partitions):
+        return streaming.fed(streaming.deliveries(events), lambda came: funnels.funnels(came, buckets=buckets), batches=3).drop("batch")

@@ -108,3 +108,21 @@ def test_funnels_take_rows_in_order_and_forget(spark):
     assert sorted(((r.user_id, hours(r.began), hours(r.second), hours(r.third), hours(r.ended), r.outcome) for r in got), key=key) == sorted(want, key=key)
     states = [p["stateOperators"][0]["numRowsTotal"] for p in progress if p["stateOperators"]]
     assert states[-1] == 0 < max(states)
+
+
+def test_state_of_funnels_is_of_buckets_and_not_of_users(spark):
+    steps = [(1, "view"), (2, "click"), (3, "purchase"), (20, "view"), (20, "click"), (21, "purchase"), (22, "click"), (30, None)]
+    users = [(1 << 60) + k for k in range(-700, 700)] + [-5, 0, None]
+    rows = [(n, h, h, u, step) for u in users for n, (h, step) in enumerate(steps)]
+    rows += [(None, 40, 40, 1, "view"), (1, 300, 300, 9, "error")]
+    progress = []
+    with funnels.rocksdb(spark, 3):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        got = streaming.fed(_arriving(spark, rows), lambda came: funnels.funnels(came, buckets=10), batches=2, progress=progress).collect()
+    assert before == "3" and spark.conf.get("spark.sql.shuffle.partitions") == "8"
+    at = lambda h: START + dt.timedelta(hours=h)
+    want = {(u, *r) for u in users if u is not None for r in ((at(1), at(2), at(3), at(3), "complete"), (at(20), at(22), None, at(32), "expired"))}
+    assert len(got) == len(want) + 1 and {tuple(r)[:-1] for r in got} == want | {(1, at(40), None, None, at(52), "expired")}
+    states = [p["stateOperators"][0]["numRowsTotal"] for p in progress if p["stateOperators"]]
+    assert states[-1] == 0 < max(states) <= 10 * 5
+    assert funnels.dealt(spark, 40_000_000)[0] == 40 and funnels.dealt(spark, 0)[0] == spark.sparkContext.defaultParallelism
