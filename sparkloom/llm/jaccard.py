@@ -5,18 +5,19 @@ twice as many ranges as two similar sets can differ in elements, so that similar
 least half of them. A set's elements in one range, in order, are a root-to-leaf path of that range's
 prefix tree; paths travel as their hashes. All paths have one global order, the rarest first, by a
 table of fixed size that counts the shingles of all documents by slots (any order gives the same
-links; this one gives few candidates: passages that many documents share come last). Similar sets
-share a path among their first halves. Documents that share such a path become candidates: each is
-tied to the smallest document of the path, never to all. Sets that are equal as a whole are tied for
-good and represented by their smallest document.
+links; this one gives few candidates: the inverse frequencies of a path's shingles are added, so
+paths that lie in passages that many documents share come last). Similar sets share a path among
+their first halves. Documents that share such a path become candidates: each is tied to the smallest
+document of the path, never to all. Sets that are equal as a whole are tied for good and represented
+by their smallest document.
 
 Tied documents form blocks. Each block's sets meet once: in the order of falling frequency in the
 block they are stored in a prefix tree, so that similar sets share their upper part; one traversal
 joins the tree with itself, overlaps with shared parts are counted once, and a subtree is left when
 the lengths that remain can't reach the threshold, or when all its sets are in the component already.
 A block beyond `block_docs` is split: each part meets a few leaders of the block, those that share
-the most paths, then whatever doesn't reach the main leader meets all parts. No link between
-different sets is lost.
+the most paths. What doesn't reach the main leader then meets the documents that it shares a path
+with, path by path, or all parts, where that copies less text. No link between different sets is lost.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import bucket_of, chunks, deltas, files_of, from_deltas, from_planes, give_back, groups_of, hash_words, joined, mix, planes, rolling, text_bytes, word_spans, written
@@ -40,6 +43,8 @@ _GROWTH = 1.5
 _PAIRS = pa.schema([("kind", pa.int8()), ("a", pa.binary()), ("b", pa.binary())])
 #: Slots of the table that orders shingles by frequency, and the slices in which it is summed.
 TABLE, _SLICES = 1 << 22, 64
+#: By level, about the inverse of a frequency; whole numbers, so that sums don't depend on their order.
+_RARITY = (2.0 ** (40 - np.arange(256) / 8)).astype(np.int64)
 
 
 def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,7 +123,9 @@ def path_hashes(sets: np.ndarray, sizes: np.ndarray, percent: int, levels: np.nd
     Two sets of which the larger has m elements meet at m's level, so a set walks its own level and
     those up to its largest partner's. Where similar sets differ in at most d elements, 2 d + 1
     ranges leave d + 1 in which they agree; so of all ranges, rarest path first, the first d + 1 of
-    both hold a common one. Empty ranges come last. Where d is 0, only equal sets are similar.
+    both hold a common one. A path's rarity is the sum of its shingles' inverse frequencies: one
+    rare shingle meets fewer documents than several common ones. Empty ranges come last.
+    Where d is 0, only equal sets are similar.
     """
     if not len(sets):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -127,7 +134,7 @@ def path_hashes(sets: np.ndarray, sizes: np.ndarray, percent: int, levels: np.nd
     last = np.searchsorted(edges, sizes * 100 // percent, side="right") - 1
     doc = np.repeat(np.arange(len(sizes)), sizes)
     mixed, top = mix(sets ^ np.uint64(0xA0761D6478BD642F)), sets >> np.uint64(32)
-    rarity = 256 - levels[(sets & np.uint64(TABLE - 1)).astype(np.int64)].astype(np.int64)
+    rarity = _RARITY[levels[(sets & np.uint64(TABLE - 1)).astype(np.int64)]]
     found, of = [], []
     for step in range(int((last - own)[sizes > 0].max()) + 1):
         level = own + step
@@ -387,6 +394,8 @@ _MET = "kind byte, a long, b long, block long"
 _MET_ROWS = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), ("block", pa.int64())])
 #: A split block's leaders, at most as many as bits are free in a long.
 LEADERS = 16
+#: The label of the sets that reach the main leader; others have a leader's bit, or none.
+_MAIN = -1
 
 
 def _meet(table: pa.Table, n: int, percent: int) -> pa.Table:
@@ -419,19 +428,63 @@ def _meet(table: pa.Table, n: int, percent: int) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(cols, _MET_ROWS.types, strict=True)], schema=_MET_ROWS)
 
 
-def similar_links(texts: DataFrame, members: DataFrame, shares: DataFrame, n: int, percent: int, block_docs: int, shard_bytes: int, files: int) -> DataFrame:
+_PLACED = "doc_id long, block long, label long, bytes long, whole boolean, path long"
+
+
+def _places(batches: Iterator[pa.RecordBatch], n: int, percent: int, levels: np.ndarray, chunk_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Where a document (doc_id, text, block, label) may meet others: in its block as a whole, and at each of its paths."""
+    for chunk in chunks(batches, chunk_bytes):
+        sets, sizes = shingle_sets(chunk.column(1), n)
+        paths, of = path_hashes(sets, sizes, percent, levels)
+        own = [chunk.column(0), chunk.column(2), chunk.column(3), pc.binary_length(chunk.column(1)).cast(pa.int64())]
+        for whole, path, at in ((True, np.zeros(len(sizes), np.uint64), np.arange(len(sizes))), (False, paths, of)):
+            yield pa.RecordBatch.from_arrays([*(x.take(pa.array(at, pa.int64())) for x in own), pa.array(np.full(len(at), whole)), pa.array(path.view(np.int64))], ["doc_id", "block", "label", "bytes", "whole", "path"])
+
+
+def _parts(block_docs: int, shard_bytes: int) -> Column:
+    """Into how many parts so many `docs` of so many `bytes` are split; a part has several times as many sets as there are leaders."""
+    return F.ceil(F.greatest(F.lit(1), F.least(F.col("docs") / (4 * LEADERS), F.greatest(F.col("docs") / block_docs, F.col("bytes") / shard_bytes)))).cast("int")
+
+
+def _meetings(known: DataFrame, n: int, percent: int, levels: Broadcast, block_docs: int, chunk_bytes: int, shard_bytes: int, files: int) -> DataFrame:
+    """(place, parts, slices, doc_id): where the documents of split blocks (doc_id, text, block, label, probe) meet again.
+
+    Similar sets share a path, so it is enough that those of one path meet. Paths with the same
+    documents are one place, and those whose documents are known to be in one component, by their
+    `label`, are none. Where a block's paths together hold more text than its parts would meet, the
+    whole block is the place; so a long text isn't copied for each of its paths.
+    """
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _places(batches, n, percent, levels.value, chunk_bytes)
+
+    at = written(known.select("doc_id", "text", "block", "label").mapInArrow(placed, _PLACED))
+    probe = F.coalesce(F.col("label") != _MAIN, F.lit(True))
+    met = at.groupBy("block", "whole", "path").agg(
+        F.count("*").alias("docs"), F.count_if(probe).alias("probes"), F.sum("bytes").alias("bytes"), F.coalesce(F.sum(F.when(probe, F.col("bytes"))), F.lit(0)).alias("asking"),
+        F.bit_xor(F.xxhash64("doc_id")).alias("some"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("other"), F.count("label").alias("labelled"), F.min("label").alias("least"), F.max("label").alias("most"),
+    )
+    met = met.filter("docs > 1 AND (labelled < docs OR least <> most)")
+    once = met.groupBy("block", "whole", "docs", "probes", "bytes", "asking", "some", "other").agg(F.min("path").alias("path"))
+    sized = once.withColumn("parts", _parts(block_docs, shard_bytes)).withColumn("slices", F.ceil(F.col("probes") / block_docs).cast("int"))
+    sent = F.when(F.col("parts") == 1, F.col("bytes") * F.col("slices")).otherwise(F.col("bytes") * F.col("slices") + F.col("asking") * F.col("parts"))
+    sized = written(sized.select("block", "whole", "path", "parts", "slices", sent.alias("sent")), files)
+    cost = sized.groupBy(F.col("block").alias("of")).agg(F.sum(F.when(F.col("whole"), F.col("sent"))).alias("together"), F.coalesce(F.sum(F.when(~F.col("whole"), F.col("sent"))), F.lit(0)).alias("by_path"))
+    chosen = sized.join(cost.select("of", (F.col("by_path") > F.col("together")).alias("as_one")), F.col("block") == F.col("of")).filter("whole = as_one").drop("of", "as_one", "sent")
+    return at.join(chosen, ["block", "whole", "path"]).select(F.xxhash64("block", "whole", "path").alias("place"), "parts", "slices", F.col("doc_id").alias("of"))
+
+
+def similar_links(texts: DataFrame, members: DataFrame, shares: DataFrame, levels: Broadcast, n: int, percent: int, block_docs: int, chunk_bytes: int, shard_bytes: int, files: int) -> DataFrame:
     """Links (a, b) among the texts (doc_id, text) of the members (doc_id, block).
 
     A block of more than `block_docs` documents or `shard_bytes` of text is split into parts. Its
     leaders, the documents that share the most paths (doc_id, shares), go to all of them; a set that
-    doesn't reach the leader that most sets reach then meets all parts.
+    doesn't reach the leader that most sets reach then meets those of its paths, or all parts.
     """
     # members grow with the texts, so they are merged at every size
     held = written(texts.join(members.hint("merge"), "doc_id"), 4 * files)
     sizes = held.groupBy(F.col("block").alias("of")).agg(F.count("*").alias("docs"), F.sum(F.octet_length("text").cast("long")).alias("bytes")).filter("docs > 1")
-    # a part has several times as many sets as there are leaders
-    parts = F.ceil(F.greatest(F.lit(1), F.least(F.col("docs") / (4 * LEADERS), F.greatest(F.col("docs") / block_docs, F.col("bytes") / shard_bytes)))).cast("int")
-    counted = written(sizes.select("of", parts.alias("parts"), "bytes"), files)
+    counted = written(sizes.select("of", _parts(block_docs, shard_bytes).alias("parts"), "bytes"), files)
     in_blocks, most = counted.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.max("parts"), F.lit(0))).first()
     shards = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-in_blocks // shard_bytes))
     placed = held.join(counted.drop("bytes"), F.col("block") == F.col("of")).drop("of")
@@ -456,17 +509,21 @@ def similar_links(texts: DataFrame, members: DataFrame, shares: DataFrame, n: in
     arrived = first.filter(F.col("kind") == _REACHED).select(F.col("a").alias("of"), F.col("b").alias("bits"), F.col("block").alias("in"))
     votes = arrived.select("in", "bits", F.explode(F.sequence(F.lit(0), F.lit(LEADERS - 1))).alias("bit")).filter(F.getbit("bits", "bit") == 1).groupBy("in", "bit").count()
     main = votes.groupBy("in").agg(F.max_by("bit", F.struct("count", "bit")).alias("main")).withColumnRenamed("in", "at")
-    probing = arrived.join(main, F.col("in") == F.col("at"), "left").filter(F.coalesce(F.getbit("bits", "main") == 0, F.lit(True))).select("of")
-    # Leaders have met all. A set that didn't reach the main one meets all parts; the others are known to be in one component.
-    known = split.join(leaders, F.col("doc_id") == F.col("_led"), "left_anti").join(probing, F.col("doc_id") == F.col("of"), "left")
-    known = written(known.withColumn("probe", F.col("of").isNotNull()).drop("of"), 4 * files)
-    slices = known.filter("probe").groupBy(F.col("block").alias("of")).agg(F.ceil(F.count("*") / block_docs).cast("int").alias("slices"))
-    both = known.join(slices, F.col("block") == F.col("of")).drop("of")
+    # sets of one label are in one component
+    label = F.when(F.getbit("bits", "main") == 1, F.lit(_MAIN)).when(F.col("bits") != 0, F.col("bits").bitwiseAND(-F.col("bits"))).cast("long")
+    labels = arrived.join(main, F.col("in") == F.col("at"), "left").select("of", label.alias("label"))
+    # Leaders have met all. A set that didn't reach the main one meets others again; the rest are known to be in one component.
+    known = split.join(leaders, F.col("doc_id") == F.col("_led"), "left_anti").join(labels, F.col("doc_id") == F.col("of"), "left")
+    known = written(known.select("doc_id", "text", "block", "label", F.coalesce(F.col("label") != _MAIN, F.lit(True)).alias("probe")), 4 * files)
+    places = written(_meetings(known, n, percent, levels, block_docs, chunk_bytes, shard_bytes, files), 4 * files)
+    both = known.drop("block", "label").join(places.hint("merge"), F.col("doc_id") == F.col("of")).drop("of")
+    part = F.pmod(F.xxhash64("doc_id"), F.col("parts"))
     cell = lambda slice, part: F.struct(slice.cast("int").alias("slice"), part.cast("int").alias("part"))
-    own = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda s: cell(s, F.col("part")))
+    own = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda s: cell(s, part))
     across = F.transform(everywhere, lambda p: cell(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("slices")), p))
     again = both.withColumn("cell", F.explode(F.when(F.col("probe"), F.array_union(own, across)).otherwise(own)))
-    second = again.select("doc_id", "text", "block", "probe", apart("cell").alias("shard")).groupBy("shard").applyInArrow(meet, _MET)
+    shard = F.when((F.col("parts") == 1) & (F.col("slices") == 1), F.pmod(F.xxhash64("place"), F.lit(shards))).otherwise(F.lit(shards) + F.abs(F.xxhash64("place", "cell") % (1 << 40)))
+    second = again.select("doc_id", "text", F.col("place").alias("block"), "probe", shard.alias("shard")).groupBy("shard").applyInArrow(meet, _MET)
     return first.filter(F.col("kind") == _LINK).select("a", "b").unionByName(written(second).select("a", "b"))
 
 
@@ -494,7 +551,7 @@ def similarity_components(docs: DataFrame, n: int = 5, percent: int = 80, block_
     blocks = connected(of(_TIED, _SAME).mapInArrow(_unpacked_stars, "a long, b long"), files)
     # Of equal sets only the smallest document meets others.
     members = blocks.join(same.select(F.col("a").alias("node")).distinct(), "node", "left_anti").select(F.col("node").alias("doc_id"), F.col("component").alias("block"))
-    links = similar_links(texts, members, shares, n, percent, block_docs, shard_bytes, files)
+    links = similar_links(texts, members, shares, levels, n, percent, block_docs, chunk_bytes, shard_bytes, files)
     labels = connected(links.unionByName(same), files)
     # A size below zero marks a row without doc_id.
     rows = of(_SIZE).mapInArrow(_unpacked, "a long, b long").select(F.when(F.col("b") >= 0, F.col("a")).alias("doc_id"), F.when(F.col("b") >= 0, F.col("b")).otherwise(-1 - F.col("b")).alias("n_shingles"))
